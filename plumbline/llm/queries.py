@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import lines, mixing, rules, sharding
+from plumbline.llm import jaccard, leaks, lines, mixing, quality, rules, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_classifier": quality.op1_quality_classifier,
     "op2_line_rules": rules.op2_line_rules,
     "op3_sharding": sharding.op3_sharding,
     "op4_source_mix": mixing.op4_source_mix,
     "op5_line_dedup": lines.op5_line_dedup,
+    "op9_decontamination": leaks.op9_decontamination,
+    "op10_jaccard_join": jaccard.op10_jaccard_join,
 }
 
 ORACLES: dict[str, str] = {
