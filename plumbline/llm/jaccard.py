@@ -33,7 +33,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import BitFilter, components, mix64, pieces, prefix_hash, span_hash, words, written
@@ -227,8 +227,6 @@ def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
 
 def candidate_clusters(docs: DataFrame) -> DataFrame:
     """(node, component) over the sets that share a published part."""
-    from pyspark.sql import Window
-
     keys = docs.select("text").mapInArrow(_publish, "key bigint, sid bigint")
     low = F.min("sid").over(Window.partitionBy("key"))
     return components(keys.select(F.col("sid").alias("a"), low.alias("b")))
@@ -276,21 +274,21 @@ def similar_groups(docs: DataFrame) -> DataFrame:
 
 
 def first_of_each_group(docs: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, without those that are near copies of a document with a smaller doc_id; of rows that repeat a doc_id one stays."""
-    from pyspark.sql import Window
+    """The rows of docs, all columns, without near copies: of each group the smallest doc_id stays.
 
+    A doc_id that is not the smallest of its group goes with all its rows; rows
+    equal in doc_id and text stay once; null doc_ids stay.
+    """
     groups = similar_groups(docs.select("doc_id", "text"))
     gone = groups.where(F.col("doc_id") > F.col("component_id")).select(F.col("doc_id").alias("__gone")).distinct()
     kept = docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
-    again = kept.groupBy("doc_id").agg(F.count("*").alias("__n")).where("__n > 1")
+    again = kept.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("__n")).where("__n > 1").select(F.col("doc_id").alias("__again"))
     if again.isEmpty():
         return kept
-    same = F.col("l.doc_id").eqNullSafe(F.col("r.doc_id"))
-    once = kept.alias("l").join(again.alias("r"), same, "left_anti")
-    twice = kept.alias("l").join(again.alias("r"), same, "left_semi")
-    first = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(*[F.col(f"`{c}`") for c in docs.columns])
+    twice = kept.join(again, F.col("doc_id") == F.col("__again"), "left_semi")
+    first = Window.partitionBy("doc_id", F.xxhash64(F.coalesce("text", F.lit("")))).orderBy("doc_id")
     twice = twice.withColumn("__rank", F.row_number().over(first)).where("__rank = 1").drop("__rank")
-    return once.unionByName(twice)
+    return kept.join(again, F.col("doc_id") == F.col("__again"), "left_anti").unionByName(twice)
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
