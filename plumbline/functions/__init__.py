@@ -1 +1 @@
-
+"""Column builders: null-safe arithmetic, rolling windows, indicators, statistics."""

@@ -1 +1 @@
-
+"""Scans, adapters, ingest-time cleaning, sessions and the synthetic market."""
