@@ -298,7 +298,7 @@ _REGISTRY: dict[str, Callable[..., Model]] = {
     "zero": Zero,
     "train_mean": TrainMean,
     "momentum": lambda scale=1.0: LastReturn(scale, 1.0),
-    "mean_reversion": lambda scale=1.0: LastReturn(scale, -1.0),
+    "reversion": lambda scale=1.0: LastReturn(scale, -1.0),
     "ridge": Ridge,
     "elastic_net": ElasticNet,
     "logistic": Logistic,

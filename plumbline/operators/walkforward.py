@@ -53,12 +53,12 @@ def rows_of(dataset: DataFrame, folds: DataFrame, part: str) -> DataFrame:
 
 
 def baseline_predictions(dataset: DataFrame, folds: DataFrame) -> DataFrame:
-    """Predictions of the four models that need no fit: zero, train_mean, momentum, mean_reversion."""
+    """Predictions of the four models that need no fit: zero, train_mean, momentum, reversion."""
     test = rows_of(dataset, folds, "test")
     means = rows_of(dataset, folds, "train").groupBy("symbol", "fold").agg(F.avg("forward_return").alias("__mean"))
     joined = test.join(means, ["symbol", "fold"])
     signals = F.array(
-        *[F.struct(F.lit(k).alias("model"), v.alias("signal")) for k, v in (("zero", F.lit(0.0)), ("train_mean", F.col("__mean")), ("momentum", F.col("ret_1d")), ("mean_reversion", -F.col("ret_1d")))]
+        *[F.struct(F.lit(k).alias("model"), v.alias("signal")) for k, v in (("zero", F.lit(0.0)), ("train_mean", F.col("__mean")), ("momentum", F.col("ret_1d")), ("reversion", -F.col("ret_1d")))]
     )
     return joined.select("symbol", "fold", "date", "pos", F.inline(signals), "forward_return", "direction", "close")
 
