@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 #: The ASCII white space that separates words, [\x20\x09-\x0D].
 WHITESPACE = b" \t\n\x0b\x0c\r"
 PIECE_BYTES = 2 << 20
+ROWS_PER_BATCH = 1000
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[list(WHITESPACE)] = True
@@ -53,6 +54,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound the rows that a Python worker holds at once."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key, "10000"))
+    if now <= 0 or now > ROWS_PER_BATCH:
+        spark.conf.set(key, str(ROWS_PER_BATCH))
+
+
 # ---------------------------------------------------------------- hashing
 
 
@@ -92,6 +101,16 @@ def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix64((prefix[ends] - prefix[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
+def rolling_hash(prefix: np.ndarray, width: int) -> np.ndarray:
+    """A hash of every `width` bytes, cheaper than span_hash; only its high bits are well mixed."""
+    n = len(prefix) - width
+    out = prefix[width:] - prefix[:n]
+    out *= _powers(_INVERSE, n)[:n]
+    out ^= out >> np.uint64(32)
+    out *= np.uint64(0xBF58476D1CE4E5B9)
+    return out
+
+
 # ---------------------------------------------------------------- text pieces
 
 

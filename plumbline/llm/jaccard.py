@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import BitFilter, components, mix64, pieces, prefix_hash, span_hash, words, written
+from plumbline.llm.common import BitFilter, components, mix64, pieces, prefix_hash, small_batches, span_hash, words, written
 
 WORDS, PERCENT = 4, 85
 BLOCK_HASHES = 200_000
@@ -235,6 +235,7 @@ def candidate_clusters(docs: DataFrame) -> DataFrame:
 def similar_groups(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs."""
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     info = written(rows.mapInArrow(_describe, "doc_id bigint, n bigint, sid bigint"), "sets")
     lowest = -(1 << 63)

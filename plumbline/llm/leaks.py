@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import BitFilter, mix64, pieces, prefix_hash, span_hash, words, written
+from plumbline.llm.common import BitFilter, mix64, pieces, prefix_hash, small_batches, span_hash, words, written
 
 SEED_WORDS = 3
 RARE_DOCS, RARE_FACTOR = 100, 4.0
@@ -195,6 +195,7 @@ def _score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def leaks(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE, min_matched: int = MIN_MATCHED) -> DataFrame:
     """doc_id, item_id, similarity, end_word of each document that holds a copy of an item, edited or not."""
+    small_batches(docs.sparkSession)
     items = written(_item_words(benchmark), "items")
     of = items.select("item_id", F.explode("seeds").alias("seed"))
     counts = seed_documents(docs, BitFilter.build(of, "seed", FILTER_BITS))

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import WHITESPACE, mix64, text_array, written
+from plumbline.llm.common import mix64, small_batches, text_array, WHITESPACE, written
 
 MIN_DOCS = 10
 KEYS_PER_SHARD = 50_000
@@ -231,6 +231,7 @@ def _rewrite(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def drop_lines(docs: DataFrame, table: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """A row for each row of docs: doc_id, n_lines, n_dropped, kept_sha256, kept_text."""
+    small_batches(docs.sparkSession)
     table = written(table, "line-refs")
     hot = table.where(F.col("refs") >= min_docs)
     shards = max(16, -(-hot.count() // KEYS_PER_SHARD))

@@ -38,7 +38,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import mix64, pieces, prefix_hash, span_hash, words, written
+from plumbline.llm.common import mix64, pieces, prefix_hash, small_batches, span_hash, words, written
 
 FOLDS, HELD_OUT_FOLD = 5, 1
 FILTER_BITS, PROBES, BITS_PER_ENTRY = 29, 4, 10
@@ -248,6 +248,7 @@ def build_filter(docs: DataFrame, slab_bits: int) -> tuple[LogBloom, int]:
 def score_documents(docs: DataFrame, slab_bits: int | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of docs."""
     spark = docs.sparkSession
+    small_batches(spark)
     fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % FOLDS
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), (fold == HELD_OUT_FOLD).alias("held_out"))
     buckets = max(1, -(-docs.count() // DOCS_PER_BUCKET))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import mix64, pieces, prefix_hash, span_hash, words
+from plumbline.llm.common import mix64, pieces, prefix_hash, small_batches, span_hash, words
 
 MAX_TRAIN_ROWS = 20_000
 ROUNDS, DEPTH, RATE, BINS, MIN_LEAF, RIDGE = 80, 4, 0.1, 64, 10, 1.0
@@ -217,6 +217,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) ->
 
 def score_documents(docs: DataFrame, model: FlatTrees, carry: Sequence[str]) -> DataFrame:
     """The columns `carry` and __score (double) of every row."""
+    small_batches(docs.sparkSession)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in carry)
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

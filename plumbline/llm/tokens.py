@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import pieces, prefix_hash, span_hash, words
+from plumbline.llm.common import pieces, prefix_hash, small_batches, span_hash, words
 
 DEFAULT_VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -179,6 +179,7 @@ def count_tokens(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
                 n_tokens.append(t)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate(n_words)), pa.array(np.concatenate(n_tokens))], names=["doc_id", "n_words", "n_tokens"])
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(emit, "doc_id bigint, n_words bigint, n_tokens bigint")
 
