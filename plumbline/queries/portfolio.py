@@ -172,7 +172,7 @@ def stress(spark, sf_dir):
     return pf.stress_z(_rolling(spark, sf_dir))
 
 
-@_simple("port_13_build_portfolio", "select date, round(ret, 8) as ret, round(equity, 8) as equity, round((select count(*) from cd)::double / (select count(distinct date) from bo), 8) as common_fraction from pe", 8)
+@_simple("port_13_build_portfolio", "select date, round(ret, 10) as ret, round(equity, 10) as equity, round((select count(*) from cd)::double / (select count(distinct date) from bo), 10) as common_fraction from pe", 10)
 def build(spark, sf_dir):
     p = pf.build_portfolio(sleeves_all(spark, sf_dir), assets=assets_all(spark, sf_dir))
     return p["returns"].withColumn("__k", F.lit(0)).join(p["common_fraction"].withColumn("__k", F.lit(0)), "__k").select("date", "ret", "equity", "common_fraction")

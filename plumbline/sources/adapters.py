@@ -36,7 +36,7 @@ def _path(values: DataFrame) -> DataFrame:
     bars = values.withColumn("x", x).withColumn("r", F.round(0.02 * F.col("x") / (1 + F.abs("x")), 6))
     bars = bars.withColumn("close", F.round(100 * F.exp(F.sum("r").over(running())), 6))
     bars = bars.withColumn("open", F.coalesce(F.lag("close").over(by_symbol()), F.lit(100.0)))
-    return bars.select("symbol", "date", "open", F.round(F.greatest("open", "close") * 1.002, 6).alias("high"), F.round(F.least("open", "close") * 0.998, 6).alias("low"), "close", "volume")
+    return bars.select("symbol", "date", "open", F.round(F.greatest("open", "close") * 1.002, 9).alias("high"), F.round(F.least("open", "close") * 0.998, 9).alias("low"), "close", "volume")
 
 
 def price_path(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +63,7 @@ px_x as (select *, ln(vwap) - avg(ln(vwap)) over (partition by symbol) as x from
 px_r as (select symbol, date, volume, round(0.02 * x / (1 + abs(x)), 6) as r from px_x),
 px_c as (select symbol, date, volume, round(100 * exp(sum(r) over (partition by symbol order by date)), 6) as close from px_r),
 px_o as (select *, coalesce(lag(close) over (partition by symbol order by date), 100.0) as open from px_c),
-bars as (select symbol, date, open, round(greatest(open, close) * 1.002, 6) as high, round(least(open, close) * 0.998, 6) as low, close, volume from px_o)
+bars as (select symbol, date, open, round(greatest(open, close) * 1.002, 9) as high, round(least(open, close) * 0.998, 9) as low, close, volume from px_o)
 """
 PRICE_PATH_SQL = (
     """
