@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import BitFilter, mix64, pieces, prefix_hash, span_hash, text_array, written
+from plumbline.llm.common import BitFilter, mix64, pieces, prefix_hash, rolling_hash, small_batches, span_hash, text_array, written
 from plumbline.llm.jaccard import _groups
 from plumbline.llm.suffixes import InducedSorter
 
@@ -58,26 +58,26 @@ def segments(data: np.ndarray, off: np.ndarray, length: int = LENGTH, gram: int
     none = np.zeros(0, dtype=np.int64)
     if len(data) < length:
         return none, none, none, none.view(np.uint64), none.view(np.uint64)
-    prefix = prefix_hash(data)
-    at = np.arange(len(data) - gram + 1)
-    h = span_hash(prefix, at, at + gram)
-    ranked = (h & ~np.uint64((1 << 26) - 1)) | at.astype(np.uint64) if len(data) < 1 << 26 else None
-    if ranked is None:
+    if len(data) >= 1 << 26:
         raise ValueError("a single text of 64 MiB or more has to be cut before its suffixes are sorted")
-    anchor = (sliding_least(ranked, length - gram + 1) & np.uint64((1 << 26) - 1)).astype(np.int64)
-    start = np.arange(len(anchor))
-    row = np.searchsorted(off, start, side="right") - 1
-    inside = start + length <= off[row + 1]
-    start, anchor, row = start[inside], anchor[inside], row[inside]
-    if not len(start):
-        return none, none, none, none.view(np.uint64), none.view(np.uint64)
-    new = np.ones(len(start), dtype=bool)
-    new[1:] = (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])
-    first = np.flatnonzero(new)
-    last = np.append(first[1:], len(start)) - 1
-    a, b, m = start[first], start[last], anchor[first]
+    prefix = prefix_hash(data)
+    h = rolling_hash(prefix, gram)
+    h &= ~np.uint64((1 << 26) - 1)
+    h |= np.arange(len(h), dtype=np.uint64)
+    anchor = sliding_least(h, length - gram + 1)
+    inside = np.ones(len(anchor), dtype=bool)
+    for end in off[1:-1]:
+        inside[max(0, end - length + 1) : end] = False
+    change = np.empty(len(anchor), dtype=bool)
+    change[0] = True
+    np.not_equal(anchor[1:], anchor[:-1], out=change[1:])
+    change[1:] |= inside[1:] != inside[:-1]
+    edge = np.flatnonzero(change)
+    keep = inside[edge]
+    a, b = edge[keep], np.append(edge[1:], len(anchor))[keep] - 1
+    m = (anchor[a] & np.uint64((1 << 26) - 1)).astype(np.int64)
     own = mix64(span_hash(prefix, a, b + length) + (m - a).astype(np.uint64))
-    return row[first], a, b, h[m], own
+    return np.searchsorted(off, a, side="right") - 1, a, b, span_hash(prefix, m, m + gram), own
 
 
 def _scan(docs: DataFrame, emit, schema: str) -> DataFrame:
@@ -130,6 +130,7 @@ def _repeated(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """doc_id, text_key, first, last: runs of repeated windows of each text. docs: doc_id, text_key, text."""
     spark = docs.sparkSession
+    small_batches(spark)
     keys = _scan(docs, lambda ids, tk, data, off, row, a, b, h, s: pa.RecordBatch.from_arrays([_signed(h), _signed(s)], names=["anchor", "segment"]), "anchor bigint, segment bigint")
     counts = keys.groupBy("anchor", "segment").agg(F.count("*").alias("n"))
     kinds = counts.groupBy("anchor").agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).where("total > 1")

@@ -69,7 +69,12 @@ class ByteQueues:
             self.read[byte] += n
             return out
         if self.parts[byte]:
-            out = self.parts[byte].pop(0)
+            n, size = 0, 0
+            while n < len(self.parts[byte]) and (not n or size + len(self.parts[byte][n]) <= CHUNK):
+                size += len(self.parts[byte][n])
+                n += 1
+            out = np.concatenate(self.parts[byte][:n])
+            del self.parts[byte][:n]
             self.held -= out.nbytes
             return out
         return None
@@ -123,13 +128,16 @@ class InducedSorter:
 
     def _common(self, a: np.ndarray, b: np.ndarray, prefix: np.ndarray) -> np.ndarray:
         """Common prefixes of suffix pairs up to the limit, by halving."""
-        most = np.minimum(self.limit, self.n - np.maximum(a, b))
-        low, high = np.zeros(len(a), dtype=np.int64), most.copy()
+        out = np.minimum(self.limit, self.n - np.maximum(a, b))
+        open_ = np.flatnonzero(span_hash(prefix, a, a + out) != span_hash(prefix, b, b + out))
+        low, high = np.zeros(len(open_), dtype=np.int64), out[open_] - 1
+        a, b = a[open_], b[open_]
         while (low < high).any():
             mid = (low + high + 1) >> 1
             same = span_hash(prefix, a, a + mid) == span_hash(prefix, b, b + mid)
             low, high = np.where(same, mid, low), np.where(same, high, mid - 1)
-        return low
+        out[open_] = low
+        return out
 
     def _one_common(self, a: int, b: int) -> int:
         x, y = self.text[a : a + self.limit], self.text[b : b + self.limit]
@@ -230,14 +238,14 @@ class InducedSorter:
         if len(lms) > 1:
             stop = np.minimum(np.append(lms[1:] + 1, self.n), lms + self.limit)
             rank = self._name(lms, stop, prefix)
-            step = 1
-            while step < self.limit and rank.max() + 1 < len(rank):  # the string of names, by doubling
-                follow = np.full(len(rank), -1, dtype=np.int64)
-                follow[:-step] = rank[step:] if step < len(rank) else follow[:-step]
-                by = np.lexsort((follow, rank))
-                new = np.ones(len(by), dtype=bool)
-                new[1:] = (rank[by][1:] != rank[by][:-1]) | (follow[by][1:] != follow[by][:-1])
-                rank[by] = np.cumsum(new) - 1
+            step, count = 1, len(rank)
+            told = lambda k: k < count and int((lms[k:] - lms[:-k]).min()) >= self.limit
+            while step < self.limit and rank.max() + 1 < count and not told(step):  # the string of names, by doubling
+                key = rank * (count + 1)
+                key[: count - step] += rank[step:] + 1 if step < count else 0
+                by = np.argsort(key)
+                key = key[by]
+                rank[by] = np.cumsum(np.concatenate(([0], key[1:] != key[:-1])))
                 step *= 2
             order = lms[np.argsort(rank, kind="stable")]
         lcp = np.zeros(len(order), dtype=np.int64)
