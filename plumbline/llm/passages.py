@@ -109,15 +109,20 @@ def _repeated(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         solid = np.ones(len(text), dtype=bool)
         solid[begin + size] = False
         text[solid] = raw[off[0] : off[-1]]
+        whole = size >= LENGTH
+        fits = np.zeros(len(text) + 1, dtype=np.int8)
+        fits[begin[whole]] = 1
+        fits[begin[whole] + size[whole] - LENGTH + 1] -= 1
+        fits = np.cumsum(fits[:-1], dtype=np.int8) > 0
         twice = np.zeros(len(text), dtype=bool)
         sorter = InducedSorter(text, LENGTH)
         try:
             sorter.sort()
             for at, lcp in sorter.suffixes():
-                own = np.searchsorted(begin, at, side="right") - 1
-                fits = at + LENGTH <= begin[own] + size[own]
-                same = np.append(lcp[1:] >= LENGTH, False) | (lcp >= LENGTH)
-                twice[at[fits & same]] = True
+                long = lcp >= LENGTH
+                long[:-1] |= long[1:]
+                at = at[long]
+                twice[at[fits[at]]] = True
         finally:
             sorter.close()
         edge = np.diff(np.concatenate(([0], twice.astype(np.int8), [0])))

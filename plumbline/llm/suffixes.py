@@ -268,7 +268,7 @@ class InducedSorter:
             run = less[byte].load(0, less[byte].n)["at"][::-1]
             found.append(run[is_lms[run]])
         order = np.concatenate(found)
-        where = np.searchsorted(lms, order)
+        where = (np.cumsum(is_lms) - 1)[order]
         h, size = span_hash(prefix, order, stop[where]), stop[where] - order
         new = np.ones(len(order), dtype=np.int64)
         new[1:] = (h[1:] != h[:-1]) | (size[1:] != size[:-1])
