@@ -42,6 +42,7 @@ def trade(preds: DataFrame, config: BacktestConfig) -> DataFrame:
 
 def run_metrics(preds: DataFrame, config: ExperimentConfig) -> DataFrame:
     """Predictive and financial metrics of each (symbol, model) with benchmark and excess Sharpe ratio."""
+    preds = preds.cache()  # fits run once, three groups of metrics read them
     rows = trade(preds, config.backtest)
     strategy = m.financial_metrics(rows, "strategy_return", "equity", "position", wf.KEYS)
     benchmark = m.financial_metrics(rows, "benchmark_return", "benchmark_equity", None, wf.KEYS).select(*wf.KEYS, F.col("sharpe").alias("benchmark_sharpe"), F.col("total_return").alias("benchmark_return"))

@@ -181,7 +181,7 @@ def decided(spark, sf_dir):
     return jr.decided(jr.scored_rows(scored(spark, sf_dir))).select("asof_date", "symbol", "model", "position")
 
 
-ASOF = "2000-01-10"
+ASOF = "2001-08-03"
 FRESH = f", lb as (select symbol, max(date) as last_bar from bars group by symbol), fr as (select symbol, last_bar, (date '{ASOF}' - last_bar)::double as age_days, len(list_filter(generate_series(last_bar + interval 1 day, timestamp '{ASOF}' - interval 1 day, interval 1 day), lambda d: isodow(d) <= 5))::double as missed_sessions from lb)"
 
 
@@ -207,9 +207,9 @@ def freshness_line(spark, sf_dir):
     return line(jr.data_freshness(segment_bars(spark, sf_dir), ASOF))
 
 
-@_simple("jrn_14_stale_symbols", FRESH + " select symbol from fr where age_days > 5")
+@_simple("jrn_14_stale_symbols", FRESH + " select symbol from fr where age_days > 2")
 def stale(spark, sf_dir):
-    return jr.stale_symbols(jr.data_freshness(segment_bars(spark, sf_dir), ASOF), 5)
+    return jr.stale_symbols(jr.data_freshness(segment_bars(spark, sf_dir), ASOF), 2)
 
 
 @_simple("jrn_15_outcome_begun", ", lb as (select symbol, max(date) as last_bar from bars group by symbol) select symbol from lb where ((last_bar + case isodow(last_bar) when 5 then 3 when 6 then 2 else 1 end)::timestamp + interval 16 hour)::timestamp at time zone 'America/New_York' <= timestamptz '2100-01-01 00:00:00+00'")

@@ -214,7 +214,7 @@ def full_dataset(spark, sf_dir):
 @add("wf_04_walk_forward_run")
 def walk_forward(spark, sf_dir):
     ds = full_dataset(spark, sf_dir)
-    return wf.walk_forward_metrics(wf.fit_predict(ds, wf.folds_of(ds), "ridge", FULL), 1)
+    return wf.walk_forward_metrics(wf.fit_predict(ds, wf.folds_of(ds), "ridge", FULL).cache(), 1)
 
 
 @add("mod_09_feature_importance")
