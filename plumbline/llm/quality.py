@@ -208,11 +208,12 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) ->
             flat = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), len(FEATURES)).cast(pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([flat, b.column(1), b.column(2)], names=["x", "y", "doc_id"])
 
-    got = rows.mapInArrow(measure, "x array<double>, y double, doc_id bigint").toPandas().sort_values("doc_id", kind="stable")
+    got = rows.mapInArrow(measure, "x array<double>, y double, doc_id bigint").toPandas()
     if not len(got):
         return fit(np.zeros((0, len(FEATURES))), np.zeros(0))
-    order = sorted(range(len(got)), key=lambda i: (got["doc_id"].iloc[i], tuple(got["x"].iloc[i])))
-    return fit(np.array([got["x"].iloc[i] for i in order]), got["y"].to_numpy()[order])
+    x, ids = np.stack(got["x"].to_numpy()), got["doc_id"].to_numpy()
+    order = np.lexsort((*x.T[::-1], ids))  # by doc_id, then by features: the fit must not depend on the order of arrival
+    return fit(x[order], got["y"].to_numpy()[order])
 
 
 def score_documents(docs: DataFrame, model: FlatTrees, carry: Sequence[str]) -> DataFrame:
