@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.config import BacktestConfig
@@ -61,6 +61,14 @@ def run_backtest(signals: DataFrame, config: BacktestConfig | None = None) -> Da
     return out.drop("__target", "__vol")
 
 
+def align_signals(prices: DataFrame, signals: DataFrame) -> DataFrame:
+    """symbol, date, close, signal on the dates that both sides have; a symbol with fewer than two raises."""
+    both = prices.select("symbol", "date", "close").join(signals.select("symbol", "date", "signal"), ["symbol", "date"])
+    n = F.count("*").over(Window.partitionBy("symbol"))
+    few = F.raise_error(F.concat(F.col("symbol"), F.lit(": fewer than two bars of price and signal"))).cast("double")
+    return both.withColumn("close", F.when(n < 2, few).otherwise(F.col("close")))
+
+
 def summary(metrics: DataFrame, keys: list[str]) -> DataFrame:
     """Wide strategy_* and benchmark_* metrics -> metric, strategy, buy_and_hold."""
     names = sorted(c.removeprefix("strategy_") for c in metrics.columns if c.startswith("strategy_"))

@@ -92,6 +92,13 @@ def calmar(spark, sf_dir):
     return rounded(m.financial_metrics(backtest(spark, sf_dir), "strategy_return", "equity").select("symbol", "calmar"))
 
 
+@add("join_09_signal_price_intersection", PATH + ", s as (select symbol, date, sign(close - open) as signal from bars where day(date) % 2 = 0) select b.symbol, b.date, b.close, s.signal::double as signal from bars b join s on b.symbol = s.symbol and b.date = s.date")
+def intersection(spark, sf_dir):
+    bars = price_path(spark, sf_dir)
+    some = bars.where(F.dayofmonth("date") % 2 == 0).select("symbol", "date", F.signum(F.col("close") - F.col("open")).alias("signal"))
+    return bt.align_signals(bars, some)
+
+
 @add("bt_01_simple_returns", BACKTEST_SQL + "select symbol, date, round(asset_return, 8) as asset_return from b")
 def simple_returns(spark, sf_dir):
     return rounded(backtest(spark, sf_dir).select("symbol", "date", "asset_return"), 8)
