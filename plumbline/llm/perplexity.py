@@ -44,7 +44,7 @@ FOLDS, HELD_OUT_FOLD = 5, 1
 FILTER_BITS, PROBES, BITS_PER_ENTRY = 29, 4, 10
 WINDOW, CHANCE = 6, 0.05
 CONFIDENCE = np.array([0.02, 0.15, 0.5, 0.8, 0.9, 0.95, 0.97])
-DOCS_PER_BUCKET = 8_000
+DOCS_PER_BUCKET = 4_000
 FLUSH = 1 << 22
 END = np.uint64(0xE0DE0DE0DE0DE0D1)
 #: The levels of counts.
