@@ -38,7 +38,7 @@ from plumbline.llm.jaccard import _groups
 from plumbline.llm.suffixes import InducedSorter
 
 LENGTH, GRAM = 200, 40
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 FILTER_BITS = 27
 SEPARATOR = 0xFF  # never a byte of UTF-8
 
