@@ -18,6 +18,7 @@ row before they are sorted, so thousands of copies cost what one does. Bit
 filters of fixed size spare work; exact joins follow them.
 
 Defined cases: null or empty text has 0 bytes; texts shorter than LENGTH keep all;
+texts longer than STRETCH_BYTES are looked at in overlapping stretches;
 repeated rows are copies of each other; a null doc_id is kept apart by its text; an
 empty table gives no rows; extra columns are ignored. Bytes that are left may
 not be valid UTF-8, so they are returned as binary.
@@ -39,6 +40,8 @@ from plumbline.llm.suffixes import InducedSorter
 
 LENGTH, GRAM = 200, 40
 SHARD_BYTES = 2 << 20
+#: Longer texts are looked at in stretches; positions within one have 26 bits.
+STRETCH_BYTES = 8 << 20
 FILTER_BITS = 27
 SEPARATOR = 0xFF  # never a byte of UTF-8
 
@@ -53,13 +56,24 @@ def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(right[:n], left[width - 1 : width - 1 + n])
 
 
-def segments(data: np.ndarray, off: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """(row, first window, last window, anchor hash, segment hash) of the segments of a piece; windows by their start in the piece."""
+def _stretches(data: np.ndarray, off: np.ndarray, length: int, gram: int, longest: int) -> tuple[np.ndarray, ...]:
+    """segments() of stretches that share length - 1 bytes, so that each window is in one of them. A segment cut by a border is two of one anchor, which are sorted like any others that differ."""
+    step, parts = longest - length + 1, []
+    for at in range(0, len(data) - length + 1, step):
+        end = min(at + longest, len(data))
+        inner = off[(off > at) & (off < end)] - at
+        row, a, b, anchor, own = segments(data[at:end], np.concatenate(([0], inner, [end - at])), length, gram, longest)
+        parts.append((row + np.searchsorted(off, at, side="right") - 1, a + at, b + at, anchor, own))
+    return tuple(np.concatenate(p) for p in zip(*parts))
+
+
+def segments(data: np.ndarray, off: np.ndarray, length: int = LENGTH, gram: int = GRAM, longest: int = STRETCH_BYTES) -> tuple[np.ndarray, ...]:
+    """(row, first window, last window, anchor hash, segment hash) of the segments of a piece; windows by their start in the piece. longest: at most 2^26, at least `length`."""
     none = np.zeros(0, dtype=np.int64)
     if len(data) < length:
         return none, none, none, none.view(np.uint64), none.view(np.uint64)
-    if len(data) >= 1 << 26:
-        raise ValueError("a single text of 64 MiB or more has to be cut before its suffixes are sorted")
+    if len(data) > longest:
+        return _stretches(data, off, length, gram, longest)
     prefix = prefix_hash(data)
     h = rolling_hash(prefix, gram)
     h &= ~np.uint64((1 << 26) - 1)

@@ -205,6 +205,29 @@ def test_repeats_equal_brute_force(spark, table):
         assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == (len(x), int(cover.sum()), runs, hashlib.sha256(kept).hexdigest())
 
 
+@pytest.mark.parametrize("case", range(20))
+def test_stretches_deal_each_window_once_to_its_anchor(case):
+    rng = np.random.default_rng(case)
+    data = rng.integers(97, 97 + int(rng.choice([1, 2, 26])), int(rng.integers(30, 900))).astype(np.uint8)
+    off = np.unique(np.concatenate(([0, len(data)], rng.integers(0, len(data), int(rng.integers(0, 4))))))
+
+    def windows(longest):
+        row, a, b, anchor, _ = passages.segments(data, off, 30, 6, longest)
+        return sorted((i, int(r), int(h)) for r, x, y, h in zip(row, a, b, anchor) for i in range(x, y + 1))
+
+    assert windows(int(rng.integers(30, 120))) == windows(1 << 20)
+
+
+def test_a_text_longer_than_a_stretch(spark, docs):
+    rng = np.random.default_rng(1)
+    long = rng.integers(97, 123, passages.STRETCH_BYTES + 50_000).astype(np.uint8).tobytes().decode()
+    at = passages.STRETCH_BYTES - 1000
+    rows = [(1, long), (2, "#" * 100 + long[at : at + 2000] + "%" * 100)]
+    got = {r["doc_id"]: r for r in passages.remove_repeats(docs(rows)).drop("kept").collect()}
+    assert [(got[i]["n_removed"], got[i]["n_spans"]) for i in (1, 2)] == [(2000, 1), (2000, 1)]
+    assert got[2]["kept_sha256"] == hashlib.sha256(b"#" * 100 + b"%" * 100).hexdigest()
+
+
 # ---------------------------------------------------------------- language model
 
 
