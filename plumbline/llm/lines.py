@@ -167,7 +167,7 @@ def build_filters(table: DataFrame, shards: int, min_docs: int = MIN_DOCS) -> Da
 def update_filters(filters: DataFrame, before: DataFrame, after: DataFrame, shards: int, min_docs: int = MIN_DOCS) -> DataFrame:
     """The filters after an insertion or deletion: only the keys that crossed the limit are put in or taken out.
 
-    A shard that overflows is to be built anew by build_filters with more shards.
+    A shard that overflows is built anew, larger, from the exact table.
     """
     up = after.where(F.col("refs") >= min_docs).select("k1", "k2")
     down = before.where(F.col("refs") >= min_docs).select("k1", "k2")
@@ -177,11 +177,17 @@ def update_filters(filters: DataFrame, before: DataFrame, after: DataFrame, shar
         shard = int((old if len(old) else change)["shard"].iloc[0])
         out = CuckooFilter.from_bytes(old["filter"].iloc[0]) if len(old) else CuckooFilter(4 * len(change))
         change = change.sort_values("step")
-        for a, b, s in zip(change["k1"].to_numpy().view(np.uint64), change["k2"].to_numpy().view(np.uint64), change["step"]):
-            out.insert(int(a), int(b)) if s > 0 else out.delete(int(a), int(b))
+        try:
+            for a, b, s in zip(change["k1"].to_numpy().view(np.uint64), change["k2"].to_numpy().view(np.uint64), change["step"]):
+                out.insert(int(a), int(b)) if s > 0 else out.delete(int(a), int(b))
+        except OverflowError:
+            return pd.DataFrame({"shard": [shard], "filter": [None]})
         return pd.DataFrame({"shard": [shard], "filter": [out.to_bytes()]})
 
-    return filters.groupBy("shard").cogroup(moves.select(_shard(shards), "k1", "k2", "step").groupBy("shard")).applyInPandas(apply, "shard int, filter binary")
+    moved = filters.groupBy("shard").cogroup(moves.select(_shard(shards), "k1", "k2", "step").groupBy("shard")).applyInPandas(apply, "shard int, filter binary")
+    moved = written(moved, "line-filters")
+    full = after.join(moved.where("filter is null").select("shard"), _shard(shards) == F.col("shard"), "left_semi")
+    return moved.where("filter is not null").unionByName(build_filters(full, shards, min_docs))
 
 
 def probe(lines: DataFrame, filters: DataFrame, shards: int, salts: int = SALTS) -> DataFrame:

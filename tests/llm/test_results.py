@@ -111,6 +111,16 @@ def test_curriculum_is_sorted_and_follows_its_schedule(docs):
 # ---------------------------------------------------------------- lines
 
 
+def test_a_full_filter_is_built_anew(spark, docs):
+    few, many = docs([(i, "first line") for i in range(3)]), docs([(i, "\n".join(f"line {k}" for k in range(400))) for i in range(10, 13)])
+    before = lines.count_references(few)
+    after = lines.insert(before, many)
+    grown = lines.update_filters(lines.build_filters(before, 1, 3), before, after, 1, 3).collect()
+    keys = np.array([(r["k1"], r["k2"]) for r in after.collect()]).view(np.uint64)
+    assert len(grown) == 1 and len(keys) == 401
+    assert lines.CuckooFilter.from_bytes(bytes(grown[0]["filter"])).contains(keys[:, 0], keys[:, 1]).all()
+
+
 def test_cuckoo_filter_inserts_and_deletes():
     rng = np.random.default_rng(1)
     k = rng.integers(0, 1 << 62, (3000, 2)).astype(np.uint64)
