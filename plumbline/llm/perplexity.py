@@ -1,12 +1,11 @@
 """Operator 8: language-model scoring with a log-frequency Bloom filter.
 
 The training documents' words and word pairs are counted by hash range on the
-executors. Each count is quantised on a logarithmic scale, and the pair is put
-into a Bloom filter once for each level up to its own (so a lookup probes level
-1, 2, ... until one is missing). The filter has FILTER_BITS bits, always; it is
-assembled from slabs (a range of hashes owns a range of bits) and broadcast.
-Where the pairs of a slab do not fit, the smallest counts stay out, by
-the same rule at every size.
+executors. Each pair's count is quantised on a logarithmic scale, and the pair is
+put into a Bloom filter once for each level up to its own (so a lookup probes level
+1, 2, ... until one is missing). The filter lies in slabs, one for each range of
+hashes; a slab has as many bits as its entries need (BITS_PER_ENTRY or more), and
+the number of slabs grows with the data, so that no pair is left out at any size.
 
 Probability of a word w after v, with exact unigram counts c, N tokens and V words:
   P1(w) = (c(w) + 0.5) / (N + 0.5 (V + 1))
@@ -17,10 +16,11 @@ many of the last WINDOW pairs were found although chance would not explain them
 history sum to one at most.
 
 Scale: documents are dealt into buckets by doc_id (one shuffle of the text, used
-twice); a bucket sends each word range its distinct words and their counts as one
-compressed block, and gets back the totals, so that exact counts meet every text
-without a row for each word and without a dictionary on any machine. Ranges and
-buckets grow in number with the data.
+twice); a bucket sends each hash range its distinct words and pairs with their
+training counts as one compressed block each, and gets back the words' exact totals
+and what the slab holds of the pairs. A slab lives only in the task that probes it;
+nothing is broadcast and no machine holds a dictionary. Ranges and buckets grow in
+number with the data.
 
 Defined cases: null or empty text is one end token; repeated rows count and are
 scored as often as they occur; a null doc_id belongs to fold crc32('') mod 5;
@@ -30,22 +30,19 @@ table gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
-
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import mix64, pieces, prefix_hash, small_batches, span_hash, words, written
+from plumbline.llm.common import mix64, pieces, prefix_hash, small_batches, span_hash, words
 
 FOLDS, HELD_OUT_FOLD = 5, 1
-FILTER_BITS, PROBES, BITS_PER_ENTRY = 29, 4, 10
+PROBES, BITS_PER_ENTRY = 4, 32
 WINDOW, CHANCE = 6, 0.05
 CONFIDENCE = np.array([0.02, 0.15, 0.5, 0.8, 0.9, 0.95, 0.97])
 DOCS_PER_BUCKET = 4_000
-FLUSH = 1 << 22
 END = np.uint64(0xE0DE0DE0DE0DE0D1)
 #: The levels of counts.
 LEVELS = np.unique(np.round(np.sqrt(2.0) ** np.arange(80)).astype(np.int64))
@@ -107,11 +104,11 @@ def token_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def pair_hashes(tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Hash of (previous, token) for each token; the first token of a text follows the end token."""
+    """Hash of (previous, token) for each token, 48 bits of it; the first token of a text follows the end token."""
     previous = np.empty_like(tokens)
     previous[1:] = tokens[:-1]
     previous[at[:-1]] = END
-    return mix64(mix64(previous) + tokens)
+    return mix64(mix64(previous) + tokens) & np.uint64(0xFFFFFFFFFFFF0000)
 
 
 # ---------------------------------------------------------------- the filter
@@ -120,7 +117,7 @@ def pair_hashes(tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
 class LogBloom:
     """Log-frequency Bloom filter over slabs: the top bits of a hash choose the slab, its probes stay inside."""
 
-    def __init__(self, bits: np.ndarray, slab_bits: int, filter_bits: int = FILTER_BITS):
+    def __init__(self, bits: np.ndarray, slab_bits: int, filter_bits: int):
         self.bits, self.slab_bits, self.filter_bits = bits, slab_bits, filter_bits
 
     @staticmethod
@@ -131,13 +128,12 @@ class LogBloom:
         return [(x + np.uint64(i) * step) & np.uint64((1 << width) - 1) for i in range(PROBES)]
 
     @classmethod
-    def slab(cls, keys: np.ndarray, counts: np.ndarray, width: int) -> np.ndarray:
-        """The bits of a slab; the smallest counts stay out while there are more entries than it can hold."""
+    def slab(cls, keys: np.ndarray, counts: np.ndarray, width: int = 3) -> np.ndarray:
+        """The bits of a slab: 2^width, or as many more as its entries need."""
         level = level_of(counts)
-        room, least = (1 << width) // BITS_PER_ENTRY, 1
-        while least < len(LEVELS) and level[level >= least].sum() > room:
-            least += 1
-        keys, level = keys[level >= least], level[level >= least]
+        keys, level = keys[level > 0], level[level > 0]
+        while (1 << width) < int(level.sum()) * BITS_PER_ENTRY:
+            width += 1
         bits = np.zeros(1 << (width - 3), dtype=np.uint8)
         for q in range(1, int(level.max()) + 1 if len(level) else 1):
             own = keys[level >= q]
@@ -145,6 +141,12 @@ class LogBloom:
                 np.bitwise_or.at(bits, p >> np.uint64(3), np.uint8(1) << (p & np.uint64(7)).astype(np.uint8))
         return bits
 
+    @classmethod
+    def of(cls, keys: np.ndarray, counts: np.ndarray) -> LogBloom:
+        """One slab that holds all keys of a count."""
+        bits = cls.slab(keys, counts)
+        return cls(bits, 0, len(bits).bit_length() + 2)
+
     def count(self, h: np.ndarray) -> np.ndarray:
         """Counts, rounded down to a level; 0 for what the filter does not hold."""
         out = np.zeros(len(h), dtype=np.int64)
@@ -177,140 +179,86 @@ def train_mask(held: pa.Array) -> np.ndarray:
     return ~held.to_numpy(zero_copy_only=False).astype(bool)
 
 
-def count_ngrams(docs: DataFrame, slab_bits: int) -> DataFrame:
-    """kind (1 words, 2 pairs), slab, keys, counts: compressed partial counts of the training rows of docs (text, held_out)."""
-
-    def flush(kind: int, parts: list[np.ndarray]) -> pa.RecordBatch:
-        keys, counts = np.unique(np.concatenate(parts), return_counts=True)
-        cut = np.searchsorted(keys, np.arange(1, 1 << slab_bits, dtype=np.uint64) << np.uint64(64 - slab_bits))
-        ks, cs = np.split(keys, cut), np.split(counts, cut)
-        full = [i for i, k in enumerate(ks) if len(k)]
-        return pa.RecordBatch.from_arrays([pa.array([kind] * len(full), pa.int32()), pa.array(full, pa.int32()), pa.array([pack(ks[i]) for i in full], pa.binary()), pa.array([pack_counts(cs[i]) for i in full], pa.binary())], names=["kind", "slab", "keys", "counts"])
-
-    def emit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[np.ndarray]] = {1: [], 2: []}
-        n = 0
-        for b in batches:
-            for _, _, data, off in pieces(b.column(0)):
-                tokens, at = token_hashes(data, off)
-                pairs = pair_hashes(tokens, at) & np.uint64(0xFFFFFFFFFFFF0000)  # 48 bits are enough for the filter
-                held[1].append(np.unique(tokens))
-                held[2].append(pairs)
-                n += len(tokens)
-                if n > FLUSH:
-                    yield from (flush(k, v) for k, v in held.items())
-                    held, n = {1: [], 2: []}, 0
-        if n:
-            yield from (flush(k, v) for k, v in held.items())
-
-    train = docs.where(~F.col("held_out")).select("text")
-    return train.mapInArrow(emit, "kind int, slab int, keys binary, counts binary")
-
-
-def build_filter(docs: DataFrame, slab_bits: int) -> tuple[LogBloom, int]:
-    """(filter over word pairs, number of distinct training words)."""
-    width = FILTER_BITS - slab_bits
-
-    def merge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slab: int | None = None
-        keys: dict[int, list] = {1: [], 2: []}
-        counts: list[np.ndarray] = []
-
-        def close() -> pa.RecordBatch:
-            distinct = len(np.unique(np.concatenate(keys[1]))) if keys[1] else 0
-            k, c = _sum_sorted(np.concatenate(keys[2]), np.concatenate(counts)) if keys[2] else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            return pa.RecordBatch.from_arrays([pa.array([slab], pa.int32()), pa.array([distinct], pa.int64()), pa.array([LogBloom.slab(k, c, width).tobytes()], pa.binary())], names=["slab", "words", "bits"])
-
-        for b in batches:
-            for i in range(b.num_rows):
-                s, kind = b.column("slab")[i].as_py(), b.column("kind")[i].as_py()
-                if s != slab:
-                    if slab is not None:
-                        yield close()
-                    slab, keys, counts = s, {1: [], 2: []}, []
-                keys[kind].append(unpack(b.column("keys")[i].as_py()))
-                if kind == 2:
-                    counts.append(unpack_counts(b.column("counts")[i].as_py()))
-        if slab is not None:
-            yield close()
-
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    slabs = written(count_ngrams(docs, slab_bits).repartition(n, "slab").sortWithinPartitions("slab").mapInArrow(merge, "slab int, words bigint, bits binary"), "lm-slabs")
-    bits, size = np.zeros(1 << (FILTER_BITS - 3), dtype=np.uint8), 1 << (width - 3)
-    for row in slabs.select("slab", "bits").toLocalIterator():
-        bits[row["slab"] * size : (row["slab"] + 1) * size] = np.frombuffer(bytes(row["bits"]), dtype=np.uint8)
-    return LogBloom(bits, slab_bits), int(slabs.agg(F.sum("words")).first()[0] or 0)
-
-
 # ---------------------------------------------------------------- scoring
 
 
-def score_documents(docs: DataFrame, slab_bits: int | None = None) -> DataFrame:
+def score_documents(docs: DataFrame, range_bits: int | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of docs."""
-    spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(docs.sparkSession)
     fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % FOLDS
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), (fold == HELD_OUT_FOLD).alias("held_out"))
     buckets = max(1, -(-docs.count() // DOCS_PER_BUCKET))
-    if slab_bits is None:
-        slab_bits = min(16, max(6, (buckets - 1).bit_length() + 2))
-    bloom, vocabulary = build_filter(rows, slab_bits)
-    shared = spark.sparkContext.broadcast(bloom.bits)
-    range_bits = max(4, (buckets - 1).bit_length())
+    if range_bits is None:
+        range_bits = max(4, (buckets - 1).bit_length())
+    ranges = 1 << range_bits
     dealt = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int"))
 
     def ask(group: pa.Table) -> pa.Table:
-        tokens, train = [], []
+        """Spans 0 to ranges - 1 are of words, the others of pairs."""
+        found: list[list[tuple[np.ndarray, np.ndarray]]] = [[], []]
         for b in group.combine_chunks().to_batches():
             learn = train_mask(b.column("held_out"))
             for first, end, data, off in pieces(b.column("text")):
                 t, at = token_hashes(data, off)
-                tokens.append(np.unique(t))
-                use = np.repeat(learn[first:end], np.diff(at))
-                train.append(np.unique(t[use], return_counts=True))
-        keys, counts = _sum_sorted(np.concatenate([*tokens, *(k for k, _ in train)]), np.concatenate([*(np.zeros(len(k), np.int64) for k in tokens), *(c for _, c in train)]))
-        cut = np.searchsorted(keys, np.arange(1, 1 << range_bits, dtype=np.uint64) << np.uint64(64 - range_bits))
-        ks, cs = np.split(keys, cut), np.split(counts, cut)
-        n = len(ks)
-        return pa.table({"bucket": pa.array([group.column("bucket")[0].as_py()] * n, pa.int32()), "span": pa.array(range(n), pa.int32()), "keys": pa.array([pack(k) for k in ks], pa.binary()), "counts": pa.array([pack_counts(c) for c in cs], pa.binary())})
+                use = np.repeat(learn[first:end], np.diff(at)).astype(np.int64)
+                found[0].append(_sum_sorted(t, use))
+                found[1].append(_sum_sorted(pair_hashes(t, at), use))
+        keys, counts = [], []
+        for parts in found:
+            k, c = _sum_sorted(np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts]))
+            cut = np.searchsorted(k, np.arange(1, ranges, dtype=np.uint64) << np.uint64(64 - range_bits))
+            keys += map(pack, np.split(k, cut))
+            counts += map(pack_counts, np.split(c, cut))
+        n = len(keys)
+        return pa.table({"bucket": pa.array([group.column("bucket")[0].as_py()] * n, pa.int32()), "span": pa.array(range(n), pa.int32()), "keys": pa.array(keys, pa.binary()), "counts": pa.array(counts, pa.binary())})
 
     def answer(group: pa.Table) -> pa.Table:
         asked = [unpack(x.as_py()) for x in group.column("keys")]
         counts = [unpack_counts(x.as_py()) for x in group.column("counts")]
         keys, total = _sum_sorted(np.concatenate(asked), np.concatenate(counts))
-        told = [pack_counts(total[np.searchsorted(keys, k)]) for k in asked]
-        return pa.table({"bucket": group.column("bucket"), "span": group.column("span"), "keys": group.column("keys"), "totals": pa.array(told, pa.binary()), "tokens": pa.array([int(total.sum())] * len(told), pa.int64())})
+        back, n_tokens, n_words = group.column("keys"), int(total.sum()), int((total > 0).sum())
+        if group.column("span")[0].as_py() < ranges:
+            told = [pack_counts(total[np.searchsorted(keys, k)]) for k in asked]
+        else:
+            slab = LogBloom.of(keys, total)
+            told = [pack_counts(slab.count(k)) for k in asked]
+            back, n_tokens, n_words = pa.array([b""] * len(told), pa.binary()), 0, 0  # the bucket finds its pairs again in its texts
+        n = len(told)
+        return pa.table({"bucket": group.column("bucket"), "span": group.column("span"), "keys": back, "totals": pa.array(told, pa.binary()), "tokens": pa.array([n_tokens] * n, pa.int64()), "words": pa.array([n_words] * n, pa.int64())})
 
     def score(texts: pa.Table, told: pa.Table) -> pa.Table:
         told = told.sort_by("span")
-        keys = np.concatenate([unpack(x.as_py()) for x in told.column("keys")]) if told.num_rows else np.zeros(0, np.uint64)
-        total = np.concatenate([unpack_counts(x.as_py()) for x in told.column("totals")]) if told.num_rows else np.zeros(0, np.int64)
-        n_train = int(np.sum(told.column("tokens").to_numpy())) if told.num_rows else 0
-        model = LogBloom(shared.value, slab_bits)
+        of_words, of_pairs = told.slice(0, ranges), told.slice(ranges)
+        keys = np.concatenate([unpack(x.as_py()) for x in of_words.column("keys")]) if told.num_rows else np.zeros(0, np.uint64)
+        total, held = (np.concatenate([unpack_counts(x.as_py()) for x in part.column("totals")]) if told.num_rows else np.zeros(0, np.int64) for part in (of_words, of_pairs))
+        n_train, vocabulary = (int(np.sum(told.column(c).to_numpy())) if told.num_rows else 0 for c in ("tokens", "words"))
         unigram = (total + 0.5) / (n_train + 0.5 * (vocabulary + 1))
         log_unigram = np.log10(unigram)
         end = int(np.searchsorted(keys, END)) if len(keys) else 0
-        out = []
+        read = []
         for b in texts.combine_chunks().to_batches():
             for first, last, data, off in pieces(b.column("text")):
-                t, at = token_hashes(data, off)
-                index = np.searchsorted(keys, t)
-                pair = model.count(pair_hashes(t, at) & np.uint64(0xFFFFFFFFFFFF0000))
-                before = np.empty_like(index)
-                before[1:] = index[:-1]
-                before[at[:-1]] = end
-                history = total[before].astype(np.float64)
-                chance = history * total[index] / max(n_train, 1)
-                share = np.where(history > 0, confidence((pair > 0) & (chance < CHANCE), at), 0.0)
-                p = (1 - share) * unigram[index] + share * np.minimum(pair / np.maximum(history, 1), 1.0)
-                cut = at[:-1]
-                out.append((b.column("doc_id").slice(first, last - first), b.column("held_out").slice(first, last - first), np.diff(at), np.add.reduceat((total[index] > 0).astype(np.int64), cut), np.add.reduceat(log_unigram[index], cut), np.add.reduceat(np.log10(p), cut)))
+                read.append((b.column("doc_id").slice(first, last - first), b.column("held_out").slice(first, last - first), *token_hashes(data, off)))
+        pairs = np.unique(np.concatenate([np.unique(pair_hashes(t, at)) for _, _, t, at in read])) if read else np.zeros(0, np.uint64)
+        out = []
+        for ids, held_out, t, at in read:
+            index = np.searchsorted(keys, t)
+            pair = held[np.searchsorted(pairs, pair_hashes(t, at))]
+            before = np.empty_like(index)
+            before[1:] = index[:-1]
+            before[at[:-1]] = end
+            history = total[before].astype(np.float64)
+            chance = history * total[index] / max(n_train, 1)
+            share = np.where(history > 0, confidence((pair > 0) & (chance < CHANCE), at), 0.0)
+            p = (1 - share) * unigram[index] + share * np.minimum(pair / np.maximum(history, 1), 1.0)
+            cut = at[:-1]
+            out.append((ids, held_out, np.diff(at), np.add.reduceat((total[index] > 0).astype(np.int64), cut), np.add.reduceat(log_unigram[index], cut), np.add.reduceat(np.log10(p), cut)))
         names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
         batches = [pa.RecordBatch.from_arrays([i, h, pa.array(n), pa.array(k), pa.array(np.full(len(n), n_train)), pa.array(base), pa.array(s)], names=names) for i, h, n, k, base, s in out]
         return pa.Table.from_batches(batches, schema=pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())]))
 
     asked = dealt.groupBy("bucket").applyInArrow(ask, "bucket int, span int, keys binary, counts binary")
-    told = asked.groupBy("span").applyInArrow(answer, "bucket int, span int, keys binary, totals binary, tokens bigint")
+    told = asked.groupBy("span").applyInArrow(answer, "bucket int, span int, keys binary, totals binary, tokens bigint, words bigint")
     return dealt.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInArrow(score, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
 
 

@@ -262,6 +262,14 @@ def test_log_bloom_rounds_counts_down():
     assert (got <= counts).mean() > 0.99 and (got * 1.5 >= counts).all()
 
 
+def test_a_slab_grows_with_its_pairs():
+    keys = np.unique(np.random.default_rng(1).integers(0, 1 << 63, 100_000).astype(np.uint64))
+    bits = perplexity.LogBloom.slab(keys, np.ones(len(keys), dtype=np.int64), 12)
+    f = perplexity.LogBloom(bits, 0, len(bits).bit_length() + 2)
+    assert (f.count(keys) >= 1).all()  # single occurrences too
+    assert (f.count(keys + np.uint64(1 << 63)) > 0).mean() < 0.01
+
+
 # ---------------------------------------------------------------- leaks
 
 
