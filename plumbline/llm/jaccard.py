@@ -1,7 +1,7 @@
 """Operator 10: n-gram Jaccard join by parity sketches.
 
 A document's set is its distinct word 4-grams as 64-bit hashes. Two sets link
-when 100 * |intersection| >= 85 * |union|, which bounds their symmetric difference
+when 100 * |intersection| >= 85 * |union| (both by default), which bounds their symmetric difference
 by t (from their sizes). Sets are put into size bands (powers of two; a set near a
 band's upper edge also takes part in the next band). In a band the hash range is
 cut into parts, and every part of a set has a parity sketch: the XOR of one-hot
@@ -22,7 +22,7 @@ Equal sets are one node from the start. Memory: one pair of blocks, or one
 document. The only broadcast is a bit filter of fixed size that spares work.
 
 Defined cases: null or empty text has n_shingles 0 and links with nothing; fewer
-than four words are one shingle; null doc_ids count as documents but are never a
+words than a shingle has are one shingle; null doc_ids count as documents but are never a
 component_id unless all of the component's are null; repeated rows share a set and each
 get a row; an empty table gives no rows; extra columns are ignored.
 """
@@ -30,6 +30,7 @@ get a row; an empty table gives no rows; extra columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -44,16 +45,16 @@ FILTER_BITS = 27
 _LOW = np.uint64(0xFFFFFFFF)
 
 
-def difference_bound(a, b):
+def difference_bound(a, b, percent: int = PERCENT):
     """Largest symmetric difference of sets of sizes a and b that link (exact in integers)."""
     both = a + b
-    return both - 2 * (-(-(PERCENT * both) // (100 + PERCENT)))
+    return both - 2 * (-(-(percent * both) // (100 + percent)))
 
 
-def reach(n: int) -> tuple[int, int]:
+def reach(n: int, percent: int = PERCENT) -> tuple[int, int]:
     """(largest size that may link with size n, largest symmetric difference with any such size)."""
-    top = 100 * n // PERCENT
-    return top, max(int(difference_bound(n, top)), int(difference_bound(n, top - 1)) if top > n else 0)
+    top = 100 * n // percent
+    return top, max(int(difference_bound(n, top, percent)), int(difference_bound(n, top - 1, percent)) if top > n else 0)
 
 
 def shingle_sets(column: pa.Array, size: int = WORDS) -> Iterator[np.ndarray]:
@@ -85,15 +86,15 @@ def set_id(u: np.ndarray) -> int:
     return int(mix64(np.array([mix64(u).sum(dtype=np.uint64) + np.uint64(len(u))], dtype=np.uint64)).view(np.int64)[0])
 
 
-def published(u: np.ndarray) -> np.ndarray:
+def published(u: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """Keys of the parts that a set publishes, over its one or two bands."""
     n = len(u)
     if n == 0:
         return u
-    top, t = reach(n)
+    top, t = reach(n, percent)
     out = []
     for band in {n.bit_length() - 1, top.bit_length() - 1}:
-        parts = np.uint64(-(-((2 << band) - 1) // 5) + 1)
+        parts = np.uint64(-(-((2 << band) - 1) * (100 - percent) * 17 // (15 * percent)) + 1)  # somewhat more than t; a fifth of the hashes at 85 percent
         part = ((u >> np.uint64(32)) * parts) >> np.uint64(32)
         at = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
         parity = np.bitwise_xor.reduceat(mix64(u ^ np.uint64(0xA5A5A5A5)), at)
@@ -108,22 +109,22 @@ def published(u: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
-def _describe(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _describe(batches: Iterable[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        got = [(len(u), set_id(u) if len(u) else None) for u in shingle_sets(b.column(1))]
+        got = [(len(u), set_id(u) if len(u) else None) for u in shingle_sets(b.column(1), size)]
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x for x, _ in got], pa.int64()), pa.array([x for _, x in got], pa.int64())], names=["doc_id", "n", "sid"])
 
 
-def _publish(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _publish(batches: Iterable[pa.RecordBatch], size: int, percent: int) -> Iterator[pa.RecordBatch]:
     seen: set[int] = set()
     for b in batches:
         keys, sids, held = [], [], 0
-        for u in shingle_sets(b.column(0)):
+        for u in shingle_sets(b.column(0), size):
             if not len(u) or (sid := set_id(u)) in seen:
                 continue
             if len(seen) < 1 << 20:
                 seen.add(sid)
-            keys.append(published(u))
+            keys.append(published(u, percent))
             sids.append((sid, len(keys[-1])))
             held += len(keys[-1])
             if held > 1 << 18:
@@ -167,7 +168,7 @@ def _groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
         yield pa.Table.from_batches(rest)
 
 
-def links(sids: np.ndarray, sets: list[np.ndarray], side: np.ndarray | None = None) -> list[tuple[int, int]]:
+def links(sids: np.ndarray, sets: list[np.ndarray], side: np.ndarray | None = None, percent: int = PERCENT) -> list[tuple[int, int]]:
     """Verified links that connect what is linked among the sets; with `side` (0 or 1), only across sides."""
     n = len(sets)
     size = np.array([len(u) for u in sets])
@@ -188,11 +189,11 @@ def links(sids: np.ndarray, sets: list[np.ndarray], side: np.ndarray | None = No
     sorted_size, out = size[order], []
     for k in range(n):
         i = order[k]
-        top = int(np.searchsorted(sorted_size, 100 * size[i] // PERCENT, side="right"))
+        top = int(np.searchsorted(sorted_size, 100 * size[i] // percent, side="right"))
         near = np.arange(k + 1, top)
         if bits and len(near):
             far = np.bitwise_count(sketch[k + 1 : top] ^ sketch[k]).sum(axis=1, dtype=np.int64)
-            near = near[far <= difference_bound(size[i], sorted_size[near])]
+            near = near[far <= difference_bound(size[i], sorted_size[near], percent)]
         for m in near:
             j = order[m]
             if side is not None and side[i] == side[j]:
@@ -201,20 +202,20 @@ def links(sids: np.ndarray, sets: list[np.ndarray], side: np.ndarray | None = No
             if a == b:
                 continue
             common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-            if 100 * common >= PERCENT * (size[i] + size[j] - common):
+            if 100 * common >= percent * (size[i] + size[j] - common):
                 parent[b] = a
                 out.append((int(sids[i]), int(sids[j])))
     return out
 
 
-def _verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _verify(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     found: list[tuple[int, int]] = []
     for group in _groups(batches, ["cluster", "bi", "bj"]):
         sids, at = np.unique(group.column("sid").to_numpy(), return_index=True)
         if len(sids) > 1:
             sets = [np.frombuffer(group.column("hashes")[int(i)].as_py(), dtype=np.uint64) for i in at]
             block, (bi, bj) = group.column("block").to_numpy()[at], (group.column(c)[0].as_py() for c in ("bi", "bj"))
-            found += links(sids, sets, None if bi == bj else (block == bj).astype(int))
+            found += links(sids, sets, None if bi == bj else (block == bj).astype(int), percent)
         if len(found) > 50_000:
             yield _pairs(found)
             found = []
@@ -225,22 +226,22 @@ def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], names=["a", "b"])
 
 
-def candidate_clusters(docs: DataFrame) -> DataFrame:
+def candidate_clusters(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(node, component) over the sets that share a published part."""
-    keys = docs.select("text").mapInArrow(_publish, "key bigint, sid bigint")
+    keys = docs.select("text").mapInArrow(partial(_publish, size=size, percent=percent), "key bigint, sid bigint")
     low = F.min("sid").over(Window.partitionBy("key"))
     return components(keys.select(F.col("sid").alias("a"), low.alias("b")))
 
 
-def similar_groups(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id for each row of docs."""
+def similar_groups(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id for each row of docs: sets of `size` words link from `percent` (50 at least) of their union on."""
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    info = written(rows.mapInArrow(_describe, "doc_id bigint, n bigint, sid bigint"), "sets")
+    info = written(rows.mapInArrow(partial(_describe, size=size), "doc_id bigint, n bigint, sid bigint"), "sets")
     lowest = -(1 << 63)
     reps = info.where("sid is not null").groupBy("sid").agg(F.min(F.coalesce("doc_id", F.lit(lowest))).alias("rep"), F.min("doc_id").alias("low_id"), F.max("n").alias("n"))
-    clusters = candidate_clusters(rows)
+    clusters = candidate_clusters(rows, size, percent)
     members = written(reps.join(clusters, F.col("sid") == F.col("node")).select("sid", "rep", "n", F.col("component").alias("cluster")), "members")
     blocks = members.groupBy("cluster").agg(F.ceil(F.sum("n") / BLOCK_HASHES).cast("int").alias("blocks"))
     members = members.join(blocks, "cluster")
@@ -253,7 +254,7 @@ def similar_groups(docs: DataFrame) -> DataFrame:
             part = b.take(pa.array(keep))
             ids, held, n = ids.take(pa.array(keep)), [], 0
             first = 0
-            for i, u in enumerate(shingle_sets(part.column(1))):
+            for i, u in enumerate(shingle_sets(part.column(1), size)):
                 held.append(u)
                 n += len(u)
                 if n > 1 << 18 or i + 1 == part.num_rows:
@@ -265,7 +266,7 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pairs = placed.select("cluster", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "sid", "hashes")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = pairs.repartition(n, "cluster", "bi", "bj").sortWithinPartitions("cluster", "bi", "bj").mapInArrow(_verify, "a bigint, b bigint")
+    found = pairs.repartition(n, "cluster", "bi", "bj").sortWithinPartitions("cluster", "bi", "bj").mapInArrow(partial(_verify, percent=percent), "a bigint, b bigint")
     joined = components(found)
     roots = reps.join(joined, F.col("sid") == F.col("node"), "left").select("sid", "low_id", F.coalesce("component", "sid").alias("root"))
     lows = roots.groupBy("root").agg(F.min("low_id").alias("component_id"))
@@ -274,13 +275,13 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     return linked.unionByName(info.where("sid is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
-def first_of_each_group(docs: DataFrame) -> DataFrame:
+def first_of_each_group(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The rows of docs, all columns, without near copies: of each group the smallest doc_id stays.
 
     A doc_id that is not the smallest of its group goes with all its rows; rows
     equal in doc_id and text stay once; null doc_ids stay.
     """
-    groups = similar_groups(docs.select("doc_id", "text"))
+    groups = similar_groups(docs.select("doc_id", "text"), size, percent)
     gone = groups.where(F.col("doc_id") > F.col("component_id")).select(F.col("doc_id").alias("__gone")).distinct()
     kept = docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
     again = kept.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("__n")).where("__n > 1").select(F.col("doc_id").alias("__again"))

@@ -1,5 +1,7 @@
 """The five stages against plain versions of their decisions."""
 
+import numpy as np
+
 import corpus_pipeline as cp
 from plumbline.llm import jaccard, leaks, quality
 from plumbline.llm.common import written
@@ -31,3 +33,22 @@ def test_stages(spark, table):
 
 def test_run(spark, table):
     assert cp.run(spark, table).count() > 0
+
+
+def test_near_copies_by_five_words(spark, docs):
+    words = [f"w{i}" for i in range(1000)]
+    copy = [f"x{i}" if i % 47 == 20 else w for i, w in enumerate(words)]  # 21 of 1,000 words: 0.81 by five words, 0.84 by four
+    kept = cp.keep_first_copy(spark, docs([(1, " ".join(words)), (2, " ".join(copy))]), "")
+    assert [r["doc_id"] for r in kept.collect()] == [1]
+
+
+def test_published_parts_at_any_percent():
+    rng = np.random.default_rng(4)
+    for percent in (60, 80, 85, 95):
+        for n in (1, 5, 40, 127, 130, 255, 900, 1000):
+            u = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+            _, t = jaccard.reach(len(u), percent)
+            gone = next(g for g in range(t, -1, -1) if 100 * (len(u) - g // 2) >= percent * (len(u) + g - g // 2))
+            new = rng.integers(0, 1 << 63, gone - gone // 2).astype(np.uint64)
+            v = np.unique(np.concatenate([rng.permutation(u)[gone // 2 :], new]))
+            assert len(np.intersect1d(jaccard.published(u, percent), jaccard.published(v, percent)))
