@@ -57,3 +57,15 @@ def test_entry(spark):
     assert set(e.oracle_sql()) <= set(e.queries())
     if os.path.isdir("/root/testdata/sf0.001"):
         assert e.entry(spark).count() > 0
+
+
+def test_estimators_cover_all_symbols_and_folds(spark):
+    from plumbline.operators import walkforward as wf
+    from plumbline.queries import walkforward as q
+
+    small = "/root/testdata/sf0.001"
+    if not os.path.isdir(small):
+        pytest.skip("no test data")
+    folds = {tuple(r) for r in wf.folds_of(q.full_dataset(spark, small)).select("symbol", "fold").collect()}
+    got = {tuple(r) for r in QUERIES["mod_06_estimators"](spark, small).select("model", "symbol", "fold").distinct().collect()}
+    assert got == {(m, *f) for m in {x[0] for x in got} for f in folds} and len({s for _, s, _ in got}) > 1
