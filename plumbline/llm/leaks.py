@@ -190,7 +190,7 @@ def _score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             item = [np.frombuffer(x.as_py(), dtype=np.uint64) for x in part.column("item")]
             score, end = align(text, item)
             share = score / (MATCH * np.array([len(x) for x in item]))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("item_id"), pa.array(share), pa.array(score), pa.array(part.column("start").to_numpy() + end)], names=["doc_id", "item_id", "similarity", "score", "end_word"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("item_id"), pa.array(share), pa.array(score), pa.array(part.column("start").to_numpy() + end), pa.array([len(x) for x in item], pa.int64())], names=["doc_id", "item_id", "similarity", "score", "end_word", "n"])
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE, min_matched: int = MIN_MATCHED) -> DataFrame:
@@ -210,8 +210,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE, m
     null_safe = lambda a, b: F.col(a).eqNullSafe(F.col(b))
     pairs = met.alias("m").join(passages.dropDuplicates(["doc_id", "passage", "start"]).alias("p"), null_safe("m.doc_id", "p.doc_id") & (F.col("m.passage") == F.col("p.passage")) & (F.col("m.start") == F.col("p.start")))
     pairs = pairs.select("m.doc_id", "m.item_id", "p.words", "m.start").alias("m").join(items.alias("i"), null_safe("m.item_id", "i.item_id")).select("m.doc_id", "m.item_id", "m.words", "m.start", "i.item")
-    scored = pairs.mapInArrow(_score, "doc_id bigint, item_id bigint, similarity double, score bigint, end_word bigint")
-    found = scored.where((F.col("similarity") >= min_score) & (F.col("score") >= MATCH * min_matched))
+    scored = pairs.mapInArrow(_score, "doc_id bigint, item_id bigint, similarity double, score bigint, end_word bigint, n bigint")
+    found = scored.where((F.col("similarity") >= min_score) & (F.col("score") >= MATCH * F.least(F.lit(min_matched), "n")))
     best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", "end_word")).alias("b"))
     return best.select("doc_id", "item_id", F.round("b.similarity", 6).alias("similarity"), F.col("b.end_word").alias("end_word"))
 

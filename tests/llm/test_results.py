@@ -273,6 +273,12 @@ def test_a_slab_grows_with_its_pairs():
 # ---------------------------------------------------------------- leaks
 
 
+def test_short_items_match_whole(spark, docs):
+    items = spark.createDataFrame([(1, "red green blue"), (2, "north south east west up")], "item_id bigint, text string")
+    rows = [(1, "one red green blue two"), (2, "a north south east west up b"), (3, "north south east west down"), (4, "red green")]
+    assert {(r["doc_id"], r["item_id"]) for r in leaks.leaks(docs(rows), items).collect()} == {(1, 1), (2, 2)}
+
+
 def test_edited_copies_are_found_and_others_left(spark, docs):
     rng = np.random.default_rng(5)
     vocab = [f"t{i}" for i in range(3000)]
