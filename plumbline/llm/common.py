@@ -7,9 +7,10 @@ UTF-8 bytes of a few megabytes at a time, so that memory depends on the piece
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 #: The ASCII white space that separates words, [\x20\x09-\x0D].
 WHITESPACE = b" \t\n\x0b\x0c\r"
 PIECE_BYTES = 2 << 20
-ROWS_PER_BATCH = 1000
+ROWS_PER_BATCH, BYTES_PER_BATCH = 1000, 32 << 20
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[list(WHITESPACE)] = True
@@ -37,29 +38,50 @@ _POWERS: dict[int, np.ndarray] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's checkpoint folder, or a new one where none is set (tests)."""
+    """The folder that driver and executors share: the session's checkpoint folder. Where none is set, local mode gets a new one; a cluster has no folder to fall back on."""
     sc = spark.sparkContext
     at = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not at:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = tempfile.mkdtemp(prefix="plumbline-")
         sc.setCheckpointDir(at)
     return at
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage: write a table in the shared folder and read it back."""
+def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """Cut lineage: write a table in the shared folder and read it back; also its path, for forget()."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    return stored(df, name)[0]
+
+
+def forget(spark: SparkSession, path: str) -> None:
+    """Delete a stored table that nothing reads any more."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the rows that a Python worker holds at once."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key, "10000"))
-    if now <= 0 or now > ROWS_PER_BATCH:
-        spark.conf.set(key, str(ROWS_PER_BATCH))
+    """Bound the rows and the bytes that a Python worker gets at once. Plans take these settings up when they run, so they stay set in the session; tighter ones of the caller's are kept."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS_PER_BATCH), ("spark.sql.execution.arrow.maxBytesPerBatch", BYTES_PER_BATCH)):
+        now = re.fullmatch(r"(\d+)[bB]?", spark.conf.get(key, None) or "")
+        if now is None or not 0 < int(now[1]) <= most:
+            spark.conf.set(key, str(most))
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have, in any case."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
 
 
 # ---------------------------------------------------------------- hashing
@@ -198,42 +220,112 @@ class BitFilter:
             for s, bits in found.items():
                 yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([bits.tobytes()], pa.binary())], names=["slab", "bits"])
 
-        n = max(1, min(64, 1 << max(0, log2_bits - per_slab)))
+        n = max(1, min(16, 1 << max(0, log2_bits - per_slab)))
         rows = keys.select(F.col(column).cast("bigint").alias("k")).where("k is not null").mapInArrow(positions, "slab int, pos int").distinct().repartition(n, "slab").mapInArrow(slabs, "slab int, bits binary")
         out = np.zeros(1 << (log2_bits - 3), dtype=np.uint8)
         size = 1 << (per_slab - 3)
-        for row in rows.toLocalIterator():
+        for row in rows.collect():  # one row for each slab: 2^log2_bits bits in all
             at = row["slab"] * size
             got = np.frombuffer(bytes(row["bits"]), dtype=np.uint8)[: len(out) - at]
             out[at : at + len(got)] |= got
         return cls(out, log2_bits, probes)
 
 
-# ---------------------------------------------------------------- connected components
+# ---------------------------------------------------------------- runs of equal keys
+
+
+def groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Runs of equal keys of sorted batches."""
+    rest: list[pa.RecordBatch] = []
+    last = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        cols = [b.column(k).to_numpy() for k in keys]
+        cut = np.zeros(b.num_rows, dtype=bool)
+        for c in cols:
+            cut[1:] |= c[1:] != c[:-1]
+        cut[0] = last is None or any(c[0] != x for c, x in zip(cols, last))
+        edges = np.flatnonzero(cut)
+        if rest and len(edges):
+            rest.append(b.slice(0, edges[0]))
+            yield pa.Table.from_batches(rest)
+            rest = []
+        if not len(edges):
+            rest.append(b)
+        for i, j in zip(edges, [*edges[1:], None]):
+            if j is None:
+                rest = [b.slice(i)]
+            else:
+                yield pa.Table.from_batches([b.slice(i, j - i)])
+        last = [c[-1] for c in cols]
+    if rest:
+        yield pa.Table.from_batches(rest)
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+# ---------------------------------------------------------------- connected components
+
+CONTRACT_EDGES = 1 << 18
+
+
+def _contract(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Replace runs of CONTRACT_EDGES edges by stars with the same components: each node and the least node it reaches within the run."""
+
+    def stars(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+        nodes, at = np.unique(np.concatenate((u, v)), return_inverse=True)
+        a, b, root = at[: len(u)], at[len(u) :], np.arange(len(nodes))
+        while len(a):
+            low = np.minimum(root[a], root[b])
+            np.minimum.at(root, root[a], low)
+            np.minimum.at(root, root[b], low)
+            while (root[root] != root).any():
+                root = root[root]
+            open_ = root[a] != root[b]
+            a, b = a[open_], b[open_]
+        hung = np.flatnonzero(root != np.arange(len(nodes)))
+        return pa.RecordBatch.from_arrays([pa.array(nodes[hung]), pa.array(nodes[root[hung]])], names=["u", "v"])
+
+    us, vs, held = [], [], 0
+    for x in batches:
+        us.append(x.column(0).to_numpy())
+        vs.append(x.column(1).to_numpy())
+        held += x.num_rows
+        if held >= CONTRACT_EDGES:
+            yield stars(np.concatenate(us), np.concatenate(vs))
+            us, vs, held = [], [], 0
+    if held:
+        yield stars(np.concatenate(us), np.concatenate(vs))
+
+
+def components(edges: DataFrame, rounds: int = 200) -> DataFrame:
     """(node, component): the smallest node reachable from each node that has an edge.
 
-    edges: bigint columns a, b. Alternating star contraction: in each round the
-    neighbours of a node are hung below the smallest of them; every round is a
-    written table, and a hub's edges are a join that can be split.
+    edges: bigint columns a, b. The edges of each task are contracted first, then
+    stars are contracted by turns: in each round the neighbours of a node are hung
+    below the smallest of them; every round is a stored table that replaces the one
+    before, and a hub's edges are a join that can be split.
     """
-    e = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    state = None
-    for _ in range(rounds):
+    spark = edges.sparkSession
+    pairs = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    e, path = stored(pairs.mapInArrow(_contract, "u bigint, v bigint"), "edges")
+    mark = (F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")))
+    state = e.agg(*mark).first()
+    for _ in range(rounds if state[0] else 0):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("x"), F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, F.col("u") == F.col("x")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("x"), "m")
         hung = large.join(low, F.col("u") == F.col("x"))
         small = hung.where("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).unionByName(low.select(F.col("x").alias("u"), F.col("m").alias("v"))).distinct()
-        e = written(small, "edges")
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        after, new = stored(small, "edges")
+        now = after.agg(*mark).first()
+        forget(spark, path)
+        e, path = after, new
         if now == state:
             break
         state = now
     else:
-        raise RuntimeError("components did not settle")
+        if state[0]:
+            raise RuntimeError("components did not settle")
     pairs = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return pairs.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

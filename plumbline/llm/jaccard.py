@@ -10,21 +10,29 @@ exceeds the symmetric difference. Each differing hash spoils one part at most, s
 of any t + 1 parts one is equal in both sets; a set therefore publishes its
 first t + 1 parts in an order that depends on their content alone, and
 the smallest common part is among them for both (a set with fewer parts also
-publishes its first t + 1 hashes). Sets that share a published part are candidates.
-
-Candidates form clusters (connected components). Each cluster is cut into
-blocks of a bounded number of hashes, and each pair of blocks is one unit of work:
-Hamming distances of compact sketches discard pairs, what is left is verified
-exactly unless it is connected already. Only links that join something are
-emitted, so thousands of copies give thousands of rows, not millions.
-
-Equal sets are one node from the start. Memory: one pair of blocks, or one
-document. The only broadcast is a bit filter of fixed size that spares work.
+publishes its first t + 1 hashes). Parts of a passage that many documents share come
+last in that order (hot keys, told by a bit filter that is the same for
+all), so such a passage makes few candidates.
+
+Sets that share a published key are candidates. Each is first verified against the
+hub (smallest set) of each of its keys, a number of pairs linear in the keys; a
+hub's rows are dealt out STAR_ROWS at a time. Copies are joined by that. What is left
+are keys whose other sets still stand apart: these sets form clusters, the
+cluster's largest joined group and the rest are cut into blocks, and each pair of
+blocks with a part of the rest is one unit of work: Hamming distances of
+sketches discard pairs, what is left is verified exactly unless it is
+connected already. Only links that join something are emitted, so thousands of
+copies give thousands of rows, not millions.
+
+Equal sets are one node from the start. Memory: one pair of blocks, one hub, or
+one document. The only broadcasts are two bit filters of fixed size.
 
 Defined cases: null or empty text has n_shingles 0 and links with nothing; fewer
-words than a shingle has are one shingle; null doc_ids count as documents but are never a
-component_id unless all of the component's are null; repeated rows share a set and each
-get a row; an empty table gives no rows; extra columns are ignored.
+words than a shingle has are one shingle; very long texts are one set like any other;
+null doc_ids count as documents but are never a component_id unless all of the
+component's are null; the smallest doc_id names a component whatever ties there
+are; repeated rows share a set and each get a row; an empty table gives no rows;
+extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -37,12 +45,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import BitFilter, components, mix64, pieces, prefix_hash, small_batches, span_hash, words, written
+from plumbline.llm.common import BitFilter, components, forget, fresh, groups, mix64, pieces, prefix_hash, small_batches, span_hash, stored, words, written
 
 WORDS, PERCENT = 4, 85
-BLOCK_HASHES = 200_000
+#: Hashes in a block, and rows of a hub that go to one task.
+BLOCK_HASHES, STAR_ROWS = 50_000, 64
+#: A key of this many sets is hot; where more than HOT_KEYS keys are, the limit doubles. This decides the order of keys alone, never a result.
+HOT_SETS, HOT_KEYS = 64, 1 << 23
 FILTER_BITS = 27
-_LOW = np.uint64(0xFFFFFFFF)
 
 
 def difference_bound(a, b, percent: int = PERCENT):
@@ -86,165 +96,174 @@ def set_id(u: np.ndarray) -> int:
     return int(mix64(np.array([mix64(u).sum(dtype=np.uint64) + np.uint64(len(u))], dtype=np.uint64)).view(np.int64)[0])
 
 
-def published(u: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """Keys of the parts that a set publishes, over its one or two bands."""
+def part_keys(u: np.ndarray, percent: int = PERCENT) -> Iterator[tuple[np.ndarray, int]]:
+    """For each of the set's one or two bands: its parts' keys, the largest parts first and then by content, and how many of them it publishes."""
     n = len(u)
     if n == 0:
-        return u
+        return
     top, t = reach(n, percent)
-    out = []
-    for band in {n.bit_length() - 1, top.bit_length() - 1}:
+    for band in sorted({n.bit_length() - 1, top.bit_length() - 1}):
         parts = np.uint64(-(-((2 << band) - 1) * (100 - percent) * 17 // (15 * percent)) + 1)  # somewhat more than t; a fifth of the hashes at 85 percent
         part = ((u >> np.uint64(32)) * parts) >> np.uint64(32)
         at = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
         parity = np.bitwise_xor.reduceat(mix64(u ^ np.uint64(0xA5A5A5A5)), at)
         key = mix64(parity + mix64(part[at] + np.uint64((band + 1) << 40)))
-        if len(at) > t + 1:
-            count = np.minimum(np.diff(at, append=n), 63).astype(np.uint64)
-            order = ((np.uint64(63) - count) << np.uint64(58)) | (key >> np.uint64(6))
-            key = key[np.argpartition(order, t)[: t + 1]]
-        out.append(key)
+        count = np.minimum(np.diff(at, append=n), 63).astype(np.uint64)
+        key = key[np.argsort(((np.uint64(63) - count) << np.uint64(58)) | (key >> np.uint64(6)), kind="stable")]
         if len(at) < t + 1:
-            out.append(mix64(u[: t + 1] ^ np.uint64(0x5EED0000 + band)))
-    return np.concatenate(out)
+            yield np.concatenate((key, mix64(u[: t + 1] ^ np.uint64(0x5EED0000 + band)))), len(at) + t + 1
+        else:
+            yield key, t + 1
 
 
-def _describe(batches: Iterable[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        got = [(len(u), set_id(u) if len(u) else None) for u in shingle_sets(b.column(1), size)]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x for x, _ in got], pa.int64()), pa.array([x for _, x in got], pa.int64())], names=["doc_id", "n", "sid"])
+def published(u: np.ndarray, percent: int = PERCENT, hot: np.ndarray | None = None) -> np.ndarray:
+    """Keys that a set publishes: in each band the first of its parts, those among `hot` last."""
+    out = [k[np.argsort(np.isin(k, hot), kind="stable")][:n] if hot is not None else k[:n] for k, n in part_keys(u, percent)]
+    return np.concatenate(out) if out else u
 
 
-def _publish(batches: Iterable[pa.RecordBatch], size: int, percent: int) -> Iterator[pa.RecordBatch]:
+def _describe(batches: Iterable[pa.RecordBatch], size: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """doc_id, n, sid, and of a set that the task has not seen: its keys band by band, and for each band its numbers of keys and of published ones."""
     seen: set[int] = set()
     for b in batches:
-        keys, sids, held = [], [], 0
-        for u in shingle_sets(b.column(0), size):
-            if not len(u) or (sid := set_id(u)) in seen:
-                continue
-            if len(seen) < 1 << 20:
+        n, sids, keys, bands, held, first = [], [], [], [], 0, 0
+        for i, u in enumerate(shingle_sets(b.column(1), size)):
+            sid = set_id(u) if len(u) else None
+            n.append(len(u))
+            sids.append(sid)
+            new = sid is not None and sid not in seen
+            if new and len(seen) < 1 << 20:
                 seen.add(sid)
-            keys.append(published(u, percent))
-            sids.append((sid, len(keys[-1])))
+            own = list(part_keys(u, percent)) if new else []
+            keys.append(np.concatenate([k for k, _ in own]) if own else u[:0])
+            bands.append([x for k, t in own for x in (len(k), t)])
             held += len(keys[-1])
-            if held > 1 << 18:
-                yield _keys(keys, sids)
-                keys, sids, held = [], [], 0
-        if keys:
-            yield _keys(keys, sids)
-
+            if held > 1 << 18 or i + 1 == b.num_rows:
+                flat = pa.array(np.concatenate(keys).view(np.int64))
+                at = pa.array(np.cumsum([0] + [len(k) for k in keys]), pa.int32())
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(n)), pa.array(n, pa.int64()), pa.array(sids, pa.int64()), pa.ListArray.from_arrays(at, flat), pa.array(bands, pa.list_(pa.int32()))], names=["doc_id", "n", "sid", "keys", "bands"])
+                n, sids, keys, bands, held, first = [], [], [], [], 0, i + 1
 
-def _keys(keys: list[np.ndarray], sids: list[tuple[int, int]]) -> pa.RecordBatch:
-    s = np.repeat(np.array([x for x, _ in sids], dtype=np.int64), [x for _, x in sids])
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(s)], names=["key", "sid"])
 
-
-def _groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """Runs of equal keys of sorted batches."""
-    rest: list[pa.RecordBatch] = []
-    last = None
+def _publish(batches: Iterable[pa.RecordBatch], shared: BitFilter, hot: BitFilter) -> Iterator[pa.RecordBatch]:
+    """(key, sid): of the first keys of each band, with hot ones last, those that another set may hold."""
     for b in batches:
-        if not b.num_rows:
+        flat = b.column("keys").flatten().to_numpy().view(np.uint64)
+        if not len(flat):
             continue
-        cols = [b.column(k).to_numpy() for k in keys]
-        cut = np.zeros(b.num_rows, dtype=bool)
-        for c in cols:
-            cut[1:] |= c[1:] != c[:-1]
-        cut[0] = last is None or any(c[0] != x for c, x in zip(cols, last))
-        edges = np.flatnonzero(cut)
-        if rest and len(edges):
-            rest.append(b.slice(0, edges[0]))
-            yield pa.Table.from_batches(rest)
-            rest = []
-        if not len(edges):
-            rest.append(b)
-        for i, j in zip(edges, [*edges[1:], None]):
-            if j is None:
-                rest = [b.slice(i)]
-            else:
-                yield pa.Table.from_batches([b.slice(i, j - i)])
-        last = [c[-1] for c in cols]
-    if rest:
-        yield pa.Table.from_batches(rest)
-
-
-def links(sids: np.ndarray, sets: list[np.ndarray], side: np.ndarray | None = None, percent: int = PERCENT) -> list[tuple[int, int]]:
-    """Verified links that connect what is linked among the sets; with `side` (0 or 1), only across sides."""
+        sizes = b.column("bands").flatten().to_numpy().reshape(-1, 2)
+        row = np.repeat(np.arange(b.num_rows), b.column("bands").value_lengths().fill_null(0).to_numpy() // 2)
+        band = np.repeat(np.arange(len(sizes)), sizes[:, 0])
+        order = np.lexsort((hot.contains(flat), band))  # stable: content order stays within a band
+        place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes[:, 0]) - sizes[:, 0], sizes[:, 0])
+        take = order[place < sizes[band, 1]]
+        take = take[shared.contains(flat[take])]
+        sid = b.column("sid").to_numpy(zero_copy_only=False)[row[band[take]]]
+        yield pa.RecordBatch.from_arrays([pa.array(flat[take].view(np.int64)), pa.array(sid.astype(np.int64))], names=["key", "sid"])
+
+
+def links(sids: np.ndarray, sets: list[np.ndarray], roots: np.ndarray, percent: int = PERCENT) -> list[tuple[int, int]]:
+    """Verified links between sets of different roots, as far as they join something."""
     n = len(sets)
     size = np.array([len(u) for u in sets])
     order = np.argsort(size, kind="stable")
-    parent = list(range(n))
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    bits = -(-int(size.max()) * 13 // 64) * 64 if n > 8 else 0
-    sketch = np.zeros((n, bits // 64), dtype=np.uint64)
-    for k, i in enumerate(order if bits else ()):
-        odd = np.bincount((mix64(sets[i]) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
-        sketch[k] = np.packbits(odd.astype(np.uint8)).view(np.uint64)
-    sorted_size, out = size[order], []
-    for k in range(n):
-        i = order[k]
-        top = int(np.searchsorted(sorted_size, 100 * size[i] // percent, side="right"))
-        near = np.arange(k + 1, top)
-        if bits and len(near):
-            far = np.bitwise_count(sketch[k + 1 : top] ^ sketch[k]).sum(axis=1, dtype=np.int64)
-            near = near[far <= difference_bound(size[i], sorted_size[near], percent)]
-        for m in near:
-            j = order[m]
-            if side is not None and side[i] == side[j]:
-                continue
-            a, b = root(i), root(j)
-            if a == b:
-                continue
-            common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-            if 100 * common >= percent * (size[i] + size[j] - common):
-                parent[b] = a
-                out.append((int(sids[i]), int(sids[j])))
+    size, group = size[order], np.unique(roots, return_inverse=True)[1][order]
+    out: list[tuple[int, int]] = []
+    at = 0
+    while at < n:  # sets of about one size, and those that they may link with, have sketches of one width
+        stop = int(np.searchsorted(size, 2 * size[at]))
+        last = int(np.searchsorted(size, 100 * size[stop - 1] // percent, side="right"))
+        bits = min(-(-int(size[last - 1]) * 13 // 64) * 64, 1 << 16) if last - at > 8 else 0
+        sketch = np.zeros((last - at if bits else 0, bits // 64), dtype=np.uint64)
+        for k in range(len(sketch)):
+            odd = np.bincount((mix64(sets[order[at + k]]) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+            sketch[k] = np.packbits(odd.astype(np.uint8)).view(np.uint64)
+        for k in range(at, stop):
+            near = np.arange(k + 1, np.searchsorted(size, 100 * size[k] // percent, side="right"))
+            near = near[group[near] != group[k]]
+            if bits and len(near):
+                far = np.bitwise_count(sketch[near - at] ^ sketch[k - at]).sum(axis=1, dtype=np.int64)
+                near = near[far <= difference_bound(size[k], size[near], percent)]
+            for m in near:
+                if group[m] == group[k]:
+                    continue
+                i, j = order[k], order[m]
+                common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if 100 * common >= percent * (size[k] + size[m] - common):
+                    group[group == group[m]] = group[k]
+                    out.append((int(sids[i]), int(sids[j])))
+        at = stop
     return out
 
 
 def _verify(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Links of each pair of blocks."""
     found: list[tuple[int, int]] = []
-    for group in _groups(batches, ["cluster", "bi", "bj"]):
+    for group in groups(batches, ["cluster", "bi", "bj"]):
         sids, at = np.unique(group.column("sid").to_numpy(), return_index=True)
-        if len(sids) > 1:
+        roots = group.column("root").to_numpy()[at]
+        if len(sids) > 1 and (roots != roots[0]).any():
             sets = [np.frombuffer(group.column("hashes")[int(i)].as_py(), dtype=np.uint64) for i in at]
-            block, (bi, bj) = group.column("block").to_numpy()[at], (group.column(c)[0].as_py() for c in ("bi", "bj"))
-            found += links(sids, sets, None if bi == bj else (block == bj).astype(int), percent)
+            found += links(sids, sets, roots, percent)
         if len(found) > 50_000:
             yield _pairs(found)
             found = []
     yield _pairs(found)
 
 
+def _stars(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Links between a hub, which comes first of its rows, and the others, which stream past it."""
+    hub, own, salt = None, None, None
+    for b in batches:
+        ids, salts, kinds, sids, blobs = (b.column(c) for c in ("hub", "salt", "kind", "sid", "hashes"))
+        found = []
+        for i, (h, s, kind, sid) in enumerate(zip(ids.to_numpy(), salts.to_numpy(), kinds.to_numpy(), sids.to_numpy())):
+            u = np.frombuffer(blobs[i].as_buffer(), dtype=np.uint64)
+            if kind == 0:
+                hub, salt, own = h, s, u
+            elif h == hub and s == salt and sid != hub:
+                most = min(len(u), len(own))
+                if 100 * most >= percent * max(len(u), len(own)):
+                    common = len(np.intersect1d(u, own, assume_unique=True))
+                    if 100 * common >= percent * (len(u) + len(own) - common):
+                        found.append((int(h), int(sid)))
+        yield _pairs(found)
+
+
 def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], names=["a", "b"])
 
 
-def candidate_clusters(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """(node, component) over the sets that share a published part."""
-    keys = docs.select("text").mapInArrow(partial(_publish, size=size, percent=percent), "key bigint, sid bigint")
-    low = F.min("sid").over(Window.partitionBy("key"))
-    return components(keys.select(F.col("sid").alias("a"), low.alias("b")))
+def shared_keys(info: DataFrame) -> DataFrame:
+    """(key, sid): published keys that another set may hold. info: sid, keys, bands."""
+    sets = info.where("sid is not null").select("sid", "keys", "bands")
+    ends = sets.select(F.explode("keys").alias("key"), "sid").groupBy("key").agg(F.min("sid").alias("low"), F.max("sid").alias("high"), F.count("*").alias("n")).where("low <> high")
+    ends, path = stored(ends.select("key", "n"), "shared-keys")
+    shared = BitFilter.build(ends, "key", FILTER_BITS)
+    limit, above = HOT_SETS, ends.groupBy(F.floor(F.log2("n")).cast("int").alias("size")).count().collect()  # a row for each power of two
+    while sum(r["count"] for r in above if 2 ** r["size"] >= limit) > HOT_KEYS:
+        limit *= 2
+    hot = BitFilter.build(ends.where(F.floor(F.log2("n")) >= int(np.log2(limit))), "key", FILTER_BITS)
+    forget(info.sparkSession, path)
+    return sets.mapInArrow(partial(_publish, shared=shared, hot=hot), "key bigint, sid bigint")
 
 
 def similar_groups(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs: sets of `size` words link from `percent` (50 at least) of their union on."""
     spark = docs.sparkSession
     small_batches(spark)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    info = written(rows.mapInArrow(partial(_describe, size=size), "doc_id bigint, n bigint, sid bigint"), "sets")
+    info = written(rows.mapInArrow(partial(_describe, size=size, percent=percent), "doc_id bigint, n bigint, sid bigint, keys array<bigint>, bands array<int>"), "sets")
     lowest = -(1 << 63)
     reps = info.where("sid is not null").groupBy("sid").agg(F.min(F.coalesce("doc_id", F.lit(lowest))).alias("rep"), F.min("doc_id").alias("low_id"), F.max("n").alias("n"))
-    clusters = candidate_clusters(rows, size, percent)
-    members = written(reps.join(clusters, F.col("sid") == F.col("node")).select("sid", "rep", "n", F.col("component").alias("cluster")), "members")
-    blocks = members.groupBy("cluster").agg(F.ceil(F.sum("n") / BLOCK_HASHES).cast("int").alias("blocks"))
-    members = members.join(blocks, "cluster")
+
+    keyed, keyed_at = stored(shared_keys(info), "keys")
+    ends = keyed.groupBy("key").agg(F.min("sid").alias("hub"), F.max("sid").alias("high")).where("hub <> high").select(F.col("key").alias("of"), "hub")
+    stars, stars_at = stored(keyed.join(ends, F.col("key") == F.col("of")).select("key", "sid", "hub"), "stars")
+    spokes = stars.where("sid <> hub").select("sid", "hub").distinct()
+
+    members = stars.select(F.col("sid").alias("member")).distinct().join(reps, F.col("member") == F.col("sid")).select("sid", "rep", "n")
     wanted = BitFilter.build(members, "rep", FILTER_BITS)
 
     def fetch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,22 +271,50 @@ def similar_groups(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -
             ids = b.column(0).fill_null(lowest)
             keep = np.flatnonzero(wanted.contains(ids.to_numpy().view(np.uint64)))
             part = b.take(pa.array(keep))
-            ids, held, n = ids.take(pa.array(keep)), [], 0
-            first = 0
+            ids, held, total, first = ids.take(pa.array(keep)), [], 0, 0
             for i, u in enumerate(shingle_sets(part.column(1), size)):
                 held.append(u)
-                n += len(u)
-                if n > 1 << 18 or i + 1 == part.num_rows:
+                total += len(u)
+                if total > 1 << 18 or i + 1 == part.num_rows:
                     yield pa.RecordBatch.from_arrays([ids.slice(first, len(held)), pa.array([set_id(x) if len(x) else None for x in held], pa.int64()), pa.array([x.tobytes() for x in held], pa.binary())], names=["id", "own", "hashes"])
-                    first, held, n = i + 1, [], 0
+                    first, held, total = i + 1, [], 0
 
     sets = rows.mapInArrow(fetch, "id bigint, own bigint, hashes binary")
-    placed = sets.join(members, (F.col("id") == F.col("rep")) & (F.col("own") == F.col("sid"))).select("cluster", "sid", "hashes", "blocks", F.pmod(F.xxhash64("sid"), "blocks").cast("int").alias("block"))
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    pairs = placed.select("cluster", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "sid", "hashes")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = pairs.repartition(n, "cluster", "bi", "bj").sortWithinPartitions("cluster", "bi", "bj").mapInArrow(partial(_verify, percent=percent), "a bigint, b bigint")
-    joined = components(found)
+    sets = sets.join(members, (F.col("id") == F.col("rep")) & (F.col("own") == F.col("sid"))).select(F.col("sid").alias("set"), "hashes", "n")
+    sets = written(sets, "hashes")
+
+    # every set against the hub of each of its keys
+    fans = spokes.groupBy("hub").agg(F.ceil(F.count("*") / STAR_ROWS).cast("int").alias("fans"))
+    first = fans.join(sets, F.col("hub") == F.col("set")).select("hub", F.explode(F.sequence(F.lit(0), F.col("fans") - 1)).alias("salt"), F.lit(0).alias("kind"), F.col("hub").alias("sid"), "hashes")
+    rest = spokes.join(fans.withColumnRenamed("hub", "of"), F.col("hub") == F.col("of")).join(sets, F.col("sid") == F.col("set")).select("hub", F.pmod(F.xxhash64("sid"), "fans").cast("int").alias("salt"), F.lit(1).alias("kind"), "sid", "hashes")
+    met = first.unionByName(rest).repartition(n, "hub", "salt").sortWithinPartitions("hub", "salt", "kind")
+    joined = written(components(met.mapInArrow(partial(_stars, percent=percent), "a bigint, b bigint")), "joined")
+
+    # keys whose sets, without the hub, still stand apart: their sets in clusters, and blocks of a cluster against each other
+    rooted = stars.where("sid <> hub").join(joined, F.col("sid") == F.col("node"), "left").select("key", "sid", F.coalesce("component", "sid").alias("root"))
+    apart = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select(F.col("key").alias("of"), "low")
+    open_, open_at = stored(rooted.join(apart, F.col("key") == F.col("of")).select("sid", "root", "low").distinct(), "apart")
+    near = components(open_.select(F.col("root").alias("a"), F.col("low").alias("b")))
+    placed = open_.select("sid", "root").distinct().join(near, F.col("root") == F.col("node")).join(sets, F.col("sid") == F.col("set")).select("sid", "root", F.col("component").alias("cluster"), "n", "hashes")
+    by_root = placed.groupBy("cluster", "root").agg(F.count("*").alias("rows"), F.sum("n").alias("total"))
+    sizes = by_root.groupBy("cluster").agg(F.max(F.struct("rows", "root", "total")).alias("main"), F.sum("total").alias("total"))
+    blocks = lambda x: F.ceil(x / BLOCK_HASHES).cast("int")
+    sizes = sizes.select(F.col("cluster").alias("in"), F.col("main.root").alias("main"), blocks(F.col("main.total")).alias("m"), blocks(F.col("total") - F.col("main.total")).alias("r"))
+    dealt = placed.drop("n").join(sizes, F.col("cluster") == F.col("in")).withColumn("block", F.when(F.col("root") == F.col("main"), F.col("r") + F.pmod(F.xxhash64("sid"), "m")).otherwise(F.pmod(F.xxhash64("sid"), "r")).cast("int"))
+    others = F.when(F.col("root") == F.col("main"), F.sequence(F.lit(0), F.col("r") - 1)).otherwise(F.sequence(F.lit(0), F.col("r") + F.col("m") - 1))
+    dealt = dealt.withColumn("other", F.explode(others)).select("cluster", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "sid", "root", "hashes")
+    late = dealt.repartition(n, "cluster", "bi", "bj").sortWithinPartitions("cluster", "bi", "bj").mapInArrow(partial(_verify, percent=percent), "a bigint, b bigint")
+    late = written(late, "late")
+    if not late.isEmpty():
+        old = joined.select(F.col("node").alias("x"), F.col("component").alias("y"))
+        a = late.join(old, F.col("a") == F.col("x"), "left").select(F.coalesce("y", "a").alias("a"), "b")
+        over = written(components(a.join(old, F.col("b") == F.col("x"), "left").select("a", F.coalesce("y", "b").alias("b"))), "joined")
+        moved = over.select(F.col("node").alias("x"), F.col("component").alias("y"))
+        kept = joined.join(moved, F.col("component") == F.col("x"), "left").select("node", F.coalesce("y", "component").alias("component"))
+        joined = kept.unionByName(moved.join(joined, F.col("x") == F.col("node"), "left_anti").select(F.col("x").alias("node"), F.col("y").alias("component")))
+    for at in (keyed_at, stars_at, open_at):
+        forget(spark, at)
+
     roots = reps.join(joined, F.col("sid") == F.col("node"), "left").select("sid", "low_id", F.coalesce("component", "sid").alias("root"))
     lows = roots.groupBy("root").agg(F.min("low_id").alias("component_id"))
     names = roots.join(lows, "root").select(F.col("sid").alias("of"), "component_id")
@@ -281,16 +328,17 @@ def first_of_each_group(docs: DataFrame, size: int = WORDS, percent: int = PERCE
     A doc_id that is not the smallest of its group goes with all its rows; rows
     equal in doc_id and text stay once; null doc_ids stay.
     """
-    groups = similar_groups(docs.select("doc_id", "text"), size, percent)
-    gone = groups.where(F.col("doc_id") > F.col("component_id")).select(F.col("doc_id").alias("__gone")).distinct()
-    kept = docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
-    again = kept.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("__n")).where("__n > 1").select(F.col("doc_id").alias("__again"))
+    near = similar_groups(docs.select("doc_id", "text"), size, percent)
+    gone = near.where(F.col("doc_id") > F.col("component_id")).select("doc_id").distinct()
+    same = F.col("l.doc_id") == F.col("r.doc_id")
+    kept = docs.alias("l").join(gone.alias("r"), same, "left_anti")
+    again = kept.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id")
     if again.isEmpty():
         return kept
-    twice = kept.join(again, F.col("doc_id") == F.col("__again"), "left_semi")
-    first = Window.partitionBy("doc_id", F.xxhash64(F.coalesce("text", F.lit("")))).orderBy("doc_id")
-    twice = twice.withColumn("__rank", F.row_number().over(first)).where("__rank = 1").drop("__rank")
-    return kept.join(again, F.col("doc_id") == F.col("__again"), "left_anti").unionByName(twice)
+    twice = kept.alias("l").join(again.alias("r"), same, "left_semi")
+    first, rank = Window.partitionBy("doc_id", F.xxhash64(F.coalesce("text", F.lit("")))).orderBy("doc_id"), fresh(docs, "rank")
+    twice = twice.withColumn(rank, F.row_number().over(first)).where(F.col(rank) == 1).drop(rank)
+    return kept.alias("l").join(again.alias("r"), same, "left_anti").unionByName(twice)
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

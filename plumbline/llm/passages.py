@@ -34,8 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import BitFilter, mix64, pieces, prefix_hash, rolling_hash, small_batches, span_hash, text_array, written
-from plumbline.llm.jaccard import _groups
+from plumbline.llm.common import BitFilter, groups, mix64, pieces, prefix_hash, rolling_hash, small_batches, span_hash, text_array, written
 from plumbline.llm.suffixes import InducedSorter
 
 LENGTH, GRAM = 200, 40
@@ -113,7 +112,7 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 def _repeated(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each shard's segments, the runs of windows that repeat: anchor, segment, first, last (by window within the segment)."""
-    for group in _groups(batches, ["shard"]):
+    for group in groups(batches, ["shard"]):
         blobs = group.column("bytes").combine_chunks()
         raw, off = text_array(blobs.cast(pa.large_binary()) if not isinstance(blobs, pa.ChunkedArray) else blobs.combine_chunks())
         n = len(off) - 1
