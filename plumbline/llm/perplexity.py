@@ -15,21 +15,29 @@ many of the last WINDOW pairs were found although chance would not explain them
 (CONFIDENCE). Up to the filter's false positives the probabilities after a
 history sum to one at most.
 
-Scale: documents are dealt into buckets by doc_id (one shuffle of the text, used
-twice); a bucket sends each hash range its distinct words and pairs with their
-training counts as one compressed block each, and gets back the words' exact totals
-and what the slab holds of the pairs. A slab lives only in the task that probes it;
-nothing is broadcast and no machine holds a dictionary. Ranges and buckets grow in
-number with the data.
+Scale: documents are dealt into buckets of about BUCKET_BYTES of text (one shuffle
+of the text, used twice). Counts travel through a tree of exchanges: a bucket cuts
+its distinct words and pairs by the first digit of their hashes (FAN digits) and
+sends one compressed block for each; the FAN buckets next to each other meet in a
+node for each digit, which adds up equal keys, cuts by the next digit and sends on,
+and so forth, until one node holds all of a range of hashes. There the words' totals
+and the pairs' slab are made, and answers go back the same way. A node gets FAN
+messages whatever the size of the data, the number of messages grows with the
+data (times the levels, log FAN of the buckets), and a key that every document
+holds reaches a node FAN times at most. A slab lives only in the task that probes
+it; nothing is broadcast and no machine holds a dictionary.
 
 Defined cases: null or empty text is one end token; repeated rows count and are
-scored as often as they occur; a null doc_id belongs to fold crc32('') mod 5;
-without training text all probabilities come from 0.5 / (0.5 (V + 1)); an empty
-table gives no rows; extra columns are ignored.
+scored as often as they occur, and rows equal in doc_id and text share a bucket;
+a null doc_id belongs to fold crc32('') mod 5; a very long text is a bucket's load
+of its own; without training text all probabilities come from 0.5 / (0.5 (V + 1));
+an empty table gives no rows; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -42,7 +50,9 @@ FOLDS, HELD_OUT_FOLD = 5, 1
 PROBES, BITS_PER_ENTRY = 4, 32
 WINDOW, CHANCE = 6, 0.05
 CONFIDENCE = np.array([0.02, 0.15, 0.5, 0.8, 0.9, 0.95, 0.97])
-DOCS_PER_BUCKET = 4_000
+#: Text in a bucket, and the number of nodes that a node sends to.
+BUCKET_BYTES, FAN_BITS = 8 << 20, 8
+FAN = 1 << FAN_BITS
 END = np.uint64(0xE0DE0DE0DE0DE0D1)
 #: The levels of counts.
 LEVELS = np.unique(np.round(np.sqrt(2.0) ** np.arange(80)).astype(np.int64))
@@ -179,87 +189,136 @@ def train_mask(held: pa.Array) -> np.ndarray:
     return ~held.to_numpy(zero_copy_only=False).astype(bool)
 
 
+# ---------------------------------------------------------------- the exchange
+
+MESSAGE = "node bigint, source bigint, digit int, words binary, word_counts binary, pairs binary, pair_counts binary"
+ANSWER = "node bigint, digit int, word_totals binary, pair_counts binary, n_tokens bigint, n_words bigint"
+
+
+def _split(keys: np.ndarray, prefix: int, level: int) -> np.ndarray:
+    """Where sorted keys that share the digits of `prefix` are cut by their next digit."""
+    return np.searchsorted(keys, ((np.uint64(prefix) << np.uint64(FAN_BITS)) + np.arange(1, FAN, dtype=np.uint64)) << np.uint64(64 - FAN_BITS * (level + 1)))
+
+
+def _messages(source: int, level: int, words: tuple[np.ndarray, np.ndarray], pairs: tuple[np.ndarray, np.ndarray]) -> pa.Table:
+    """Rows from a node of a level to the FAN nodes of the next, one for each digit."""
+    done = FAN_BITS * level
+    above, prefix = source >> done, source & ((1 << done) - 1)
+    nodes = [((above >> FAN_BITS) << (done + FAN_BITS)) | (prefix << FAN_BITS) | d for d in range(FAN)]
+    columns = []
+    for keys, counts in (words, pairs):
+        cut = _split(keys, prefix, level)
+        columns += [pa.array([pack(x) for x in np.split(keys, cut)], pa.binary()), pa.array([pack_counts(x) for x in np.split(counts, cut)], pa.binary())]
+    return pa.table([pa.array(nodes, pa.int64()), pa.array([source] * FAN, pa.int64()), pa.array(range(FAN), pa.int32()), *columns], names=["node", "source", "digit", "words", "word_counts", "pairs", "pair_counts"])
+
+
+def _read(group: pa.Table, keys: str, counts: str) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """The keys that each message asks for, and all of them with their counts added up."""
+    asked = [unpack(x.as_py()) for x in group.column(keys)]
+    return asked, *_sum_sorted(np.concatenate(asked), np.concatenate([unpack_counts(x.as_py()) for x in group.column(counts)]))
+
+
+def pass_on(group: pa.Table, level: int) -> pa.Table:
+    """Add up the messages to a node and send them to the next level."""
+    return _messages(group.column("node")[0].as_py(), level, _read(group, "words", "word_counts")[1:], _read(group, "pairs", "pair_counts")[1:])
+
+
+def _answers(group: pa.Table, values: list[tuple[list[np.ndarray], np.ndarray, np.ndarray]], n_tokens: int, n_words: int) -> pa.Table:
+    """Answers to the senders of a node's messages, each in the order of the keys that it sent."""
+    columns = [pa.array([pack_counts(have[np.searchsorted(keys, k)]) for k in asked], pa.binary()) for asked, keys, have in values]
+    n = group.num_rows
+    return pa.table([group.column("source"), group.column("digit"), *columns, pa.array([n_tokens] * n, pa.int64()), pa.array([n_words] * n, pa.int64())], names=["node", "digit", "word_totals", "pair_counts", "n_tokens", "n_words"])
+
+
+def answer(group: pa.Table) -> pa.Table:
+    """At the last level: exact totals of words, and what the node's slab of the filter holds of the pairs."""
+    asked, keys, total = _read(group, "words", "word_counts")
+    of_pairs, pairs, counts = _read(group, "pairs", "pair_counts")
+    held = LogBloom.of(pairs, counts).count(pairs)
+    return _answers(group, [(asked, keys, total), (of_pairs, pairs, held)], int(total.sum()), int((total > 0).sum()))
+
+
+def _joined(told: pa.Table) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """Word totals, pair counts, training tokens and distinct training words of all digits."""
+    told = told.sort_by("digit")
+    values = [np.concatenate([unpack_counts(x.as_py()) for x in told.column(c)]) for c in ("word_totals", "pair_counts")]
+    return *values, *(int(np.sum(told.column(c).to_numpy())) for c in ("n_tokens", "n_words"))
+
+
+def pass_back(group: pa.Table, told: pa.Table) -> pa.Table:
+    """Take a node's answers apart again for the senders of its messages."""
+    asked, keys, _ = _read(group, "words", "word_counts")
+    of_pairs, pairs, _ = _read(group, "pairs", "pair_counts")
+    total, held, n_tokens, n_words = _joined(told)
+    return _answers(group, [(asked, keys, total), (of_pairs, pairs, held)], n_tokens, n_words)
+
+
 # ---------------------------------------------------------------- scoring
 
 
-def score_documents(docs: DataFrame, range_bits: int | None = None) -> DataFrame:
+def _tokenised(group: pa.Table):
+    for b in group.combine_chunks().to_batches():
+        for first, end, data, off in pieces(b.column("text")):
+            yield b.column("doc_id").slice(first, end - first), b.column("held_out").slice(first, end - first), *token_hashes(data, off)
+
+
+def ask(group: pa.Table) -> pa.Table:
+    """A bucket's distinct words and pairs with their training counts."""
+    words_found, pairs_found = [], []
+    for _, held_out, t, at in _tokenised(group):
+        use = np.repeat(train_mask(held_out), np.diff(at)).astype(np.int64)
+        words_found.append(_sum_sorted(t, use))
+        pairs_found.append(_sum_sorted(pair_hashes(t, at), use))
+    own = [_sum_sorted(np.concatenate([k for k, _ in found]), np.concatenate([c for _, c in found])) for found in (words_found, pairs_found)]
+    return _messages(group.column("bucket")[0].as_py(), 0, *own)
+
+
+def score(texts: pa.Table, told: pa.Table) -> pa.Table:
+    schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+    read = list(_tokenised(texts))
+    if not read:
+        return schema.empty_table()
+    total, held, n_train, vocabulary = _joined(told)
+    keys = np.unique(np.concatenate([np.unique(t) for _, _, t, _ in read]))
+    pairs = np.unique(np.concatenate([np.unique(pair_hashes(t, at)) for _, _, t, at in read]))
+    unigram = (total + 0.5) / (n_train + 0.5 * (vocabulary + 1))
+    log_unigram = np.log10(unigram)
+    end = int(np.searchsorted(keys, END))
+    out = []
+    for ids, held_out, t, at in read:
+        index = np.searchsorted(keys, t)
+        pair = held[np.searchsorted(pairs, pair_hashes(t, at))]
+        before = np.empty_like(index)
+        before[1:] = index[:-1]
+        before[at[:-1]] = end
+        history = total[before].astype(np.float64)
+        chance = history * total[index] / max(n_train, 1)
+        share = np.where(history > 0, confidence((pair > 0) & (chance < CHANCE), at), 0.0)
+        p = (1 - share) * unigram[index] + share * np.minimum(pair / np.maximum(history, 1), 1.0)
+        cut, n = at[:-1], np.diff(at)
+        figures = (n, np.add.reduceat((total[index] > 0).astype(np.int64), cut), np.full(len(n), n_train), np.add.reduceat(log_unigram[index], cut), np.add.reduceat(np.log10(p), cut))
+        out.append(pa.RecordBatch.from_arrays([ids, held_out, *map(pa.array, figures)], schema=schema))
+    return pa.Table.from_batches(out, schema=schema)
+
+
+def score_documents(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, levels: int | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of docs."""
     small_batches(docs.sparkSession)
     fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % FOLDS
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), (fold == HELD_OUT_FOLD).alias("held_out"))
-    buckets = max(1, -(-docs.count() // DOCS_PER_BUCKET))
-    if range_bits is None:
-        range_bits = max(4, (buckets - 1).bit_length())
-    ranges = 1 << range_bits
-    dealt = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int"))
-
-    def ask(group: pa.Table) -> pa.Table:
-        """Spans 0 to ranges - 1 are of words, the others of pairs."""
-        found: list[list[tuple[np.ndarray, np.ndarray]]] = [[], []]
-        for b in group.combine_chunks().to_batches():
-            learn = train_mask(b.column("held_out"))
-            for first, end, data, off in pieces(b.column("text")):
-                t, at = token_hashes(data, off)
-                use = np.repeat(learn[first:end], np.diff(at)).astype(np.int64)
-                found[0].append(_sum_sorted(t, use))
-                found[1].append(_sum_sorted(pair_hashes(t, at), use))
-        keys, counts = [], []
-        for parts in found:
-            k, c = _sum_sorted(np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts]))
-            cut = np.searchsorted(k, np.arange(1, ranges, dtype=np.uint64) << np.uint64(64 - range_bits))
-            keys += map(pack, np.split(k, cut))
-            counts += map(pack_counts, np.split(c, cut))
-        n = len(keys)
-        return pa.table({"bucket": pa.array([group.column("bucket")[0].as_py()] * n, pa.int32()), "span": pa.array(range(n), pa.int32()), "keys": pa.array(keys, pa.binary()), "counts": pa.array(counts, pa.binary())})
-
-    def answer(group: pa.Table) -> pa.Table:
-        asked = [unpack(x.as_py()) for x in group.column("keys")]
-        counts = [unpack_counts(x.as_py()) for x in group.column("counts")]
-        keys, total = _sum_sorted(np.concatenate(asked), np.concatenate(counts))
-        back, n_tokens, n_words = group.column("keys"), int(total.sum()), int((total > 0).sum())
-        if group.column("span")[0].as_py() < ranges:
-            told = [pack_counts(total[np.searchsorted(keys, k)]) for k in asked]
-        else:
-            slab = LogBloom.of(keys, total)
-            told = [pack_counts(slab.count(k)) for k in asked]
-            back, n_tokens, n_words = pa.array([b""] * len(told), pa.binary()), 0, 0  # the bucket finds its pairs again in its texts
-        n = len(told)
-        return pa.table({"bucket": group.column("bucket"), "span": group.column("span"), "keys": back, "totals": pa.array(told, pa.binary()), "tokens": pa.array([n_tokens] * n, pa.int64()), "words": pa.array([n_words] * n, pa.int64())})
-
-    def score(texts: pa.Table, told: pa.Table) -> pa.Table:
-        told = told.sort_by("span")
-        of_words, of_pairs = told.slice(0, ranges), told.slice(ranges)
-        keys = np.concatenate([unpack(x.as_py()) for x in of_words.column("keys")]) if told.num_rows else np.zeros(0, np.uint64)
-        total, held = (np.concatenate([unpack_counts(x.as_py()) for x in part.column("totals")]) if told.num_rows else np.zeros(0, np.int64) for part in (of_words, of_pairs))
-        n_train, vocabulary = (int(np.sum(told.column(c).to_numpy())) if told.num_rows else 0 for c in ("tokens", "words"))
-        unigram = (total + 0.5) / (n_train + 0.5 * (vocabulary + 1))
-        log_unigram = np.log10(unigram)
-        end = int(np.searchsorted(keys, END)) if len(keys) else 0
-        read = []
-        for b in texts.combine_chunks().to_batches():
-            for first, last, data, off in pieces(b.column("text")):
-                read.append((b.column("doc_id").slice(first, last - first), b.column("held_out").slice(first, last - first), *token_hashes(data, off)))
-        pairs = np.unique(np.concatenate([np.unique(pair_hashes(t, at)) for _, _, t, at in read])) if read else np.zeros(0, np.uint64)
-        out = []
-        for ids, held_out, t, at in read:
-            index = np.searchsorted(keys, t)
-            pair = held[np.searchsorted(pairs, pair_hashes(t, at))]
-            before = np.empty_like(index)
-            before[1:] = index[:-1]
-            before[at[:-1]] = end
-            history = total[before].astype(np.float64)
-            chance = history * total[index] / max(n_train, 1)
-            share = np.where(history > 0, confidence((pair > 0) & (chance < CHANCE), at), 0.0)
-            p = (1 - share) * unigram[index] + share * np.minimum(pair / np.maximum(history, 1), 1.0)
-            cut = at[:-1]
-            out.append((ids, held_out, np.diff(at), np.add.reduceat((total[index] > 0).astype(np.int64), cut), np.add.reduceat(log_unigram[index], cut), np.add.reduceat(np.log10(p), cut)))
-        names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
-        batches = [pa.RecordBatch.from_arrays([i, h, pa.array(n), pa.array(k), pa.array(np.full(len(n), n_train)), pa.array(base), pa.array(s)], names=names) for i, h, n, k, base, s in out]
-        return pa.Table.from_batches(batches, schema=pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())]))
-
-    asked = dealt.groupBy("bucket").applyInArrow(ask, "bucket int, span int, keys binary, counts binary")
-    told = asked.groupBy("span").applyInArrow(answer, "bucket int, span int, keys binary, totals binary, tokens bigint, words bigint")
-    return dealt.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInArrow(score, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+    text = F.col("text").cast("string")
+    total = docs.agg(F.sum(F.coalesce(F.octet_length(text), F.lit(0)) + 64)).first()[0] or 0
+    buckets = max(1, -(-total // bucket_bytes))
+    if levels is None:
+        levels = max(1, -(-(buckets - 1).bit_length() // FAN_BITS))
+    home = F.xxhash64("doc_id", text)  # rows without a doc_id are spread by their texts
+    dealt = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"), (fold == HELD_OUT_FOLD).alias("held_out"), F.pmod(home, F.lit(buckets)).cast("bigint").alias("bucket"))
+    messages = [dealt.groupBy("bucket").applyInArrow(ask, MESSAGE)]
+    for level in range(1, levels):
+        messages.append(messages[-1].groupBy("node").applyInArrow(partial(pass_on, level=level), MESSAGE))
+    told = messages[-1].groupBy("node").applyInArrow(answer, ANSWER)
+    for sent in reversed(messages[:-1]):
+        told = sent.groupBy("node").cogroup(told.groupBy("node")).applyInArrow(pass_back, ANSWER)
+    return dealt.groupBy("bucket").cogroup(told.groupBy("node")).applyInArrow(score, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
 
 
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
