@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -218,7 +219,7 @@ class BitFilter:
                     p = pos[slab == s]
                     np.bitwise_or.at(bits, p >> 3, (1 << (p & 7)).astype(np.uint8))
             for s, bits in found.items():
-                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([bits.tobytes()], pa.binary())], names=["slab", "bits"])
+                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([zlib.compress(bits.tobytes(), 1)], pa.binary())], names=["slab", "bits"])
 
         n = max(1, min(16, 1 << max(0, log2_bits - per_slab)))
         rows = keys.select(F.col(column).cast("bigint").alias("k")).where("k is not null").mapInArrow(positions, "slab int, pos int").distinct().repartition(n, "slab").mapInArrow(slabs, "slab int, bits binary")
@@ -226,7 +227,7 @@ class BitFilter:
         size = 1 << (per_slab - 3)
         for row in rows.collect():  # one row for each slab: 2^log2_bits bits in all
             at = row["slab"] * size
-            got = np.frombuffer(bytes(row["bits"]), dtype=np.uint8)[: len(out) - at]
+            got = np.frombuffer(zlib.decompress(row["bits"]), dtype=np.uint8)[: len(out) - at]
             out[at : at + len(got)] |= got
         return cls(out, log2_bits, probes)
 

@@ -49,7 +49,7 @@ from plumbline.llm.common import BitFilter, components, forget, fresh, groups, m
 
 WORDS, PERCENT = 4, 85
 #: Hashes in a block, and rows of a hub that go to one task.
-BLOCK_HASHES, STAR_ROWS = 50_000, 64
+BLOCK_HASHES, STAR_ROWS = 1 << 14, 64
 #: A key of this many sets is hot; where more than HOT_KEYS keys are, the limit doubles. This decides the order of keys alone, never a result.
 HOT_SETS, HOT_KEYS = 64, 1 << 23
 FILTER_BITS = 27
