@@ -36,8 +36,6 @@ an empty table gives no rows; extra columns are ignored, whatever their names.
 
 from __future__ import annotations
 
-from functools import partial
-
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -50,9 +48,8 @@ FOLDS, HELD_OUT_FOLD = 5, 1
 PROBES, BITS_PER_ENTRY = 4, 32
 WINDOW, CHANCE = 6, 0.05
 CONFIDENCE = np.array([0.02, 0.15, 0.5, 0.8, 0.9, 0.95, 0.97])
-#: Text in a bucket, and the number of nodes that a node sends to.
+#: Text in a bucket, and the binary logarithm of FAN, the number of nodes that a node sends to.
 BUCKET_BYTES, FAN_BITS = 8 << 20, 8
-FAN = 1 << FAN_BITS
 END = np.uint64(0xE0DE0DE0DE0DE0D1)
 #: The levels of counts.
 LEVELS = np.unique(np.round(np.sqrt(2.0) ** np.arange(80)).astype(np.int64))
@@ -195,21 +192,21 @@ MESSAGE = "node bigint, source bigint, digit int, words binary, word_counts bina
 ANSWER = "node bigint, digit int, word_totals binary, pair_counts binary, n_tokens bigint, n_words bigint"
 
 
-def _split(keys: np.ndarray, prefix: int, level: int) -> np.ndarray:
+def _split(keys: np.ndarray, prefix: int, level: int, fan_bits: int) -> np.ndarray:
     """Where sorted keys that share the digits of `prefix` are cut by their next digit."""
-    return np.searchsorted(keys, ((np.uint64(prefix) << np.uint64(FAN_BITS)) + np.arange(1, FAN, dtype=np.uint64)) << np.uint64(64 - FAN_BITS * (level + 1)))
+    return np.searchsorted(keys, ((np.uint64(prefix) << np.uint64(fan_bits)) + np.arange(1, 1 << fan_bits, dtype=np.uint64)) << np.uint64(64 - fan_bits * (level + 1)))
 
 
-def _messages(source: int, level: int, words: tuple[np.ndarray, np.ndarray], pairs: tuple[np.ndarray, np.ndarray]) -> pa.Table:
-    """Rows from a node of a level to the FAN nodes of the next, one for each digit."""
-    done = FAN_BITS * level
+def _messages(source: int, level: int, fan_bits: int, words: tuple[np.ndarray, np.ndarray], pairs: tuple[np.ndarray, np.ndarray]) -> pa.Table:
+    """Rows from a node of a level to the nodes of the next, one for each digit."""
+    done, fan = fan_bits * level, 1 << fan_bits
     above, prefix = source >> done, source & ((1 << done) - 1)
-    nodes = [((above >> FAN_BITS) << (done + FAN_BITS)) | (prefix << FAN_BITS) | d for d in range(FAN)]
+    nodes = [((above >> fan_bits) << (done + fan_bits)) | (prefix << fan_bits) | d for d in range(fan)]
     columns = []
     for keys, counts in (words, pairs):
-        cut = _split(keys, prefix, level)
+        cut = _split(keys, prefix, level, fan_bits)
         columns += [pa.array([pack(x) for x in np.split(keys, cut)], pa.binary()), pa.array([pack_counts(x) for x in np.split(counts, cut)], pa.binary())]
-    return pa.table([pa.array(nodes, pa.int64()), pa.array([source] * FAN, pa.int64()), pa.array(range(FAN), pa.int32()), *columns], names=["node", "source", "digit", "words", "word_counts", "pairs", "pair_counts"])
+    return pa.table([pa.array(nodes, pa.int64()), pa.array([source] * fan, pa.int64()), pa.array(range(fan), pa.int32()), *columns], names=["node", "source", "digit", "words", "word_counts", "pairs", "pair_counts"])
 
 
 def _read(group: pa.Table, keys: str, counts: str) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
@@ -218,9 +215,13 @@ def _read(group: pa.Table, keys: str, counts: str) -> tuple[list[np.ndarray], np
     return asked, *_sum_sorted(np.concatenate(asked), np.concatenate([unpack_counts(x.as_py()) for x in group.column(counts)]))
 
 
-def pass_on(group: pa.Table, level: int) -> pa.Table:
-    """Add up the messages to a node and send them to the next level."""
-    return _messages(group.column("node")[0].as_py(), level, _read(group, "words", "word_counts")[1:], _read(group, "pairs", "pair_counts")[1:])
+def pass_on(level: int, fan_bits: int):
+    """Add up the messages to a node of a level and send them to the next."""
+
+    def send(group: pa.Table) -> pa.Table:
+        return _messages(group.column("node")[0].as_py(), level, fan_bits, _read(group, "words", "word_counts")[1:], _read(group, "pairs", "pair_counts")[1:])
+
+    return send
 
 
 def _answers(group: pa.Table, values: list[tuple[list[np.ndarray], np.ndarray, np.ndarray]], n_tokens: int, n_words: int) -> pa.Table:
@@ -262,15 +263,19 @@ def _tokenised(group: pa.Table):
             yield b.column("doc_id").slice(first, end - first), b.column("held_out").slice(first, end - first), *token_hashes(data, off)
 
 
-def ask(group: pa.Table) -> pa.Table:
+def ask(fan_bits: int):
     """A bucket's distinct words and pairs with their training counts."""
-    words_found, pairs_found = [], []
-    for _, held_out, t, at in _tokenised(group):
-        use = np.repeat(train_mask(held_out), np.diff(at)).astype(np.int64)
-        words_found.append(_sum_sorted(t, use))
-        pairs_found.append(_sum_sorted(pair_hashes(t, at), use))
-    own = [_sum_sorted(np.concatenate([k for k, _ in found]), np.concatenate([c for _, c in found])) for found in (words_found, pairs_found)]
-    return _messages(group.column("bucket")[0].as_py(), 0, *own)
+
+    def send(group: pa.Table) -> pa.Table:
+        words_found, pairs_found = [], []
+        for _, held_out, t, at in _tokenised(group):
+            use = np.repeat(train_mask(held_out), np.diff(at)).astype(np.int64)
+            words_found.append(_sum_sorted(t, use))
+            pairs_found.append(_sum_sorted(pair_hashes(t, at), use))
+        own = [_sum_sorted(np.concatenate([k for k, _ in found]), np.concatenate([c for _, c in found])) for found in (words_found, pairs_found)]
+        return _messages(group.column("bucket")[0].as_py(), 0, fan_bits, *own)
+
+    return send
 
 
 def score(texts: pa.Table, told: pa.Table) -> pa.Table:
@@ -301,20 +306,19 @@ def score(texts: pa.Table, told: pa.Table) -> pa.Table:
     return pa.Table.from_batches(out, schema=schema)
 
 
-def score_documents(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, levels: int | None = None) -> DataFrame:
+def score_documents(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, fan_bits: int = FAN_BITS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of docs."""
     small_batches(docs.sparkSession)
     fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % FOLDS
     text = F.col("text").cast("string")
     total = docs.agg(F.sum(F.coalesce(F.octet_length(text), F.lit(0)) + 64)).first()[0] or 0
     buckets = max(1, -(-total // bucket_bytes))
-    if levels is None:
-        levels = max(1, -(-(buckets - 1).bit_length() // FAN_BITS))
+    levels = max(1, -(-(buckets - 1).bit_length() // fan_bits))
     home = F.xxhash64("doc_id", text)  # rows without a doc_id are spread by their texts
     dealt = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"), (fold == HELD_OUT_FOLD).alias("held_out"), F.pmod(home, F.lit(buckets)).cast("bigint").alias("bucket"))
-    messages = [dealt.groupBy("bucket").applyInArrow(ask, MESSAGE)]
+    messages = [dealt.groupBy("bucket").applyInArrow(ask(fan_bits), MESSAGE)]
     for level in range(1, levels):
-        messages.append(messages[-1].groupBy("node").applyInArrow(partial(pass_on, level=level), MESSAGE))
+        messages.append(messages[-1].groupBy("node").applyInArrow(pass_on(level, fan_bits), MESSAGE))
     told = messages[-1].groupBy("node").applyInArrow(answer, ANSWER)
     for sent in reversed(messages[:-1]):
         told = sent.groupBy("node").cogroup(told.groupBy("node")).applyInArrow(pass_back, ANSWER)
