@@ -11,12 +11,15 @@ position. Sorting all rows by position by range gives the training order.
 Scale: the running count of tokens within a source is made of two parts, sums
 for each (source, first three hex digits of md5) and a window inside such a
 bucket; so a source with a third of all rows is spread over 4,096 buckets. The
-only table on one task has a row for each source.
-
-Defined cases: null or empty text has size 0 and gets no position; a null source
-is a source of its own, last in order; null doc_ids sort first; repeated rows are rows of
-their own; an empty table gives no rows; extra columns are carried by
-curriculum() under any name that does not start with __mix_.
+window and the join with the buckets' starts share one exchange of the rows, and
+the range sort is the other. The only table on one task has a row for each source.
+
+Defined cases: null or empty text has size 0 and gets no position; very long texts
+are one document whose middle decides; a null source is a source of its own, last
+in order; null doc_ids sort first; rows of one doc_id are ordered by size, then by
+a hash of the text, so ties do not depend on arrival; repeated rows are rows of
+their own; an empty table gives no rows; extra columns are carried by curriculum(),
+whatever their names.
 """
 
 from __future__ import annotations
@@ -62,75 +65,65 @@ def _invert(y: Column, knots: Sequence[tuple[float, float]]) -> Column:
 
 
 def _targets(sizes: DataFrame, weights: Sequence[int], share: float, max_repeat: float) -> DataFrame:
-    """Targets by water-filling: source, source size -> weight class, target. One row for each source."""
+    """Targets by water-filling, one row for each source: group, source_size, class, target. sizes: group, source, source_size."""
     k = len(weights)
-    order = Window.orderBy(F.col("__mix_source").asc_nulls_last())
-    ranked = sizes.withColumn("__mix_class", (F.row_number().over(order) - 1) % k)
-    w = F.element_at(F.array(*[F.lit(int(x)) for x in weights]), F.col("__mix_class") + 1)
-    ranked = ranked.withColumn("__mix_w", w).withColumn("__mix_cap", F.col("__mix_source_size") * float(max_repeat))
-    ranked = ranked.withColumn("__mix_ratio", F.col("__mix_cap") / F.col("__mix_w"))
-    by = Window.orderBy("__mix_ratio", F.col("__mix_source").asc_nulls_last())
+    order = Window.orderBy(F.col("source").asc_nulls_last())
+    ranked = sizes.withColumn("class", (F.row_number().over(order) - 1) % k)
+    ranked = ranked.withColumn("weight", F.element_at(F.array(*[F.lit(int(x)) for x in weights]), F.col("class") + 1)).withColumn("cap", F.col("source_size") * float(max_repeat))
+    ranked = ranked.withColumn("ratio", F.col("cap") / F.col("weight"))
+    by = Window.orderBy("ratio", F.col("source").asc_nulls_last())
     everything = by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     before, after = by.rowsBetween(Window.unboundedPreceding, -1), by.rowsBetween(0, Window.unboundedFollowing)
-    total = F.sum("__mix_source_size").over(everything) * F.lit(float(share))
-    level = (total - F.coalesce(F.sum("__mix_cap").over(before), F.lit(0.0))) / F.sum("__mix_w").over(after)
-    ranked = ranked.withColumn("__mix_level", level)
-    fits = F.first(F.when(F.col("__mix_level") <= F.col("__mix_ratio"), F.col("__mix_level")), ignorenulls=True).over(everything)
-    ranked = ranked.withColumn("__mix_fit", fits)
-    target = F.when(F.col("__mix_fit").isNull(), F.col("__mix_cap")).otherwise(F.least("__mix_cap", F.col("__mix_fit") * F.col("__mix_w")))
-    return ranked.select("__mix_source", "__mix_source_size", "__mix_class", target.alias("__mix_target"))
+    total = F.sum("source_size").over(everything) * F.lit(float(share))
+    ranked = ranked.withColumn("level", (total - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(after))
+    fits = F.first(F.when(F.col("level") <= F.col("ratio"), F.col("level")), ignorenulls=True).over(everything)
+    ranked = ranked.withColumn("fit", fits)
+    target = F.when(F.col("fit").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("fit") * F.col("weight")))
+    return ranked.select("group", "source_size", "class", target.alias("target"))
 
 
 def positions(docs: DataFrame, weights: Sequence[int] = WEIGHTS, schedules: Sequence[Sequence[tuple[float, float]]] = SCHEDULES, share: float = SHARE, max_repeat: int = MAX_REPEAT, carry: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """The columns `carry`, and for each row __mix_size, __mix_source_size, __mix_target and __mix_positions (array of training times, one for each time that the mix takes the row)."""
+    """For each row: row (a struct of the columns `carry`), size, source_size, target and positions (array of training times, one for each time that the mix takes the row)."""
     sized = docs.select(
-        *[F.col(f"`{c}`") for c in carry],
-        F.col("source").alias("__mix_source"),
-        F.col("doc_id").alias("__mix_id"),
-        F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("__mix_key"),
-        word_count(F.col("text")).alias("__mix_size"),
-    ).withColumn("__mix_bucket", F.substring("__mix_key", 1, 3))
-    buckets = sized.groupBy("__mix_source", "__mix_bucket").agg(F.sum("__mix_size").alias("__mix_bucket_size"))
-    sizes = buckets.groupBy("__mix_source").agg(F.sum("__mix_bucket_size").alias("__mix_source_size"))
+        F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"),
+        "source",
+        F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")).alias("group"),
+        F.col("doc_id").alias("id"),
+        F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("key"),
+        F.xxhash64("text").alias("text_key"),
+        word_count(F.col("text")).alias("size"),
+    ).withColumn("bucket", F.substring("key", 1, 3))
+    buckets = sized.groupBy("group", "bucket").agg(F.first("source").alias("source"), F.sum("size").alias("bucket_size"))
+    sizes = buckets.groupBy("group").agg(F.first("source").alias("source"), F.sum("bucket_size").alias("source_size"))
     targets = _targets(sizes, weights, share, max_repeat)
-    earlier = Window.partitionBy("__mix_source").orderBy("__mix_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = buckets.withColumn("__mix_start", F.coalesce(F.sum("__mix_bucket_size").over(earlier), F.lit(0)))
-    same = F.col("l.__mix_source").eqNullSafe(F.col("r.__mix_source"))
-    starts = starts.alias("l").join(targets.alias("r"), same).select("l.__mix_source", "l.__mix_bucket", "l.__mix_start", "r.__mix_source_size", "r.__mix_class", "r.__mix_target")
-    within = Window.partitionBy("__mix_source", "__mix_bucket").orderBy("__mix_key", "__mix_id", "__mix_size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = sized.withColumn("__mix_before", F.coalesce(F.sum("__mix_size").over(within), F.lit(0)))
-    placed = placed.alias("l").join(starts.alias("r"), same & (F.col("l.__mix_bucket") == F.col("r.__mix_bucket"))).select(*[F.col(f"l.`{c}`") for c in carry], "l.__mix_source", "l.__mix_size", "l.__mix_before", "r.__mix_start", "r.__mix_source_size", "r.__mix_class", "r.__mix_target")
-    middle = F.col("__mix_start") + F.col("__mix_before") + F.col("__mix_size") / 2.0
-    wanted = F.array(*[middle + F.col("__mix_source_size") * e for e in range(int(max_repeat))])
-    wanted = F.filter(wanted, lambda x: (x < F.col("__mix_target")) & (F.col("__mix_size") > 0))
-    placed = placed.withColumn("__mix_wanted", wanted)
+    earlier = Window.partitionBy("group").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = buckets.select("group", "bucket", F.coalesce(F.sum("bucket_size").over(earlier), F.lit(0)).alias("start")).join(targets, "group")
+    within = Window.partitionBy("group", "bucket").orderBy("key", "id", "size", "text_key").rowsBetween(Window.unboundedPreceding, -1)
+    placed = sized.select("row", "group", "bucket", "size", F.coalesce(F.sum("size").over(within), F.lit(0)).alias("before")).join(starts, ["group", "bucket"])
+    middle = F.col("start") + F.col("before") + F.col("size") / 2.0
+    wanted = F.array(*[middle + F.col("source_size") * e for e in range(int(max_repeat))])
+    placed = placed.withColumn("wanted", F.filter(wanted, lambda x: (x < F.col("target")) & (F.col("size") > 0)))
 
     def time_of(x: Column) -> Column:
-        y = F.coalesce(F.try_divide(x, F.col("__mix_target")), F.lit(0.0))
+        y = F.coalesce(F.try_divide(x, F.col("target")), F.lit(0.0))
         out: Column | None = None
         for i, knots in enumerate(schedules):
-            out = F.when(F.col("__mix_class") == i, _invert(y, knots)) if out is None else out.when(F.col("__mix_class") == i, _invert(y, knots))
+            out = F.when(F.col("class") == i, _invert(y, knots)) if out is None else out.when(F.col("class") == i, _invert(y, knots))
         return out
 
-    return placed.select(*[F.col(f"`{c}`") for c in carry], "__mix_size", "__mix_source", "__mix_source_size", "__mix_target", F.transform("__mix_wanted", time_of).alias("__mix_positions"))
+    return placed.select("row", "size", "source_size", "target", F.transform("wanted", time_of).alias("positions"))
 
 
 def curriculum(docs: DataFrame, **options) -> DataFrame:
-    """The documents in training order: each row as often as the mix takes it, all columns kept, sorted by position by range over all partitions."""
-    names = docs.columns
-    placed = positions(docs, carry=names, **options)
-    rows = placed.select(*[F.col(f"`{c}`") for c in names], F.explode("__mix_positions").alias("__mix_position"))
-    return rows.orderBy("__mix_position", "doc_id").drop("__mix_position")
+    """The documents in training order: each row as often as the mix takes it, all columns kept, sorted by position, then doc_id, by range over all partitions."""
+    placed = positions(docs, carry=docs.columns, **options).select("row", F.explode("positions").alias("position"))
+    return placed.orderBy("position", "row.doc_id").select("row.*")
 
 
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = positions(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text"))
-    first = F.get("__mix_positions", F.lit(0))
-    return (
-        placed.withColumn("__mix_first", first)
-        .orderBy(F.col("__mix_first").asc_nulls_last(), "doc_id")
-        .select("doc_id", F.col("__mix_size").alias("size"), F.col("__mix_source_size").alias("source_size"), F.round("__mix_target", 6).alias("target"), (F.col("__mix_size") * F.size("__mix_positions")).alias("taken"), F.round("__mix_first", 6).alias("first_position"))
-    )
+    placed = placed.withColumn("first", F.get("positions", F.lit(0))).orderBy(F.col("first").asc_nulls_last(), "row.doc_id")
+    return placed.select("row.doc_id", "size", "source_size", F.round("target", 6).alias("target"), (F.col("size") * F.size("positions")).alias("taken"), F.round("first", 6).alias("first_position"))
 
 
 ORACLE = r"""
