@@ -2,22 +2,25 @@
 
 Words are lower-cased and stripped of punctuation at both ends. Every three
 consecutive words of a test item are a seed. A first scan counts how many
-documents hold each seed; a seed is rare if at most RARE_DOCS documents have it, or
-no more than RARE_FACTOR times the upper quartile of its own item's seeds (an item
-that a third of the corpus quotes keeps its seeds). A second scan cuts the
-passage around rare seeds out of each document; passages meet items by an
-equi-join on the seed, and Smith-Waterman alignment over words scores each pair
-of passage and item. The score is the alignment's share of the best possible, so
-edited and paraphrased copies keep most of it.
-
-Scale: texts never shuffle; the scans use a bit filter of fixed size that only
-spares work, exact joins follow; only counts of seeds and passages with rare seeds
-move. Alignment runs over batches of pairs of bounded size.
+documents hold each seed; a seed is rare if no more than RARE_FACTOR times the upper
+quartile of its own item's seeds have it, so that at least three quarters of
+an item's seeds are kept whatever the size of the corpus (an item that a third of
+the corpus quotes keeps its seeds too). A second scan cuts the passage around
+rare seeds out of each document, as far as the length of the items asks for;
+passages meet items by an equi-join on the seed, and Smith-Waterman alignment over
+words scores each pair of passage and item. The score is the alignment's share
+of the best possible, so edited and paraphrased copies keep most of it.
+
+Scale: texts never shuffle; the scans use bit filters of fixed size (one for each
+power of two of item lengths) that only spare work, exact joins follow; only counts
+of seeds and passages with rare seeds move. Alignment runs over batches of pairs of
+bounded size.
 
 Defined cases: null and empty texts hold nothing; an item with fewer than three
-words has no seeds and matches nothing; repeated documents or items give one row for
-each pair of ids; null ids are ids; empty tables give no rows; extra columns are
-ignored.
+words has no seeds and matches nothing; very long texts are searched whole;
+repeated documents or items give one row for each pair of ids, the best score and,
+of equal ones, the last end; null ids are ids; empty tables give no rows; extra
+columns are ignored by leaks() and kept by clean(), whatever their names.
 """
 
 from __future__ import annotations
@@ -32,10 +35,11 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import BitFilter, mix64, pieces, prefix_hash, small_batches, span_hash, words, written
 
 SEED_WORDS = 3
-RARE_DOCS, RARE_FACTOR = 100, 4.0
+RARE_FACTOR = 4.0
 MATCH, MISMATCH, GAP = 2, -1, -1
 MIN_SCORE, MIN_MATCHED = 0.4, 6
-PAD_WORDS = 128
+#: Items are dealt into classes by length, powers of two from this one on; a passage reaches twice a class's length beyond its seeds.
+LEAST_CLASS = 6
 FILTER_BITS = 24
 BATCH_CELLS = 1 << 20
 
@@ -52,11 +56,11 @@ def tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         data = data.copy()
         data[accent] += 0x20  # capital letters of Latin-1 in UTF-8
     s, e = starts.copy(), ends.copy()
-    for _ in range(4):
-        go = (e > s) & _EDGE[data[np.maximum(e - 1, 0)]] if len(e) else np.zeros(0, bool)
-        e -= go
-        go = (e > s) & _EDGE[data[np.minimum(s, len(data) - 1)]] if len(e) else go
-        s += go
+    if len(s):  # the nearest byte on either side that is no punctuation
+        solid = np.where(_EDGE[data], -1, np.arange(len(data)))
+        e = np.maximum.accumulate(solid)[ends - 1] + 1
+        solid[solid < 0] = len(data)
+        s = np.minimum.accumulate(solid[::-1])[::-1][starts]
     bare = e <= s
     s[bare], e[bare] = starts[bare], ends[bare]
     return span_hash(prefix_hash(data, lower=True), s, e), before
@@ -150,35 +154,38 @@ def seed_documents(docs: DataFrame, wanted: BitFilter) -> DataFrame:
     return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(emit, "seed bigint, n bigint").groupBy("seed").agg(F.sum("n").alias("docs"))
 
 
-def cut_passages(docs: DataFrame, wanted: BitFilter, pad: int = PAD_WORDS) -> DataFrame:
-    """doc_id, passage (id), start (word), words (binary), seeds: runs of words around the seeds that the filter passes."""
+def cut_passages(docs: DataFrame, wanted: dict[int, BitFilter]) -> DataFrame:
+    """doc_id, class, passage (id), start (word), words (binary), seeds: for each class of items, runs of words around the seeds that its filter passes."""
 
     def emit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows, start, blobs, held, ids = [], [], [], [], []
+            rows, kinds, start, blobs, held, ids = [], [], [], [], [], []
             for first, end, data, off in pieces(b.column(1)):
                 h, before = tokens(data, off)
                 g = seeds(h)
-                hit = np.flatnonzero(wanted.contains(g))
-                row = np.searchsorted(before, hit, side="right") - 1
-                inside = hit + SEED_WORDS <= before[row + 1]
-                hit, row = hit[inside], row[inside]
-                if not len(hit):
-                    continue
-                edge = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (hit[1:] - hit[:-1] > pad))))
-                for i, j in zip(edge, [*edge[1:], len(hit)]):
-                    r = row[i]
-                    a, z = max(hit[i] - pad, before[r]), min(hit[j - 1] + SEED_WORDS + pad, before[r + 1])
-                    rows.append(first + r)
-                    start.append(a - before[r])
-                    blobs.append(h[a:z].tobytes())
-                    held.append(np.unique(g[hit[i:j]]).view(np.int64).tolist())
-                    ids.append(int(mix64(h[a:z]).sum(dtype=np.uint64).view(np.int64)))
+                for kind, of_kind in wanted.items():
+                    pad = 2 << kind
+                    hit = np.flatnonzero(of_kind.contains(g))
+                    row = np.searchsorted(before, hit, side="right") - 1
+                    inside = hit + SEED_WORDS <= before[row + 1]
+                    hit, row = hit[inside], row[inside]
+                    if not len(hit):
+                        continue
+                    edge = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (hit[1:] - hit[:-1] > pad))))
+                    for i, j in zip(edge, [*edge[1:], len(hit)]):
+                        r = row[i]
+                        a, z = max(hit[i] - pad, before[r]), min(hit[j - 1] + SEED_WORDS + pad, before[r + 1])
+                        rows.append(first + r)
+                        kinds.append(kind)
+                        start.append(a - before[r])
+                        blobs.append(h[a:z].tobytes())
+                        held.append(np.unique(g[hit[i:j]]).view(np.int64).tolist())
+                        ids.append(int(mix64(h[a:z]).sum(dtype=np.uint64).view(np.int64)))
             doc = b.column(0).take(pa.array(rows, pa.int64()))
-            yield pa.RecordBatch.from_arrays([doc, pa.array(ids, pa.int64()), pa.array(start, pa.int64()), pa.array(blobs, pa.binary()), pa.array(held, pa.list_(pa.int64()))], names=["doc_id", "passage", "start", "words", "seeds"])
+            yield pa.RecordBatch.from_arrays([doc, pa.array(kinds, pa.int32()), pa.array(ids, pa.int64()), pa.array(start, pa.int64()), pa.array(blobs, pa.binary()), pa.array(held, pa.list_(pa.int64()))], names=["doc_id", "class", "passage", "start", "words", "seeds"])
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(emit, "doc_id bigint, passage bigint, start bigint, words binary, seeds array<bigint>")
+    return rows.mapInArrow(emit, "doc_id bigint, class int, passage bigint, start bigint, words binary, seeds array<bigint>")
 
 
 def _score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,19 +203,21 @@ def _score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def leaks(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE, min_matched: int = MIN_MATCHED) -> DataFrame:
     """doc_id, item_id, similarity, end_word of each document that holds a copy of an item, edited or not."""
     small_batches(docs.sparkSession)
-    items = written(_item_words(benchmark), "items")
-    of = items.select("item_id", F.explode("seeds").alias("seed"))
+    length = F.greatest(F.lit(LEAST_CLASS), F.ceil(F.log2("n")).cast("int")).alias("class")
+    items = written(_item_words(benchmark).select("*", length), "items")
+    of = items.select("item_id", "class", F.explode("seeds").alias("seed"))
     counts = seed_documents(docs, BitFilter.build(of, "seed", FILTER_BITS))
     counted = of.join(counts, "seed", "left").withColumn("docs", F.coalesce("docs", F.lit(0)))
-    usual = counted.groupBy(F.col("item_id").alias("__item")).agg(F.percentile("docs", 0.75).alias("usual"))
-    same = F.col("item_id").eqNullSafe(F.col("__item"))
-    rare = counted.join(usual, same).where(F.col("docs") <= F.greatest(F.lit(float(RARE_DOCS)), F.col("usual") * RARE_FACTOR)).select("item_id", "seed")
+    usual = counted.groupBy(F.col("item_id").alias("of_item")).agg(F.percentile("docs", 0.75).alias("usual"))
+    same = F.col("item_id").eqNullSafe(F.col("of_item"))
+    rare = counted.join(usual, same).where(F.col("docs") <= F.greatest(F.lit(1.0), F.col("usual")) * RARE_FACTOR).select("item_id", "class", "seed")
     rare = written(rare.distinct(), "seeds")
-    longest = items.agg(F.max("n")).first()[0] or 0
-    passages = written(cut_passages(docs, BitFilter.build(rare, "seed", FILTER_BITS), max(PAD_WORDS, 2 * longest)), "passages")
-    met = passages.select("doc_id", "passage", "start", F.explode("seeds").alias("seed")).join(rare, "seed").select("doc_id", "passage", "start", "item_id").distinct()
+    kinds = sorted(r["class"] for r in items.select("class").distinct().collect())  # at most one for each power of two
+    passages = written(cut_passages(docs, {k: BitFilter.build(rare.where(F.col("class") == k), "seed", FILTER_BITS) for k in kinds}), "passages")
+    met = passages.select("doc_id", "class", "passage", "start", F.explode("seeds").alias("seed")).join(rare, ["class", "seed"]).select("doc_id", "class", "passage", "start", "item_id").distinct()
     null_safe = lambda a, b: F.col(a).eqNullSafe(F.col(b))
-    pairs = met.alias("m").join(passages.dropDuplicates(["doc_id", "passage", "start"]).alias("p"), null_safe("m.doc_id", "p.doc_id") & (F.col("m.passage") == F.col("p.passage")) & (F.col("m.start") == F.col("p.start")))
+    place = (F.col("m.class") == F.col("p.class")) & (F.col("m.passage") == F.col("p.passage")) & (F.col("m.start") == F.col("p.start"))
+    pairs = met.alias("m").join(passages.dropDuplicates(["doc_id", "class", "passage", "start"]).alias("p"), null_safe("m.doc_id", "p.doc_id") & place)
     pairs = pairs.select("m.doc_id", "m.item_id", "p.words", "m.start").alias("m").join(items.alias("i"), null_safe("m.item_id", "i.item_id")).select("m.doc_id", "m.item_id", "m.words", "m.start", "i.item")
     scored = pairs.mapInArrow(_score, "doc_id bigint, item_id bigint, similarity double, score bigint, end_word bigint, n bigint")
     found = scored.where((F.col("similarity") >= min_score) & (F.col("score") >= MATCH * F.least(F.lit(min_matched), "n")))
@@ -218,8 +227,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE, m
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs, all columns, that hold no benchmark item."""
-    found = leaks(docs, benchmark).select(F.col("doc_id").alias("__leak")).distinct()
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("__leak")), "left_anti")
+    found = leaks(docs.select("doc_id", "text"), benchmark).select("doc_id").distinct()
+    return docs.alias("l").join(found.alias("r"), F.col("l.doc_id").eqNullSafe(F.col("r.doc_id")), "left_anti")
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
