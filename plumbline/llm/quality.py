@@ -12,9 +12,11 @@ and the trees (bounded by ROUNDS and DEPTH) are all that is broadcast.
 
 Defined cases: null text counts as empty and gets a score; a null quality is no
 label; repeated labels of a doc_id are averaged (1 if at least half); repeated
-documents are scored each; without labels of both classes every score is the
+documents are scored each, and for learning the least text of a doc_id counts; of
+labels above the bound those with the least hash are taken; very long texts
+are measured whole; without labels of both classes every score is the
 mean label, or 0.5; an empty table gives no rows; doc_id, lang, source and labels are
-never features.
+never features; extra columns are ignored or kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,8 +28,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from plumbline.llm.common import mix64, pieces, prefix_hash, small_batches, span_hash, words
+from plumbline.llm.common import fresh, mix64, pieces, prefix_hash, small_batches, span_hash, words
 
 MAX_TRAIN_ROWS = 20_000
 ROUNDS, DEPTH, RATE, BINS, MIN_LEAF, RIDGE = 80, 4, 0.1, 64, 10, 1.0
@@ -208,6 +211,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) ->
             flat = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), len(FEATURES)).cast(pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([flat, b.column(1), b.column(2)], names=["x", "y", "doc_id"])
 
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct("text", "__label")).alias("r")).select("r.text", "r.__label", "doc_id")  # repeated documents count once, so the bound holds for rows too
     got = rows.mapInArrow(measure, "x array<double>, y double, doc_id bigint").toPandas()
     if not len(got):
         return fit(np.zeros((0, len(FEATURES))), np.zeros(0))
@@ -216,23 +220,24 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) ->
     return fit(x[order], got["y"].to_numpy()[order])
 
 
-def score_documents(docs: DataFrame, model: FlatTrees, carry: Sequence[str]) -> DataFrame:
-    """The columns `carry` and __score (double) of every row."""
+def score_documents(docs: DataFrame, model: FlatTrees, carry: Sequence[str], name: str = "__score") -> DataFrame:
+    """The columns `carry` and the score (double, under `name`) of every row."""
     small_batches(docs.sparkSession)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in carry)
+    fields = [f for f in docs.schema.fields if f.name in carry]
+    schema = StructType([*(StructField(f.name, f.dataType) for f in fields), StructField(name, DoubleType())])
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            own = [b.column(i + 1) for i in range(len(names))]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(model.score(statistics(b.column(0))))], names=[*names, "__score"])
+            own = [b.column(i + 1) for i in range(len(fields))]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(model.score(statistics(b.column(0))))], names=schema.names)
 
-    names = [f.name for f in docs.schema.fields if f.name in carry]
-    return docs.select(F.col("text").cast("string").alias("__text"), *[F.col(f"`{c}`") for c in names]).mapInArrow(score, f"{schema}, __score double")
+    return docs.select(F.col("text").cast("string").alias(fresh(docs, "text")), *[F.col(f"`{f.name}`") for f in fields]).mapInArrow(score, schema)
 
 
 def accepted(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
     """The rows of docs, all columns, that the classifier accepts."""
-    return score_documents(docs, train(docs, labels), docs.columns).where(F.col("__score") >= cut).drop("__score")
+    name = fresh(docs, "score")
+    return score_documents(docs, train(docs.select("doc_id", "text"), labels), docs.columns, name).where(F.col(name) >= cut).drop(name)
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

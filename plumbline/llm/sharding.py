@@ -8,11 +8,14 @@ moves about 1/shards of the rows and little else.
 
 Scale: the table has TABLE_SIZE rows whatever the data are, so it is broadcast;
 placing is a map over the rows without a shuffle. write_shards() moves each row
-once, a shard split over several tasks by a salt from the key.
+once, a shard split over as many tasks as its rows ask for (ROWS_PER_TASK), by
+a salt from the whole row, so that rows of one key are spread too.
 
 Defined cases: a null key is placed like the empty string; equal keys share a
-shard; an empty table gives no rows; columns named slot or shard that the input
-has are replaced.
+shard, whatever their rows' order; texts are not looked at, so null, empty and very
+long ones are placed like others; repeated rows are placed each; an empty table
+gives no rows; columns named slot or shard that the input has are replaced, other
+extra columns are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,8 +26,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.llm.common import fresh
+
 SHARDS = 64
 TABLE_SIZE = 65537
+ROWS_PER_TASK = 200_000
 
 
 def _is_prime(n: int) -> bool:
@@ -58,14 +64,20 @@ def assign_shards(docs: DataFrame, key: str = "doc_id", shards: Sequence[str] |
     owner = lookup_table(names, size)
     table = docs.sparkSession.createDataFrame(list(enumerate(owner)), "slot int, shard int")
     slot = F.pmod(F.xxhash64(F.coalesce(F.col(f"`{key}`").cast("string"), F.lit(""))), F.lit(size)).cast("int")
-    kept = docs.drop("slot", "shard")
-    return kept.withColumn("slot", slot).join(F.broadcast(table), "slot").select(*kept.columns, "slot", "shard")
-
-
-def write_shards(docs: DataFrame, path: str, key: str = "doc_id", shards: Sequence[str] | int = SHARDS, size: int = TABLE_SIZE, tasks_per_shard: int = 4) -> None:
-    """Write the rows as Parquet, a folder for each shard."""
-    placed = assign_shards(docs, key, shards, size).withColumn("__salt", F.pmod(F.hash(f"`{key}`"), F.lit(tasks_per_shard)))
-    placed.repartition("shard", "__salt").drop("__salt").write.partitionBy("shard").parquet(path)
+    kept = [F.col(f"l.`{c}`") for c in docs.columns if c.lower() not in ("slot", "shard")]
+    placed = docs.withColumn("slot", slot)
+    return placed.alias("l").join(F.broadcast(table).alias("r"), F.col("l.slot") == F.col("r.slot")).select(*kept, "l.slot", "r.shard")
+
+
+def write_shards(docs: DataFrame, path: str, key: str = "doc_id", shards: Sequence[str] | int = SHARDS, size: int = TABLE_SIZE, rows_per_task: int = ROWS_PER_TASK) -> None:
+    """Write the rows as Parquet, a folder for each shard, in files of about rows_per_task rows."""
+    placed = assign_shards(docs, key, shards, size)
+    names = shards if isinstance(shards, int) else len(shards)
+    tasks = max(1, -(-docs.count() // (names * rows_per_task)))
+    salt = fresh(placed, "salt")
+    own = [F.col(f"`{f.name}`") for f in placed.schema.fields if "map<" not in f.dataType.simpleString()]
+    placed = placed.withColumn(salt, F.pmod(F.xxhash64(*own), F.lit(tasks)))
+    placed.repartition(max(1, names * tasks), "shard", salt).drop(salt).write.partitionBy("shard").parquet(path)
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
