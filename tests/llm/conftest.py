@@ -25,6 +25,16 @@ def table():
     return path
 
 
+@pytest.fixture(scope="session")
+def middle():
+    import os
+
+    path = "/root/testdata/sf0.01"
+    if not os.path.isdir(path):
+        pytest.skip("no test data")
+    return path
+
+
 def odd_rows():
     """Nulls, empty and very long texts, white space alone, repeated rows."""
     long = " ".join(f"word{i % 977}" for i in range(30_000))

@@ -1,38 +1,54 @@
-"""The five stages against plain versions of their decisions."""
+"""The five stages against plain versions of their decisions, and the whole pipeline."""
 
 import numpy as np
+import xxhash
 
 import corpus_pipeline as cp
-from plumbline.llm import jaccard, leaks, quality
+from plain import brute_components, is_leak, plain_features, plain_mix, plain_score
+from plumbline.llm import jaccard, quality, sharding
 from plumbline.llm.common import written
 
 
 def test_stages(spark, table):
+    """Each stage, over what the one before kept, against a plain version: trees walked row by row, all pairs of shingle sets, all alignments, the mix by hand, placement by hash."""
     docs = spark.read.parquet(f"{table}/documents.parquet")
     names = docs.columns
     labels = spark.read.parquet(f"{table}/labels.parquet")
-    kept = {}
+    items = [r["text"] for r in spark.read.parquet(f"{table}/benchmark.parquet").collect()]
+    before, after = {}, {}
     for name, stage in cp.STAGES:
-        before, docs = docs, written(stage(spark, docs, table), "stage")
-        kept[name] = (before, docs)
+        before[name] = docs.collect()
+        if name == "quality classifier":
+            model = quality.train(docs, labels)
+        docs = written(stage(spark, docs, table), "stage")
+        after[name] = docs.collect()
         if name != "sharding":
             assert docs.columns == names
-    before, after = kept["quality classifier"]
-    scores = quality.score_documents(before, quality.train(before, labels), ["doc_id"]).where("__score >= 0.7")
-    assert {r[0] for r in after.select("doc_id").collect()} == {r["doc_id"] for r in scores.collect()}
-    before, after = kept["n-gram Jaccard join"]
-    firsts = {r["component_id"] for r in jaccard.similar_groups(before).collect()}
-    assert {r[0] for r in after.select("doc_id").collect()} == firsts
-    before, after = kept["benchmark decontamination"]
-    bad = {r["doc_id"] for r in leaks.leaks(before, spark.read.parquet(f"{table}/benchmark.parquet")).collect()}
-    assert {r[0] for r in before.select("doc_id").collect()} - {r[0] for r in after.select("doc_id").collect()} == bad
-    _, after = kept["sharding"]
-    assert set(after.columns) == {*names, "slot", "shard"}
-    assert after.count() == kept["mixing sources to target weights"][1].count()
-
-
-def test_run(spark, table):
-    assert cp.run(spark, table).count() > 0
+    ids = lambda rows: sorted(r["doc_id"] for r in rows)
+
+    name = "quality classifier"
+    assert ids(after[name]) == sorted(r["doc_id"] for r in before[name] if plain_score(model, plain_features(r["text"])) >= 0.7)
+    name = "n-gram Jaccard join"
+    found = brute_components({r["doc_id"]: (r["text"] or "").encode() for r in before[name]}, cp.NEAR_WORDS, cp.NEAR_PERCENT)
+    assert ids(after[name]) == sorted(i for i, (_, first) in found.items() if i == first) and len(after[name]) < len(before[name])
+    name = "benchmark decontamination"
+    assert ids(after[name]) == sorted(r["doc_id"] for r in before[name] if not any(is_leak(r["text"], x) for x in items)) and len(after[name]) < len(before[name])
+    name = "mixing sources to target weights"
+    want = plain_mix([(r["doc_id"], r["source"], r["text"]) for r in before[name]])
+    assert ids(after[name]) == sorted(i for _, i in want)
+    place = {}
+    for at, i in want:
+        place.setdefault(i, []).append(at)
+    got = [place[r["doc_id"]].pop(0) for r in after[name]]  # the positions, in the order of the rows
+    assert all(b - a > -1e-4 for a, b in zip(got, got[1:]))
+    name = "sharding"
+    owner = sharding.lookup_table([f"shard-{i:05d}" for i in range(sharding.SHARDS)], sharding.TABLE_SIZE)
+    assert sorted(tuple(r)[: len(names)] for r in after[name]) == sorted(tuple(r) for r in before[name])
+    for r in after[name]:
+        h = xxhash.xxh64(str(r["doc_id"]).encode(), seed=42).intdigest()
+        slot = (h - (1 << 64) if h >> 63 else h) % sharding.TABLE_SIZE
+        assert (r["slot"], r["shard"]) == (slot, owner[slot])
+    assert sorted(tuple(r) for r in cp.run(spark, table).collect()) == sorted(tuple(r) for r in after[name])
 
 
 def test_near_copies_by_five_words(spark, docs):
