@@ -34,17 +34,25 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 
 CHUNK = 1 << 16
-MEMORY_BYTES = 16 << 20
+MEMORY_BYTES = 4 << 20
 #: Most buckets of a queue level, entries of a bucket that is dealt out again, longest chain that is sorted as a whole, entries looked at together where chains are longer, and length of a string that is sorted in memory.
 FAN, LOAD, WAVES, AHEAD, BASE = 512, 1 << 16, 1 << 11, 1 << 10, 1 << 15
-PAIR = np.dtype([("key", np.int64), ("at", np.int64)])
-TUPLE = np.dtype([("at", np.int64), ("lcp", np.int32)])
+
+
+def whole(most: int) -> np.dtype:
+    """The smallest type on disk for numbers up to `most`."""
+    return np.dtype(np.uint32 if most < 1 << 32 else np.int64)
+
+
+def tuples(n: int, limit: int) -> np.dtype:
+    """(position, common prefix) on disk."""
+    return np.dtype([("at", whole(n)), ("lcp", np.int16 if limit < 1 << 15 else np.int64)])
 
 
 class Run:
     """Entries appended to a file and read again in pieces."""
 
-    def __init__(self, path: str, dtype=np.int64):
+    def __init__(self, path: str, dtype: np.dtype):
         self.path, self.dtype, self.n = path, np.dtype(dtype), 0
         self.parts: list[np.ndarray] = []
         self.held = 0
@@ -67,9 +75,10 @@ class Run:
 
     def load(self, start: int, stop: int) -> np.ndarray:
         if stop <= start:
-            return np.zeros(0, self.dtype)
+            return np.zeros(0, self.dtype if self.dtype.names else np.int64)
         self.flush()
-        return np.fromfile(self.path, dtype=self.dtype, count=stop - start, offset=start * self.dtype.itemsize)
+        got = np.fromfile(self.path, dtype=self.dtype, count=stop - start, offset=start * self.dtype.itemsize)
+        return got if self.dtype.names else got.astype(np.int64)
 
     def chunks(self) -> Iterator[np.ndarray]:
         for at in range(0, self.n, CHUNK):
@@ -107,9 +116,10 @@ class _Level:
 class Queue:
     """External monotone priority queue: the least key first, equal keys first come first served; no key may come in below the last that went out."""
 
-    def __init__(self, folder: str, keys: int, entries: int, memory: int = MEMORY_BYTES):
+    def __init__(self, folder: str, keys: int, n: int, memory: int = MEMORY_BYTES, fan: int = 0):
         self.folder, self.memory = tempfile.mkdtemp(dir=folder), memory
-        self.levels = [_Level(0, keys, keys if keys <= FAN else 4 * entries // LOAD)]
+        self.pair = np.dtype([("key", whole(keys)), ("at", whole(n))])
+        self.levels = [_Level(0, keys, fan or (keys if keys <= FAN else 4 * n // LOAD))]
         self.held = self.spills = 0
         self.fresh: list[tuple[np.ndarray, np.ndarray]] = []
         self.n_fresh = 0
@@ -166,7 +176,7 @@ class Queue:
                 if parts:
                     with open(f"{self.folder}/{n}-{level.base}-{b}", "ab") as f:
                         for k, a in parts:
-                            entry = np.empty(len(k), dtype=PAIR)
+                            entry = np.empty(len(k), dtype=self.pair)
                             entry["key"], entry["at"] = k, a
                             f.write(entry.tobytes())
                             level.written[b] += len(k)
@@ -178,13 +188,13 @@ class Queue:
         """The first entries of a bucket; what is on disk came before what is in memory."""
         left = level.written[b] - level.read[b]
         if left:
-            got = np.fromfile(f"{self.folder}/{self.levels.index(level)}-{level.base}-{b}", dtype=PAIR, count=min(left, most), offset=16 * level.read[b])
+            got = np.fromfile(f"{self.folder}/{self.levels.index(level)}-{level.base}-{b}", dtype=self.pair, count=min(left, most), offset=self.pair.itemsize * level.read[b])
             level.read[b] += len(got)
             level.count[b] -= len(got)
             if left <= most:
                 os.remove(f"{self.folder}/{self.levels.index(level)}-{level.base}-{b}")
                 level.written[b] = level.read[b] = 0
-            return got["key"].copy(), got["at"].copy()
+            return got["key"].astype(np.int64), got["at"].astype(np.int64)
         n = size = 0
         parts = level.parts[b]
         while n < len(parts) and (not n or size + len(parts[n][0]) <= most):
@@ -314,7 +324,7 @@ class Text:
         self.symbols, self.count, self.folder, self.memory, self.n = symbols, count, tempfile.mkdtemp(dir=folder), memory, len(symbols)
         self.spills = 0
         self.small = self._types()
-        self.lms = Run(f"{self.folder}/lms")
+        self.lms = self._run("lms")
         for a in range(0, self.n, 4 * CHUNK):
             s = self.small[max(a - 1, 0) : a + 4 * CHUNK]
             self.lms.append(np.flatnonzero(s[1:] & ~s[:-1]) + max(a - 1, 0) + 1)
@@ -344,7 +354,7 @@ class Text:
         shutil.rmtree(self.folder, ignore_errors=True)
 
     def _run(self, name: str) -> Run:
-        return Run(f"{self.folder}/{name}")
+        return Run(f"{self.folder}/{name}", whole(self.n))
 
     def _sweep(self, seeds: Iterable[np.ndarray], up: bool, name: str) -> Run:
         """The L suffixes in order, from LMS seeds (up), or the S suffixes in falling order, from falling L suffixes (down)."""
@@ -397,7 +407,7 @@ class Text:
         large = self._sweep(self.lms.chunks(), True, "name-large")
         less = self._sweep(large.backwards(), False, "name-less")
         large.drop()
-        order, names, before, name = self._run("by-substring"), Queue(self.folder, self.n, self.n // LOAD, self.memory), None, -1
+        order, names, before, name = self._run("by-substring"), Queue(self.folder, self.n, self.n, self.memory, self.n // LOAD + 1), None, -1
         for part in less.backwards():
             part = part[self.is_lms(part)]
             if not len(part):
@@ -440,7 +450,9 @@ class Text:
                 step *= 2
             yield np.argsort(rank, kind="stable")
             return
-        large = self._sweep(self.sorted_lms().chunks(), True, "large")
+        first = self.sorted_lms()
+        large = self._sweep(first.chunks(), True, "large")
+        first.drop()
         less = self._sweep(large.backwards(), False, "less")
         none = np.zeros(0, dtype=np.int64)
         x, y, xs, ys = none, none, large.chunks(), less.backwards()
@@ -451,7 +463,7 @@ class Text:
                 y = next(ys, none)
             if not len(x) or not len(y):
                 break
-            kx, ky = 2 * self.symbols[x], 2 * self.symbols[y] + 1  # of one symbol, L comes before S
+            kx, ky = 2 * self.symbols[x].astype(np.int64), 2 * self.symbols[y].astype(np.int64) + 1  # of one symbol, L comes before S
             cut = min(kx[-1], ky[-1])
             i, j = np.searchsorted(kx, cut, side="right"), np.searchsorted(ky, cut, side="right")
             both = np.concatenate((x[:i], y[:j]))
@@ -466,15 +478,15 @@ class Text:
 class TupleQueues:
     """A first-in first-out queue of (position, common prefix) for each byte, in memory up to a budget and on disk beyond."""
 
-    def __init__(self, folder: str, memory: int = MEMORY_BYTES):
-        self.folder, self.memory, self.held = tempfile.mkdtemp(dir=folder), memory, 0
+    def __init__(self, folder: str, dtype: np.dtype, memory: int = MEMORY_BYTES):
+        self.folder, self.dtype, self.memory, self.held = tempfile.mkdtemp(dir=folder), dtype, memory, 0
         self.parts: list[list[np.ndarray]] = [[] for _ in range(256)]
         self.written, self.read = [0] * 256, [0] * 256
         self.count = [0] * 256
         self.spills = 0
 
     def push(self, byte: int, at: np.ndarray, lcp: np.ndarray) -> None:
-        part = np.empty(len(at), dtype=TUPLE)
+        part = np.empty(len(at), dtype=self.dtype)
         part["at"], part["lcp"] = at, lcp
         self.parts[byte].append(part)
         self.count[byte] += len(at)
@@ -498,8 +510,11 @@ class TupleQueues:
         left = self.written[byte] - self.read[byte]
         if left:
             n = min(left, CHUNK)
-            out = np.fromfile(f"{self.folder}/{byte}", dtype=TUPLE, count=n, offset=self.read[byte] * TUPLE.itemsize)
+            out = np.fromfile(f"{self.folder}/{byte}", dtype=self.dtype, count=n, offset=self.read[byte] * self.dtype.itemsize)
             self.read[byte] += n
+            if n == left:
+                os.remove(f"{self.folder}/{byte}")
+                self.written[byte] = self.read[byte] = 0
             return out
         if self.parts[byte]:
             n, size = 0, 0
@@ -522,6 +537,7 @@ class InducedSorter:
     def __init__(self, path: str, limit: int, folder: str | None = None, memory: int = MEMORY_BYTES):
         self.folder = tempfile.mkdtemp(dir=folder, prefix="suffixes-")
         self.limit, self.memory, self.n, self.spills = limit, memory, os.path.getsize(path), 0
+        self.dtype = tuples(self.n, limit)
         self.text = np.asarray(np.memmap(path, dtype=np.uint8, mode="r")) if self.n else np.zeros(0, dtype=np.uint8)
         self.string = Text(self.text, 256, self.folder, memory)
         self.small = self.string.small
@@ -551,7 +567,7 @@ class InducedSorter:
 
     def _sweep(self, seeds: dict[int, Run], up: bool, runs: dict[int, Run] | None, name: str) -> dict[int, Run]:
         """Induce L suffixes from ordered LMS seeds (up), or S suffixes from the runs of L suffixes (down)."""
-        text, queues, out = self.text, TupleQueues(self.folder, self.memory), {}
+        text, queues, out = self.text, TupleQueues(self.folder, self.dtype, self.memory), {}
         passed = np.full(256, self.limit, dtype=np.int64)
         before = -1
 
@@ -584,7 +600,7 @@ class InducedSorter:
             queues.push(int(text[self.n - 1]), np.array([self.n - 1]), np.array([0]))  # induced by the empty suffix
             passed[:] = 0
         for byte in range(256) if up else range(255, -1, -1):
-            run = out[byte] = Run(f"{self.folder}/{name}-{byte}", TUPLE)
+            run = out[byte] = Run(f"{self.folder}/{name}-{byte}", self.dtype)
             new = True
             while (part := queues.pop(byte)) is not None:
                 if new:
@@ -623,14 +639,14 @@ class InducedSorter:
         before = None
         for at in order.chunks():
             a = np.concatenate((at[:1] if before is None else before, at[:-1]))
-            part = np.empty(len(at), dtype=TUPLE)
+            part = np.empty(len(at), dtype=self.dtype)
             part["at"], part["lcp"] = at, self._common(a, at)
             first = self.text[at]
             edges = np.flatnonzero(np.concatenate(([True], first[1:] != first[:-1]))).tolist()
             for i, j in zip(edges, [*edges[1:], len(first)]):
                 byte = int(first[i])
                 if byte not in out:
-                    out[byte] = Run(f"{self.folder}/seeds-{byte}", TUPLE)
+                    out[byte] = Run(f"{self.folder}/seeds-{byte}", self.dtype)
                     part["lcp"][i] = -1
                 out[byte].append(part[i:j])
             before = at[-1:]
@@ -640,7 +656,11 @@ class InducedSorter:
         """Sort all suffixes; the runs are then on disk."""
         order = self.string.sorted_lms()
         self.spills += self.string.spills
-        self.large = self._sweep(self._seeds(order), True, None, "L")
+        seeds = self._seeds(order)
+        order.drop()
+        self.large = self._sweep(seeds, True, None, "L")
+        for run in seeds.values():
+            run.drop()
         self.less = self._sweep({}, False, self.large, "S")
 
     def suffixes(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -648,10 +668,10 @@ class InducedSorter:
         for byte in range(256):
             last = None
             for part in self.large[byte].chunks():
-                yield part["at"].copy(), part["lcp"].astype(np.int64)
+                yield part["at"].astype(np.int64), part["lcp"].astype(np.int64)
                 last = int(part["at"][-1])
             for part in self._backwards(self.less[byte]):
                 lcp = part["lcp"].astype(np.int64)
                 if lcp[0] < 0:
                     lcp[0] = self._one_common(last, int(part["at"][0])) if last is not None else 0
-                yield part["at"].copy(), lcp
+                yield part["at"].astype(np.int64), lcp
