@@ -23,18 +23,26 @@ def sma(value: str | Column = "close", window: int = 20) -> Column:
 
 def _exponential(value: Column, alpha: float, window: int) -> Column:
     """Recursive smoothing seeded by the first value; values older than the frame weigh less than 1e-17."""
+    if alpha >= 1:  # a window of one bar keeps the value
+        return value
     reach = math.ceil(39.2 / -math.log(1 - alpha))
     held = F.collect_list(value).over(by_symbol().rowsBetween(-reach, 0))
     folded = F.aggregate(held, F.lit(None).cast("double"), lambda acc, x: F.coalesce(acc * (1 - alpha) + x * alpha, x))
     return F.when((F.count(value).over(running()) >= window) & value.isNotNull(), folded)
 
 
+def _window(window: int) -> int:
+    if window < 1:
+        raise ValueError("a window has at least one bar")
+    return window
+
+
 def ema(value: str | Column = "close", window: int = 26) -> Column:
-    return _exponential(col(value), 2 / (window + 1), window)
+    return _exponential(col(value), 2 / (_window(window) + 1), window)
 
 
 def wilder(value: str | Column, window: int = 14) -> Column:
-    return _exponential(col(value), 1 / window, window)
+    return _exponential(col(value), 1 / _window(window), window)
 
 
 def roc(close: str | Column = "close", window: int = 10) -> Column:

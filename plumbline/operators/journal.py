@@ -12,7 +12,7 @@ from plumbline.config import BacktestConfig
 from plumbline.functions.core import EPS, PERIODS_PER_YEAR, fisher_z, guarded_corr, missed_sessions
 from plumbline.operators.backtest import simple_return, target_position, trailing_volatility
 from plumbline.operators.joins import count_until
-from plumbline.operators.models import create_model
+from plumbline.operators.models import factory_of
 
 KEY = ("asof_date", "symbol", "model", "horizon")
 SCHEMA = "asof_date date, symbol string, model string, horizon int, signal double, position double, close double"
@@ -41,7 +41,7 @@ def size_last(bars: DataFrame, signals: DataFrame, config: BacktestConfig) -> Da
 
 def record(dataset: DataFrame, latest: DataFrame, model: str, features: Sequence[str], horizon: int, bars: DataFrame, config: BacktestConfig | None = None, min_rows: int = 250) -> DataFrame:
     """One forecast a symbol for its latest bar with all features, fitted on all labelled rows; symbols whose fit fails are left out."""
-    names = list(features)
+    names, factory = list(features), factory_of(model)
     both = dataset.select("symbol", "date", *names, "forward_return", "direction").unionByName(latest.select("symbol", "date", *names, F.lit(None).cast("double").alias("forward_return"), F.lit(None).cast("double").alias("direction")))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -51,7 +51,7 @@ def record(dataset: DataFrame, latest: DataFrame, model: str, features: Sequence
         if len(known) < max(2, min_rows) or last[names].isna().any(axis=None):
             return empty
         try:
-            estimator = create_model(model)
+            estimator = factory()
             label = "direction" if estimator.is_classifier else "forward_return"
             estimator.fit(known[names].to_numpy(float), known[label].to_numpy(float), names)
             signal = float(estimator.predict(last[names].to_numpy(float))[0])

@@ -314,10 +314,14 @@ def available_models() -> list[str]:
     return list(_REGISTRY)
 
 
-def create_model(name: str, **params) -> Model:
+def factory_of(name: str) -> Callable[..., Model]:
     if name not in _REGISTRY:
-        raise KeyError(f"unknown model {name!r}; there are {', '.join(_REGISTRY)}")
-    return _REGISTRY[name](**params)
+        raise ValueError(f"unknown model {name!r}; there are {', '.join(_REGISTRY)}")
+    return _REGISTRY[name]
+
+
+def create_model(name: str, **params) -> Model:
+    return factory_of(name)(**params)
 
 
 def register_model(name: str, factory: Callable[..., Model], *, overwrite: bool = False) -> None:
@@ -326,6 +330,10 @@ def register_model(name: str, factory: Callable[..., Model], *, overwrite: bool
     _REGISTRY[name] = factory
 
 
+def unregister_model(name: str) -> None:
+    _REGISTRY.pop(name, None)
+
+
 def probability_of_up(signal):
     """(signal + 1) / 2, for classifiers' signals; works on numbers, arrays and columns."""
     return (signal + 1) / 2

@@ -7,17 +7,16 @@ models run in a grouped map over (symbol, model, fold).
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.config import TuningConfig, WalkForwardConfig, describe_params, inner_schedule
+from plumbline.config import TuningConfig, WalkForwardConfig, describe_params
 from plumbline.functions.core import by_symbol, full, trailing
 from plumbline.operators import metrics as m
-from plumbline.operators.models import create_model
+from plumbline.operators.models import Model, factory_of
 
 
 def fold_table(sizes: DataFrame, config: WalkForwardConfig | None = None, horizon: int = 1) -> DataFrame:
@@ -63,39 +62,66 @@ def baseline_predictions(dataset: DataFrame, folds: DataFrame) -> DataFrame:
     return joined.select("symbol", "fold", "date", "pos", F.inline(signals), "forward_return", "direction", "close")
 
 
-def fit_predict(dataset: DataFrame, folds: DataFrame, model: str, features: Sequence[str], params: dict | None = None) -> DataFrame:
-    """Fit a registered model for each fold on its labelled training rows and predict its test rows."""
+Chooser = str | Callable[..., Model]
+
+
+def _named(model: Chooser) -> tuple[str, Callable[..., Model]]:
+    """A model's name and factory, looked up on the driver so that workers need no registry."""
+    return (model, factory_of(model)) if isinstance(model, str) else (getattr(model, "__name__", type(model).__name__), model)
+
+
+def _fitted(factory: Callable[..., Model], params: dict, train: pd.DataFrame, names: list[str]) -> Model | None:
+    """A model fitted on the labelled rows; None where fewer than two have a label."""
+    estimator = factory(**params)
+    label = "direction" if estimator.is_classifier else "forward_return"
+    known = train[train[label].notna()]
+    if len(known) < 2:
+        return None
+    estimator.fit(known[names].to_numpy(float), known[label].to_numpy(float), names)
+    return estimator
+
+
+PREDICTION = "symbol string, model string, fold int, date date, pos int, signal double, forward_return double, direction double, close double"
+
+
+def fit_predict(dataset: DataFrame, folds: DataFrame, model: Chooser, features: Sequence[str], params: dict | None = None, records: DataFrame | None = None, grid: Sequence[dict] = ()) -> DataFrame:
+    """Fit a model (a registered name or a factory) for each fold on its labelled training rows and predict its test rows.
+
+    records (symbol, fold, candidate, chosen) and grid: each fold is fitted with the
+    parameters chosen for it; a fold without a choice keeps the defaults.
+    """
     both = rows_of(dataset, folds, "train").withColumn("part", F.lit(0)).unionByName(rows_of(dataset, folds, "test").withColumn("part", F.lit(1)))
-    names = list(features)
-    own = dict(params or {})
+    if records is not None:
+        both = both.join(records.where("chosen").select("symbol", "fold", "candidate"), ["symbol", "fold"], "left")
+    else:
+        both = both.withColumn("candidate", F.lit(None).cast("int"))
+    names, own, choices = list(features), dict(params or {}), [dict(g) for g in grid]
+    called, factory = _named(model)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pos")
         train, test = pdf[pdf["part"] == 0], pdf[pdf["part"] == 1]
-        estimator = create_model(model, **own)
-        label = "direction" if estimator.is_classifier else "forward_return"
-        known = train[train[label].notna()]
-        if len(known) < 2 or not len(test):
-            return pd.DataFrame(columns=["symbol", "model", "fold", "date", "pos", "signal", "forward_return", "direction", "close"])
-        estimator.fit(known[names].to_numpy(float), known[label].to_numpy(float), names)
+        at = pdf["candidate"].iloc[0]
+        estimator = _fitted(factory, own | (choices[int(at)] if pd.notna(at) else {}), train, names) if len(test) else None
+        columns = ["symbol", "model", "fold", "date", "pos", "signal", "forward_return", "direction", "close"]
+        if estimator is None:
+            return pd.DataFrame(columns=columns)
         out = test[["symbol", "fold", "date", "pos", "forward_return", "direction", "close"]].copy()
         out["signal"] = estimator.predict(test[names].to_numpy(float))
-        out["model"] = model
-        return out[["symbol", "model", "fold", "date", "pos", "signal", "forward_return", "direction", "close"]]
+        out["model"] = called
+        return out[columns]
 
-    return both.groupBy("symbol", "fold").applyInPandas(run, "symbol string, model string, fold int, date date, pos int, signal double, forward_return double, direction double, close double")
+    return both.groupBy("symbol", "fold").applyInPandas(run, PREDICTION)
 
 
-def importances(dataset: DataFrame, folds: DataFrame, model: str, features: Sequence[str], params: dict | None = None) -> DataFrame:
+def importances(dataset: DataFrame, folds: DataFrame, model: Chooser, features: Sequence[str], params: dict | None = None) -> DataFrame:
     """symbol, fold, feature, importance of each fold's fit."""
     names, own = list(features), dict(params or {})
+    _, factory = _named(model)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        estimator = create_model(model, **own)
-        label = "direction" if estimator.is_classifier else "forward_return"
-        known = pdf[pdf[label].notna()].sort_values("pos")
-        estimator.fit(known[names].to_numpy(float), known[label].to_numpy(float), names)
-        weights = estimator.feature_importance()
+        estimator = _fitted(factory, own, pdf.sort_values("pos"), names)
+        weights = None if estimator is None else estimator.feature_importance()
         if weights is None:
             return pd.DataFrame(columns=["symbol", "fold", "feature", "importance"])
         return pd.DataFrame({"symbol": pdf["symbol"].iloc[0], "fold": int(pdf["fold"].iloc[0]), "feature": names, "importance": weights})
@@ -169,40 +195,83 @@ def trailing_volatility(bars: DataFrame, window: int = 20) -> DataFrame:
     return r.select("symbol", "date", (full(F.stddev_samp("__r"), "__r", window, trailing(window)) * 252**0.5).alias("volatility"))
 
 
-def select_params(dataset: DataFrame, folds: DataFrame, model: str, features: Sequence[str], tuning: TuningConfig, horizon: int = 1, embargo: int = 1) -> DataFrame:
-    """symbol, fold, candidate, params, score, chosen: each candidate's mean finite inner metric over training rows alone; the first of the best is chosen, the first candidate where none has a score."""
+def inner_schedule(n: str | Column, embargo: int, config: TuningConfig) -> tuple[Column, Column]:
+    """(rows before the first validation window, rows of each) for n training rows; both NULL where the rows do not suffice.
+
+    The last window ends with the training rows: first + embargo + folds * window = n.
+    """
+    rows, folds = (F.col(n) if isinstance(n, str) else n).cast("int"), config.n_inner_folds
+    window = F.greatest(F.floor(F.floor(rows * config.inner_fraction) / folds), F.lit(1)).cast("int")
+    first = rows - embargo - window * folds
+    enough = (rows - embargo >= 2 * folds) & (first >= F.greatest(window, F.lit(config.min_inner_train)))
+    return F.when(enough, first), F.when(enough, window)
+
+
+def inner_folds(folds: DataFrame, embargo: int, config: TuningConfig) -> DataFrame:
+    """symbol, fold (of the outer walk-forward), inner and its train and test ranges, all within the outer training rows."""
+    first, window = inner_schedule(F.col("train_end") - F.col("train_start"), embargo, config)
+    out = folds.select("symbol", "fold", F.col("train_start").alias("start"), first.alias("first"), window.alias("window")).where("window is not null")
+    out = out.withColumn("inner", F.explode(F.sequence(F.lit(0), F.lit(config.n_inner_folds - 1))))
+    out = out.withColumn("train_end", F.col("start") + F.col("first") + F.col("inner") * F.col("window")).withColumn("test_start", F.col("train_end") + embargo)
+    return out.select("symbol", "fold", "inner", F.col("start").alias("train_start"), "train_end", "test_start", (F.col("test_start") + F.col("window")).alias("test_end"))
+
+
+def candidate_scores(dataset: DataFrame, folds: DataFrame, model: Chooser, features: Sequence[str], tuning: TuningConfig, embargo: int = 1) -> DataFrame:
+    """symbol, fold, candidate, score: each candidate's mean finite metric over the inner folds of the training rows; NULL where a fit is refused (ValueError) or nothing is finite."""
     names, grid = list(features), tuning.candidates()
+    _, factory = _named(model)
+    plan = inner_folds(folds, embargo, tuning).withColumn("key", F.concat_ws(":", "fold", "inner"))
+    parts = [rows_of(dataset, plan.withColumn("fold", F.col("key")), kind).withColumn("part", F.lit(i)) for i, kind in enumerate(("train", "test"))]
+    columns = ["symbol", "key", "candidate", "signal", "forward_return", "direction"]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        train = pdf.sort_values("pos")
-        plan = inner_schedule(len(train), embargo, tuning)
-        x = train[names].to_numpy(float)
-        scores: list[float] = []
-        for params in grid:
-            got = []
-            for i in range(tuning.n_inner_folds if plan else 0):
-                size, test = plan
-                stop = size + i * test
-                try:
-                    estimator = create_model(model, **params)
-                    label = "direction" if estimator.is_classifier else "forward_return"
-                    y = train[label].to_numpy(float)
-                    known = np.flatnonzero(~np.isnan(y[:stop]))
-                    estimator.fit(x[known], y[known], names)
-                    p = estimator.predict(x[stop + embargo : stop + embargo + test])
-                    t = train["forward_return"].to_numpy(float)[stop + embargo : stop + embargo + test]
-                    if len(t) > 2 and p.std() > 1e-12 and t.std() > 1e-12:
-                        got.append(float(np.corrcoef(p, t)[0, 1]))
-                except ValueError:
-                    continue
-            scores.append(float(np.mean(got)) if got else float("nan"))
-        best, incumbent = 0, float("nan")
-        for i, s in enumerate(scores):
-            if tuning.better(s, incumbent):
-                best, incumbent = i, s
-        return pd.DataFrame({"symbol": train["symbol"].iloc[0], "fold": int(train["fold"].iloc[0]), "candidate": range(len(grid)), "params": [describe_params(p) for p in grid], "score": scores, "chosen": [i == best for i in range(len(grid))]})
-
-    return rows_of(dataset, folds, "train").groupBy("symbol", "fold").applyInPandas(run, "symbol string, fold int, candidate int, params string, score double, chosen boolean")
+        pdf = pdf.sort_values("pos")
+        train, test = pdf[pdf["part"] == 0], pdf[pdf["part"] == 1]
+        out = []
+        for i, params in enumerate(grid):
+            rows = test[["symbol", "forward_return", "direction"]].assign(key=pdf["fold"].iloc[0], candidate=i, signal=float("nan"))
+            try:
+                estimator = _fitted(factory, params, train, names)
+                if estimator is not None:
+                    rows["signal"] = estimator.predict(test[names].to_numpy(float))
+            except ValueError:
+                pass  # a grid may hold combinations that a model refuses
+            out.append(rows)
+        return pd.concat(out)[columns]
+
+    tried = parts[0].unionByName(parts[1]).groupBy("symbol", "fold").applyInPandas(run, "symbol string, key string, candidate int, signal double, forward_return double, direction double")
+    tried = tried.withColumn("signal", F.when(~F.isnan("signal"), F.col("signal")))
+    keys = ["symbol", "key", "candidate"]
+    measured = m.regression_metrics(tried, "forward_return", "signal", keys).join(m.classification_metrics(tried, "direction", "signal", keys).drop("n"), keys, "left")
+    value = F.col(tuning.metric) if tuning.metric in measured.columns else F.lit(None).cast("double")
+    finite = F.when(~F.isnan(value) & (F.abs(value) < float("inf")), value)
+    refused = tried.groupBy(*keys).agg((F.count("signal") == 0).alias("refused"))
+    each = refused.join(measured.select(*keys, finite.alias("value")), keys, "left").withColumn("fold", F.substring_index("key", ":", 1).cast("int"))
+    return each.groupBy("symbol", "fold", "candidate").agg(F.when(~F.bool_or("refused"), F.avg("value")).alias("score"))
+
+
+def choose(scores: DataFrame, higher_is_better: bool = True, keys: Sequence[str] = ("symbol", "fold")) -> DataFrame:
+    """scores with `chosen`: the best finite score of each key, the first candidate of equal ones; keys without one are left out."""
+    finite = F.col("score").isNotNull() & ~F.isnan("score") & (F.abs("score") < float("inf"))
+    w = Window.partitionBy(*keys)
+    best = F.row_number().over(w.orderBy(F.when(finite, F.col("score") * (-1 if higher_is_better else 1)).asc_nulls_last(), "candidate"))
+    out = scores.withColumn("chosen", (best == 1) & finite).withColumn("any_chosen", F.bool_or("chosen").over(w))
+    return out.where("any_chosen").drop("any_chosen")
+
+
+def select_params(dataset: DataFrame, folds: DataFrame, model: Chooser, features: Sequence[str], tuning: TuningConfig, embargo: int = 1) -> DataFrame:
+    """symbol, fold, candidate, params, score, chosen, from training rows alone; folds where nothing could be chosen have no rows."""
+    labels = F.array(*[F.lit(describe_params(p)) for p in tuning.candidates()])
+    scores = candidate_scores(dataset, folds, model, features, tuning, embargo)
+    return choose(scores, tuning.higher_is_better).select("symbol", "fold", "candidate", F.get(labels, F.col("candidate")).alias("params"), "score", "chosen")
+
+
+def tuned_predictions(dataset: DataFrame, folds: DataFrame, model: Chooser, features: Sequence[str], tuning: TuningConfig, embargo: int = 1, params: dict | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """(predictions, selection records): every fold fitted with the parameters that its own training rows chose; the records are None where there is nothing to choose."""
+    if not tuning.enabled:
+        return fit_predict(dataset, folds, model, features, params), None
+    records = select_params(dataset, folds, model, features, tuning, embargo)
+    return fit_predict(dataset, folds, model, features, params, records, tuning.candidates()), records
 
 
 def selected_params(records: DataFrame) -> DataFrame:

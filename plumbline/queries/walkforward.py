@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plumbline.config import TuningConfig, inner_schedule
+from plumbline.config import TuningConfig, WalkForwardConfig
 from plumbline.functions import indicators as ind
 from plumbline.functions.core import by_symbol, guarded_corr, average_rank
 from plumbline.operators import features as fea
@@ -185,8 +185,6 @@ OVERLAP = ", fo2 as (select symbol, i as fold, 750 + 60 * i as train_end, 755 +
 
 @add("join_10_pooled_predictions", DS + OVERLAP + " select symbol, date, round(avg(signal), 10) as signal from pp group by symbol, date")
 def pooled(spark, sf_dir):
-    from plumbline.config import WalkForwardConfig
-
     ds = light(spark, sf_dir)
     rows = wf.rows_of(ds, wf.folds_of(ds, WalkForwardConfig(step=60), H), "test").withColumn("model", F.lit("m")).withColumn("signal", F.col("ret_1d") * (F.col("fold") + 1))
     return rounded(wf.pooled(rows).select("symbol", "date", "signal"), 10)
@@ -263,27 +261,52 @@ def available(spark, sf_dir):
     return spark.createDataFrame(list(enumerate(mod.available_models())), "position int, model string")
 
 
-TUNING = TuningConfig(grid={"alpha": (0.1, 10.0, 1000.0, 100000.0)})
+#: Ridge on one feature, by the error of the forecasts: the penalty shrinks the slope, so candidates differ.
+ALPHAS = (0.1, 100.0, 1000.0, 100000.0)
+TUNING = TuningConfig(grid={"alpha": ALPHAS}, metric="rmse", higher_is_better=False)
+NAMES = ", ".join(f"({i}, {a!r}::double, 'alpha={a}')" for i, a in enumerate(ALPHAS))
+TUNED = DS + f""",
+ca as (select * from (values {NAMES}) c(candidate, alpha, params)),
+sh as (select symbol, fold, train_end as n, greatest((train_end * 3 // 10) // 3, 1) as w from fo),
+inn as (select symbol, fold, j, n - {H} - 3 * w + j * w as stop, w from sh, (select unnest(range(0, 3))::int as j) where n - {H} - 3 * w >= greatest(w, 60)),
+ist as (select i.symbol, i.fold, j, avg(ret_1d) as mx, stddev_pop(ret_1d) as sx, avg(forward_return) as my, stddev_pop(forward_return) as sy, covar_pop(ret_1d, forward_return) as c, count(*) as n
+        from inn i join ds d on d.symbol = i.symbol and d.pos < i.stop group by 1, 2, 3),
+ier as (select i.symbol, i.fold, i.j, candidate, sqrt(avg(pow(d.forward_return - (my + sy * ((d.ret_1d - mx) / sx) * (n * c / (sx * sy)) / (n + alpha)), 2))) as rmse
+        from inn i join ist s on s.symbol = i.symbol and s.fold = i.fold and s.j = i.j join ds d on d.symbol = i.symbol and d.pos >= i.stop + {H} and d.pos < i.stop + {H} + i.w, ca group by 1, 2, 3, 4),
+sco as (select symbol, fold, candidate, avg(rmse) as score from ier group by 1, 2, 3),
+rec as (select *, row_number() over (partition by symbol, fold order by score, candidate) = 1 as chosen from sco join ca using (candidate))
+"""
 
 
 def records(spark, sf_dir):
     ds = light(spark, sf_dir)
-    return wf.select_params(ds, wf.folds_of(ds, None, H), "ridge", ["ret_1d"], TUNING, H, H)
+    return wf.select_params(ds, wf.folds_of(ds, None, H), "ridge", ["ret_1d"], TUNING, H)
 
 
-@add("wf_05_candidate_scores")
+@add("wf_05_candidate_scores", TUNED + "select symbol, fold, candidate, round(score, 9) as score from rec")
 def candidate_scores(spark, sf_dir):
-    return records(spark, sf_dir).select("symbol", "fold", "candidate", "score")
+    ds = light(spark, sf_dir)
+    return rounded(wf.candidate_scores(ds, wf.folds_of(ds, None, H), "ridge", ["ret_1d"], TUNING, H), 9)
 
 
-@add("wf_06_selected_candidates")
+@add("wf_06_selected_candidates", TUNED + "select symbol, fold, candidate, params from rec where chosen")
 def selected(spark, sf_dir):
     return records(spark, sf_dir).where("chosen").select("symbol", "fold", "candidate", "params")
 
 
-@add("agg_25_selection_scores")
+@add("agg_25_selection_scores", TUNED + "select symbol, fold, candidate, params, round(score, 9) as score, chosen from rec")
 def selection_scores(spark, sf_dir):
-    return records(spark, sf_dir)
+    return rounded(records(spark, sf_dir), 9)
+
+
+@add("wf_04b_tuned_run", TUNED + """, tr as (select d.*, f.fold from fo f join ds d on d.symbol = f.symbol and d.pos >= f.train_start and d.pos < f.train_end),
+st as (select symbol, fold, avg(ret_1d) as mx, stddev_pop(ret_1d) as sx, avg(forward_return) as my, stddev_pop(forward_return) as sy, covar_pop(ret_1d, forward_return) as c, count(*) as n from tr group by 1, 2)
+select t.symbol, t.fold, t.date, round(my + sy * ((t.ret_1d - mx) / sx) * (n * c / (sx * sy)) / (n + coalesce(r.alpha, 50.0)), 8) as signal
+from te t join st on t.symbol = st.symbol and t.fold = st.fold left join (select * from rec where chosen) r on r.symbol = t.symbol and r.fold = t.fold""")
+def tuned_run(spark, sf_dir):
+    ds = light(spark, sf_dir)
+    predictions, _ = wf.tuned_predictions(ds, wf.folds_of(ds, None, H), "ridge", ["ret_1d"], TUNING, H)
+    return rounded(predictions.select("symbol", "fold", "date", "signal"), 8)
 
 
 #: A stand-in for selection records that SQL can build too: scores from fold and candidate.
@@ -291,14 +314,11 @@ REC = DS + ", rec as (select symbol, fold, c::int as candidate, case when (fold
 
 
 def fake_records(spark, sf_dir):
-    from pyspark.sql import Window
-
     folds = wf.folds_of(light(spark, sf_dir), None, H)
     rows = folds.select("symbol", "fold", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("candidate"))
     score = F.when((F.col("fold") + F.col("candidate")) % 4 == 3, None).otherwise(F.round(((F.col("fold") * 7 + F.col("candidate") * 3) % 11) / 10.0, 6))
     rows = rows.withColumn("score", score)
-    rank = F.row_number().over(Window.partitionBy("symbol", "fold").orderBy(F.desc_nulls_last("score"), "candidate"))
-    return rows.withColumn("chosen", rank == 1).withColumn("params", F.concat(F.lit("alpha="), F.col("candidate").cast("string")))
+    return wf.choose(rows).withColumn("params", F.concat(F.lit("alpha="), F.col("candidate").cast("string")))
 
 
 @add("wf_08_better_rule", REC + " select symbol, fold, candidate, score from best where chosen")
@@ -324,7 +344,88 @@ def selection_spread(spark, sf_dir):
 SIZES = (300, 750, 1500, 20)
 
 
-@add("wf_07_inner_schedule", "select n_train, case when n_train - 5 >= 6 and n_train - 5 - 3 * t >= greatest(t, 100) then n_train - 5 - 3 * t end as train_size, case when n_train - 5 >= 6 and n_train - 5 - 3 * t >= greatest(t, 100) then t end as test_size from (select n_train, greatest(1, (n_train * 3 // 10) // 3)::int as t from (values (300), (750), (1500), (20)) v(n_train))")
+@add("wf_07_inner_schedule", "select n_train, case when n_train - 5 >= 6 and n_train - 5 - 3 * t >= greatest(t, 60) then n_train - 5 - 3 * t end as train_size, case when n_train - 5 >= 6 and n_train - 5 - 3 * t >= greatest(t, 60) then t end as test_size from (select n_train, greatest(1, (n_train * 3 // 10) // 3)::int as t from (values (300), (750), (1500), (20)) v(n_train))")
 def schedule(spark, sf_dir):
-    rows = [(n, *(inner_schedule(n, 5, TuningConfig()) or (None, None))) for n in SIZES]
-    return spark.createDataFrame(rows, "n_train int, train_size int, test_size int")
+    first, window = wf.inner_schedule("n_train", 5, TuningConfig())
+    return spark.createDataFrame([(n,) for n in SIZES], "n_train int").select("n_train", first.alias("train_size"), window.alias("test_size"))
+
+
+@add("mod_10_registry_lookup", "select * from (values ('ridge', 'found'), ('no_such_model', 'ValueError')) t(model, outcome)")
+def lookup(spark, sf_dir):
+    out = []
+    for name in ("ridge", "no_such_model"):
+        try:
+            mod.create_model(name)
+            out.append((name, "found"))
+        except ValueError:
+            out.append((name, "ValueError"))
+    return spark.createDataFrame(out, "model string, outcome string")
+
+
+class DoubleMomentum(mod.Model):
+    """A model of one's own, for mod_11."""
+
+    def fit(self, x, y, names):
+        self.check(x, y)
+        return self
+
+    def predict(self, x):
+        return 2 * x[:, 0]
+
+
+@add("mod_11_registered_model", DS + "select symbol, fold, date, round(2 * ret_1d, 9) as signal from te")
+def registered(spark, sf_dir):
+    """A registered model in the walk-forward: its factory travels to the workers."""
+    mod.register_model("double_momentum_of_query", DoubleMomentum, overwrite=True)
+    try:
+        ds = light(spark, sf_dir)
+        return rounded(wf.fit_predict(ds, wf.folds_of(ds, None, H), "double_momentum_of_query", ["ret_1d"]).select("symbol", "fold", "date", "signal"), 9)
+    finally:
+        mod.unregister_model("double_momentum_of_query")
+
+
+@add("mod_01_model_interface", "select * from (values " + ", ".join(f"('{n}', {str(c).lower()}, '{u}')" for n, c, u in (("zero", False, "return"), ("train_mean", False, "return"), ("momentum", False, "return"), ("reversion", False, "return"), ("ridge", False, "return"), ("logistic", True, "probability"))) + ") t(model, is_classifier, signal_units)")
+def interface(spark, sf_dir):
+    made = [(n, mod.create_model(n)) for n in ("zero", "train_mean", "momentum", "reversion", "ridge", "logistic")]
+    return spark.createDataFrame([(n, bool(x.is_classifier), x.signal_units) for n, x in made], "model string, is_classifier boolean, signal_units string")
+
+
+@add("aux_23_fit_input_guard", "select * from (values ('no rows', 'ValueError'), ('missing label', 'ValueError'), ('uneven', 'ValueError'), ('fine', 'fitted')) t(\"case\", outcome)")
+def fit_guard(spark, sf_dir):
+    import numpy as np
+
+    cases = {"no rows": (np.zeros((0, 1)), np.zeros(0)), "missing label": (np.ones((2, 1)), np.array([1.0, np.nan])), "uneven": (np.ones((3, 1)), np.ones(2)), "fine": (np.ones((3, 1)), np.ones(3))}
+    out = []
+    for name, (x, y) in cases.items():
+        try:
+            mod.create_model("train_mean").fit(x, y, ["a"])
+            out.append((name, "fitted"))
+        except ValueError:
+            out.append((name, "ValueError"))
+    return spark.createDataFrame(out, "case string, outcome string")
+
+
+@add("aux_01_walk_forward_defaults", "select * from (values ('embargo', 5), ('embargo given', 2), ('step', 125), ('step given', 60), ('min_train', 750), ('min_train given', 300)) t(setting, resolved)")
+def defaults(spark, sf_dir):
+    c, given = WalkForwardConfig(), WalkForwardConfig(step=60, embargo=2, min_train_size=300)
+    rows = [("embargo", c.resolved_embargo(H)), ("embargo given", given.resolved_embargo(H)), ("step", c.resolved_step()), ("step given", given.resolved_step()), ("min_train", c.resolved_min_train_size()), ("min_train given", given.resolved_min_train_size())]
+    return spark.createDataFrame(rows, "setting string, resolved int")
+
+
+@add("aux_06_tuning_enabled", "select * from (values ('no grid', false, 1), ('one value', false, 1), ('two values', true, 2), ('two by three', true, 6)) t(grid, enabled, candidates)")
+def tuning_enabled(spark, sf_dir):
+    grids = {"no grid": {}, "one value": {"alpha": (1.0,)}, "two values": {"alpha": (1.0, 2.0)}, "two by three": {"a": (1, 2), "b": (1, 2, 3)}}
+    return spark.createDataFrame([(k, TuningConfig(grid=g).enabled, len(TuningConfig(grid=g).candidates())) for k, g in grids.items()], "grid string, enabled boolean, candidates int")
+
+
+@add("fn_13_describe_params", "select * from (values (0, 'alpha=1.0, kind=' || chr(39) || 'a' || chr(39)), (1, 'defaults'), (2, 'n=3')) t(i, label)")
+def described(spark, sf_dir):
+    from plumbline.config import describe_params
+
+    return spark.createDataFrame([(i, describe_params(p)) for i, p in enumerate(({"alpha": 1.0, "kind": "a"}, {}, {"n": 3}))], "i int, label string")
+
+
+@add("agg_21b_ridge_importance", RIDGE_SQL.split("select t.symbol")[0] + "select symbol, 'ret_1d' as feature, round(avg(b), 8) as mean, round(stddev_samp(b), 8) as std from (select symbol, fold, (n * c / (sx * sy)) / (n + 50.0) as b from st) group by symbol")
+def ridge_importance(spark, sf_dir):
+    ds = light(spark, sf_dir)
+    return rounded(wf.importance_stability(wf.importances(ds, wf.folds_of(ds, None, H), "ridge", ["ret_1d"])).drop("cv"), 8)
