@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.config import BacktestConfig
@@ -18,6 +18,30 @@ KEY = ("asof_date", "symbol", "model", "horizon")
 SCHEMA = "asof_date date, symbol string, model string, horizon int, signal double, position double, close double"
 
 
+def save_journal(journal: DataFrame, path: str) -> None:
+    """Write (or append to) the journal; a path that ends in .csv is a folder of CSV files, else Parquet."""
+    writer = journal.write.mode("append")
+    writer.option("header", True).csv(path) if path.endswith(".csv") else writer.parquet(path)
+
+
+def load_journal(spark: SparkSession, path: str) -> DataFrame:
+    """The journal at a path: empty with its columns where there is none; columns are matched by name, and a missing one raises."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        return spark.createDataFrame([], SCHEMA)
+    raw = spark.read.option("header", True).csv(path) if path.endswith(".csv") else spark.read.parquet(path)
+    types = [x.split(" ") for x in SCHEMA.split(", ")]
+    missing = [n for n, _ in types if n not in raw.columns]
+    if missing:
+        raise ValueError(f"the journal lacks {missing}")
+    return raw.select(*[F.col(n).cast(t) for n, t in types])
+
+
+def forecast_row(rows: DataFrame) -> DataFrame:
+    """The journal's rows as they are written: dates as ISO text."""
+    return rows.select(*[F.date_format("asof_date", "yyyy-MM-dd").alias(n) if n == "asof_date" else F.col(n) for n in (x.split(" ")[0] for x in SCHEMA.split(", "))])
+
+
 def append(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     """The journal after an idempotent append: known keys are not written again."""
     fresh = incoming.dropDuplicates(list(KEY)).join(existing.select(*KEY), list(KEY), "left_anti")

@@ -13,6 +13,7 @@ from plumbline.operators import journal as jr
 from plumbline.queries.base import SEGMENTS, W, add, rounded
 from plumbline.queries.walkforward import corr_sql
 from plumbline.sources.adapters import price_path, segment_bars
+from plumbline.sources.scratch import new_folder
 
 H = 5
 
@@ -61,7 +62,12 @@ def _simple(name: str, sql: str, places: int = 6):
 
 @_simple("src_13_journal_scan", "select asof_date, symbol, model, horizon, round(signal, 9) as signal, position, close from jj", 9)
 def scan(spark, sf_dir):
-    return journal(spark, sf_dir)
+    """The journal written as CSV, its columns in another order in the later half, and read again."""
+    rows, path = journal(spark, sf_dir), f"{new_folder(spark, 'journal')}.csv"
+    early = F.dayofmonth("asof_date") <= 15
+    jr.save_journal(rows.where(early), f"{path}/early.csv")
+    jr.save_journal(rows.where(~early).select(*reversed(rows.columns)), f"{path}/late.csv")
+    return jr.load_journal(spark, f"{path}/early.csv").unionByName(jr.load_journal(spark, f"{path}/late.csv"))
 
 
 @_simple("src_14_idempotent_append", "select asof_date, symbol, model, horizon, round(signal, 9) as signal, position, close from jj", 9)
@@ -71,10 +77,17 @@ def appended(spark, sf_dir):
     return jr.append(jr.append(first, rows), rows)
 
 
-@_simple("src_15_append_only_guard", "select true as append_only")
+@_simple("src_15_append_only_guard", "select * from (values ('grown', true), ('same', true), ('from nothing', true), ('a row gone', (select count(*) = 0 from (select * from jj except all select * from jj where asof_date > (select min(asof_date) from jj)))), ('a row changed', (select count(*) = 0 from (select asof_date, symbol, model, position from jj except all select asof_date, symbol, model, position + 1 from jj)))) t(\"case\", append_only)")
 def append_only(spark, sf_dir):
     rows = journal(spark, sf_dir)
-    return spark.createDataFrame([(jr.is_append_only(rows.where(F.dayofmonth("asof_date") <= 15), rows),)], "append_only boolean")
+    first = rows.agg(F.min("asof_date")).first()[0]
+    cases = {"grown": (rows.where(F.dayofmonth("asof_date") <= 15), rows), "same": (rows, rows), "from nothing": (rows.where("false"), rows), "a row gone": (rows, rows.where(F.col("asof_date") > first)), "a row changed": (rows, rows.withColumn("position", F.col("position") + 1))}
+    return spark.createDataFrame([(k, jr.is_append_only(a, b)) for k, (a, b) in cases.items()], "case string, append_only boolean")
+
+
+@_simple("aux_26_forecast_row", "select strftime(asof_date, '%Y-%m-%d') as asof_date, symbol, model, horizon, round(signal, 9) as signal, position, close from jj", 9)
+def forecast_row(spark, sf_dir):
+    return jr.forecast_row(journal(spark, sf_dir))
 
 
 @_simple("src_16_rows_added", "select count(*)::bigint as added from jj where day(asof_date) > 15")

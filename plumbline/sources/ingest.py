@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PRICES = ("open", "high", "low", "close")
+NUMBERS = (*PRICES, "volume", "adj_close")
 #: Header aliases, names of the date column, exchanges by ticker suffix.
 ALIASES = {"adj close": "adj_close", "vol": "volume", "o": "open", "h": "high", "l": "low", "c": "close", "v": "volume"}
 DATE_NAMES = ("date", "datetime", "timestamp", "time", "index")
@@ -26,24 +27,103 @@ def normalise_columns(df: DataFrame) -> DataFrame:
     return df.toDF(*[normal_name(c) for c in df.columns])
 
 
-def load_csv(spark: SparkSession, path: str | Sequence[str], date_column: str | None = None, symbol: Column | None = None) -> DataFrame:
-    """Bars of one or many CSV files as one long table; the symbol is the file's stem. Columns beyond OHLCV are kept; no type is inferred."""
-    raw = normalise_columns(spark.read.option("header", True).csv(path if isinstance(path, str) else list(path)))
-    names = [normal_name(date_column)] if date_column else [c for c in DATE_NAMES if c in raw.columns]
-    if not names or names[0] not in raw.columns:
-        raise ValueError(f"no date column among {raw.columns}")
-    stem = symbol if symbol is not None else F.regexp_extract(F.input_file_name(), r"([^/]+)\.csv$", 1)
-    rest = [c for c in raw.columns if c not in (names[0], "symbol")]
-    return raw.select(stem.alias("symbol"), F.to_date(F.col(names[0]).cast("timestamp")).alias("date"), *[F.col(c).cast("double").alias(c) for c in rest])
-
-
-def load_universe(spark: SparkSession, folder: str) -> DataFrame:
-    """All *.csv files of a folder; a (symbol, date) that occurs twice raises."""
-    bars = load_csv(spark, f"{folder.rstrip('/')}/*.csv")
-    twice = bars.groupBy("symbol", "date").count().where("count > 1").limit(1).collect()
+def expand_paths(spark: SparkSession, paths: str | Sequence[str]) -> list[str]:
+    """Files in the order given, a folder standing for its *.csv entries by name; the listing is Spark's, so any store that it reads will do."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    out: list[str] = []
+    for p in [paths] if isinstance(paths, str) else paths:
+        at = jvm.org.apache.hadoop.fs.Path(p)
+        fs = at.getFileSystem(conf)
+        if p.endswith(".csv") or "*" in p or fs.getFileStatus(at).isFile():
+            out.append(p)
+        else:
+            inside = sorted(x.getPath().toString() for x in fs.listStatus(at))
+            out += [x for x in inside if x.endswith(".csv") or "/symbol=" in x]
+    return out
+
+
+def _headers(spark: SparkSession, paths: Sequence[str]) -> dict[str, list[str]]:
+    """Header line -> files that start with it. One row a file comes to the driver, as Spark's own listing does."""
+    at = F.monotonically_increasing_id()  # grows along a file's first block
+    lines = spark.read.text(list(paths)).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")).withColumn("at", at)
+    first = lines.where("block = 0").groupBy("file").agg(F.min_by("value", "at").alias("header")).orderBy("file")
+    out: dict[str, list[str]] = {}
+    for r in first.collect():
+        out.setdefault(r["header"], []).append(r["file"])
+    return out
+
+
+def load_csv(spark: SparkSession, path: str | Sequence[str], date_column: str | None = None, symbol: Column | None = None, check: bool = False) -> DataFrame:
+    """Bars of one or many CSV files as one long table, columns matched by name file by file.
+
+    The symbol is the file's stem (or its symbol=... folder). Prices and volume are
+    numbers; further columns are kept as text. No type is inferred. check: raise
+    unless the bars keep the contract.
+    """
+    out = None
+    for files in _headers(spark, [path] if isinstance(path, str) else list(path)).values():
+        raw = normalise_columns(spark.read.option("header", True).csv(files))
+        names = [normal_name(date_column)] if date_column else [c for c in DATE_NAMES if c in raw.columns]
+        if not names or names[0] not in raw.columns:
+            raise ValueError(f"no date column among {raw.columns}")
+        file = F.input_file_name()
+        stem = F.coalesce(F.nullif(F.regexp_extract(file, r"/symbol=([^/]+)/", 1), F.lit("")), F.regexp_extract(file, r"([^/]+)\.csv$", 1))
+        rest = [F.col(f"`{c}`").cast("double").alias(c) if c in NUMBERS else F.col(f"`{c}`") for c in raw.columns if c not in (names[0], "symbol")]
+        one = raw.select((symbol if symbol is not None else F.url_decode(stem)).alias("symbol"), F.to_date(F.col(f"`{names[0]}`").cast("timestamp")).alias("date"), *rest)
+        out = one if out is None else out.unionByName(one, allowMissingColumns=True)
+    if out is None:
+        raise ValueError(f"no rows in {path}")
+    return validate(out) if check else out
+
+
+def load_universe(spark: SparkSession, data_paths: str | Sequence[str] | None = None, tickers: Sequence[str] | None = None, fetch: Callable[[str], DataFrame] | None = None, cache_dir: str | None = None, skip_errors: bool = False) -> DataFrame:
+    """Bars of files, folders of files and fetched tickers as one long table.
+
+    A symbol that two sources hold raises, and so does a (symbol, date) that occurs
+    twice. cache_dir: a fetched ticker is written there and read from there the next
+    time. skip_errors: leave out tickers that cannot be fetched.
+    """
+    if not data_paths and not tickers:
+        raise ValueError("a universe needs data_paths, tickers or both")
+    out = None
+    if data_paths:
+        files = expand_paths(spark, data_paths)
+        stems = [stem(f) for f in files if "*" not in f]
+        again = {x for x in stems if stems.count(x) > 1}
+        if again:
+            raise ValueError(f"{sorted(again)[0]} comes from more than one file")
+        out = load_csv(spark, files)
+    for t in tickers or ():
+        if out is not None and not out.where(F.col("symbol") == t).isEmpty():
+            raise ValueError(f"{t} comes from more than one source")
+        try:
+            one = _fetched(spark, t, fetch, cache_dir)
+        except Exception:
+            if skip_errors:
+                continue
+            raise
+        out = one if out is None else out.unionByName(one, allowMissingColumns=True)
+    if out is None:
+        raise ValueError("no ticker could be fetched")
+    twice = out.groupBy("symbol", "date").count().where("count > 1").limit(1).collect()
     if twice:
         raise ValueError(f"{twice[0]['symbol']} has {twice[0]['date']} more than once")
-    return bars
+    return out
+
+
+def _fetched(spark: SparkSession, ticker: str, fetch: Callable[[str], DataFrame] | None, cache_dir: str | None) -> DataFrame:
+    if cache_dir:
+        path = f"{cache_dir.rstrip('/')}/{ticker.replace('/', '_')}.csv"
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+            return load_csv(spark, path, symbol=F.lit(ticker))
+    if fetch is None:
+        raise ValueError(f"nothing fetches {ticker}")
+    bars = fetch(ticker).drop("symbol")
+    if not cache_dir:
+        return bars.select(F.lit(ticker).alias("symbol"), "*")
+    bars.sortWithinPartitions("date").write.option("header", True).csv(path)
+    return load_csv(spark, path, symbol=F.lit(ticker))
 
 
 def save_csv(bars: DataFrame, path: str) -> None:
@@ -68,12 +148,12 @@ def fetch_with_retry(fetch: Callable[[str], DataFrame], ticker: str, retries: in
     raise AssertionError
 
 
-def fetch_all(fetch: Callable[[str], DataFrame], tickers: Sequence[str], skip_errors: bool = False) -> tuple[DataFrame | None, dict[str, str]]:
+def fetch_all(fetch: Callable[[str], DataFrame], tickers: Sequence[str], skip_errors: bool = False, now: str | None = None) -> tuple[DataFrame | None, dict[str, str]]:
     """Bars of every ticker that could be fetched, and the errors of the others."""
     out, errors = None, {}
     for t in tickers:
         try:
-            one = clean_bars(fetch_with_retry(fetch, t))
+            one = clean_bars(fetch_with_retry(fetch, t), now)
             out = one if out is None else out.unionByName(one, allowMissingColumns=True)
         except Exception as e:
             if not skip_errors:
@@ -216,4 +296,5 @@ def validate(bars: DataFrame) -> DataFrame:
 
 
 def stem(path: str) -> str:
-    return re.sub(r"\.csv$", "", path.rstrip("/").rsplit("/", 1)[-1])
+    """The symbol that a path stands for."""
+    return re.sub(r"^symbol=|\.csv$", "", path.rstrip("/").rsplit("/", 1)[-1])
