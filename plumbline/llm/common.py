@@ -8,8 +8,6 @@ UTF-8 bytes of a few megabytes at a time, so that memory depends on the piece
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -18,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.sources.scratch import forget, new_folder
+
 #: The ASCII white space that separates words, [\x20\x09-\x0D].
 WHITESPACE = b" \t\n\x0b\x0c\r"
 PIECE_BYTES = 2 << 20
@@ -38,22 +38,10 @@ _POWERS: dict[int, np.ndarray] = {}
 # ---------------------------------------------------------------- shared storage
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's checkpoint folder. Where none is set, local mode gets a new one; a cluster has no folder to fall back on."""
-    sc = spark.sparkContext
-    at = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not at:
-        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        at = tempfile.mkdtemp(prefix="plumbline-")
-        sc.setCheckpointDir(at)
-    return at
-
-
 def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Cut lineage: write a table in the shared folder and read it back; also its path, for forget()."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = new_folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
@@ -62,13 +50,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return stored(df, name)[0]
 
 
-def forget(spark: SparkSession, path: str) -> None:
-    """Delete a stored table that nothing reads any more."""
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def small_batches(spark: SparkSession) -> None:
     """Bound the rows and the bytes that a Python worker gets at once. Plans take these settings up when they run, so they stay set in the session; tighter ones of the caller's are kept."""
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS_PER_BATCH), ("spark.sql.execution.arrow.maxBytesPerBatch", BYTES_PER_BATCH)):

@@ -10,14 +10,16 @@ probe the filter of their shard; what passes is checked against the exact table.
 
 Scale: shards grow in number with the keys above the limit (KEYS_PER_SHARD
 each), so a filter has a bounded size; lines meet their filter by a shuffle of
-(shard, salt), the salt from the document, and stream past it, so a line that
-every document has is spread over all salts and no group is ever held in memory.
+(shard, salt), and stream past it; a shard has as many salts as its lines ask for
+(LINES_PER_TASK, from the exact counts), so a line that every document has is spread
+over many tasks and no group is ever held in memory.
 Counts are pre-aggregated before each exchange; the exact check is a semi join that
 can be split; text moves once, by doc_id.
 
 Defined cases: null or empty text is one empty line; empty keys are never
-dropped; a null doc_id is one document; repeated rows count a document once and
-each get a row; an empty table gives no rows; extra columns are ignored.
+dropped; very long texts and lines are taken whole; a null doc_id is one document;
+repeated rows count a document once and each get a row, whatever their order;
+an empty table gives no rows; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ from plumbline.llm.common import mix64, small_batches, text_array, WHITESPACE, w
 
 MIN_DOCS = 10
 KEYS_PER_SHARD = 50_000
-SALTS = 16
+LINES_PER_TASK = 500_000
 
 
 class CuckooFilter:
@@ -156,9 +158,16 @@ def build_filters(table: DataFrame, shards: int, min_docs: int = MIN_DOCS) -> Da
     """shard, filter: a cuckoo filter of each shard's keys at or above the limit."""
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = CuckooFilter(len(pdf))
-        for a, b in zip(pdf["k1"].to_numpy().view(np.uint64), pdf["k2"].to_numpy().view(np.uint64)):
-            out.insert(int(a), int(b))
+        keys = list(zip(pdf["k1"].to_numpy().view(np.uint64).tolist(), pdf["k2"].to_numpy().view(np.uint64).tolist()))
+        capacity = len(keys)
+        while True:
+            out = CuckooFilter(capacity)
+            try:
+                for a, b in keys:
+                    out.insert(a, b)
+                break
+            except OverflowError:  # too many keys in two buckets: a larger table parts them
+                capacity *= 2
         return pd.DataFrame({"shard": [int(pdf["shard"].iloc[0])], "filter": [out.to_bytes()]})
 
     return table.where(F.col("refs") >= min_docs).select(_shard(shards), "k1", "k2").groupBy("shard").applyInPandas(build, "shard int, filter binary")
@@ -190,11 +199,20 @@ def update_filters(filters: DataFrame, before: DataFrame, after: DataFrame, shar
     return moved.where("filter is not null").unionByName(build_filters(full, shards, min_docs))
 
 
-def probe(lines: DataFrame, filters: DataFrame, shards: int, salts: int = SALTS) -> DataFrame:
-    """The lines (doc_id, k1, k2) that their shard's filter may hold."""
-    keyed = lines.select(_shard(shards), F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int").alias("salt"), F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("filter"), "doc_id", "k1", "k2")
+def salts_of(table: DataFrame, shards: int, lines_per_task: int = LINES_PER_TASK) -> DataFrame:
+    """of, salts: the number of tasks that the lines of each shard ask for."""
+    sizes = table.groupBy(_shard(shards)).agg(F.sum("refs").alias("lines"))
+    return sizes.select(F.col("shard").alias("of"), F.ceil(F.col("lines") / lines_per_task).cast("int").alias("salts"))
+
+
+def probe(lines: DataFrame, filters: DataFrame, salts: DataFrame, shards: int) -> DataFrame:
+    """The lines (doc_id, k1, k2) that their shard's filter may hold. salts: of salts_of()."""
+    same = F.col("shard") == F.col("of")
+    salt = F.pmod(F.xxhash64("doc_id", "k2"), "salts").cast("int").alias("salt")
+    own = filters.join(salts, same)
+    keyed = lines.select(_shard(shards), "doc_id", "k1", "k2").join(own.select("of", "salts"), same).select("shard", salt, F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("filter"), "doc_id", "k1", "k2")
     null = F.lit(None).cast("bigint")
-    spread = filters.select("shard", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.lit(0).alias("kind"), "filter", null.alias("doc_id"), null.alias("k1"), null.alias("k2"))
+    spread = own.select("shard", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"), "filter", null.alias("doc_id"), null.alias("k1"), null.alias("k2"))
 
     def stream(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, at = None, None
@@ -242,7 +260,7 @@ def drop_lines(docs: DataFrame, table: DataFrame, min_docs: int = MIN_DOCS) -> D
     hot = table.where(F.col("refs") >= min_docs)
     shards = max(16, -(-hot.count() // KEYS_PER_SHARD))
     filters = written(build_filters(table, shards, min_docs), "line-filters")
-    maybe = probe(document_lines(docs), filters, shards)
+    maybe = probe(document_lines(docs), filters, salts_of(table, shards), shards)
     sure = maybe.join(hot, ["k1", "k2"], "left_semi")
     drops = sure.groupBy("doc_id").agg(F.collect_set(F.struct("k1", "k2")).alias("drops"))
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
