@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.core import EPS, PERIODS_PER_YEAR, guarded_corr, safe_divide
 from plumbline.operators import metrics as m
+from plumbline.sources.scratch import new_folder
 
 ROLLING_WINDOW = 63
 
@@ -42,26 +43,41 @@ def sleeve_weights(sleeves: DataFrame, scheme: str = "equal") -> DataFrame:
     return per.select("symbol", (F.col("raw") / F.sum("raw").over(Window.partitionBy())).alias("weight"))
 
 
-def pair_rows(sleeves: DataFrame) -> DataFrame:
-    """date, sym_a, sym_b, ret_a, ret_b: all ordered pairs of symbols of a date."""
+def pair_rows(sleeves: DataFrame, half: bool = False) -> DataFrame:
+    """date, sym_a, sym_b, ret_a, ret_b: all ordered pairs of symbols of a date, or only those with sym_a <= sym_b."""
     a = sleeves.select("date", F.col("symbol").alias("sym_a"), F.col("ret").alias("ret_a"))
     b = sleeves.select("date", F.col("symbol").alias("sym_b"), F.col("ret").alias("ret_b"))
-    return a.join(b, "date")
+    same = F.col("a.date") == F.col("b.date")
+    return a.alias("a").join(b.alias("b"), same & (F.col("sym_a") <= F.col("sym_b")) if half else same).select("a.date", "sym_a", "sym_b", "ret_a", "ret_b")
+
+
+def _mirrored(pairs: DataFrame, value: str) -> DataFrame:
+    """A symmetric pair table from its half."""
+    return pairs.unionByName(pairs.where("sym_a < sym_b").select(F.col("sym_b").alias("sym_a"), F.col("sym_a").alias("sym_b"), value))
 
 
 def covariance(sleeves: DataFrame) -> DataFrame:
-    return pair_rows(sleeves).groupBy("sym_a", "sym_b").agg(F.covar_samp("ret_a", "ret_b").alias("cov"))
+    return _mirrored(pair_rows(sleeves, True).groupBy("sym_a", "sym_b").agg(F.covar_samp("ret_a", "ret_b").alias("cov")), "cov")
 
 
 def correlation(sleeves: DataFrame, least: int = 2) -> DataFrame:
-    return pair_rows(sleeves).groupBy("sym_a", "sym_b").agg(guarded_corr("ret_a", "ret_b", least).alias("corr"))
+    return _mirrored(pair_rows(sleeves, True).groupBy("sym_a", "sym_b").agg(guarded_corr("ret_a", "ret_b", least).alias("corr")), "corr")
 
 
 def mean_off_diagonal(pairs: DataFrame) -> DataFrame:
     return pairs.where("sym_a < sym_b").agg(F.avg("corr").alias("mean_correlation"))
 
 
+def checked_weights(cov: DataFrame, weights: DataFrame) -> DataFrame:
+    """weights, if none is negative and they fit the covariance symbol by symbol; running the plan raises otherwise."""
+    have = cov.select(F.col("sym_a").alias("symbol")).union(cov.select(F.col("sym_b").alias("symbol"))).distinct().withColumn("covered", F.lit(True))
+    both = weights.join(have, "symbol", "full")
+    fault = F.when(F.col("covered").isNull(), "a weight without a covariance").when(F.col("weight").isNull(), "a covariance without a weight").when(F.col("weight") < 0, "weights must not be negative")
+    return both.select("symbol", F.when(fault.isNotNull(), F.raise_error(F.concat(F.col("symbol"), F.lit(": "), fault)).cast("double")).otherwise(F.col("weight")).alias("weight"))
+
+
 def weighted_pairs(cov: DataFrame, weights: DataFrame) -> DataFrame:
+    weights = checked_weights(cov, weights)
     a = weights.select(F.col("symbol").alias("sym_a"), F.col("weight").alias("w_a"))
     b = weights.select(F.col("symbol").alias("sym_b"), F.col("weight").alias("w_b"))
     return cov.join(a, "sym_a").join(b, "sym_b")
@@ -80,7 +96,9 @@ def rolling_bets(sleeves: DataFrame, weights: DataFrame, window: int = ROLLING_W
     if window < 2:
         raise ValueError("a rolling correlation needs a window of at least 2")
     w = Window.partitionBy("sym_a", "sym_b").orderBy("date").rowsBetween(-(window - 1), 0)
-    pairs = weighted_pairs(pair_rows(sleeves), weights)
+    # both orders of a pair have one covariance: half of them, counted twice
+    both = F.when(F.col("sym_a") == F.col("sym_b"), 1.0).otherwise(2.0)
+    pairs = weighted_pairs(pair_rows(sleeves, True), weights).withColumn("w_b", F.col("w_b") * both)
     rolled = pairs.select("date", "sym_a", "sym_b", "w_a", "w_b", F.count("*").over(w).alias("n"), F.covar_samp("ret_a", "ret_b").over(w).alias("cov"), F.stddev_samp("ret_a").over(w).alias("sa"), F.stddev_samp("ret_b").over(w).alias("sb")).where(F.col("n") == window)
     corr = F.when(F.col("sa") * F.col("sb") > EPS, F.col("cov") / F.nullif(F.col("sa") * F.col("sb"), F.lit(0.0)))
     out = rolled.groupBy("date").agg(F.avg(F.when(F.col("sym_a") < F.col("sym_b"), corr)).alias("mean_correlation"), F.sum(F.when(F.col("sym_a") == F.col("sym_b"), F.col("w_a") * F.col("sa"))).alias("s"), F.sum(F.col("w_a") * F.col("w_b") * F.col("cov")).alias("v"))
@@ -163,14 +181,22 @@ def sharpe_if_independent(sleeves: DataFrame, weights: DataFrame, ppy: float = P
 
 def portfolio_metrics(returns: DataFrame, assets: DataFrame | None = None, scheme: str = "equal", window: int = ROLLING_WINDOW) -> DataFrame:
     """metric, value: the financial metrics of the portfolio and what its diversification amounts to."""
-    p = build_portfolio(returns, scheme, assets)
-    sleeves, weights = p["sleeves"], p["weights"]
+    spark = returns.sparkSession
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        """Written once, read by the dozen figures that follow."""
+        path = new_folder(spark, name)
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    p = build_portfolio(kept(returns, "returns"), scheme, None if assets is None else kept(assets, "assets"))
+    sleeves, weights = kept(p["sleeves"], "sleeves"), kept(p["weights"], "weights")
     off = correlation(sleeves).where("sym_a < sym_b")
-    rolling = rolling_bets_with_drawdown(sleeves, weights, window)
+    rolling = kept(rolling_bets_with_drawdown(sleeves, weights, window), "rolling")
     z = stress_z(rolling, window)
     week = weekly(sleeves)
     parts = [
-        m.financial_metrics(p["returns"].withColumn("k", F.lit(0)), "ret", "equity", keys=("k",)).drop("k"),
+        m.financial_metrics(portfolio_returns(sleeves, weights).withColumn("k", F.lit(0)), "ret", "equity", keys=("k",)).drop("k"),
         sleeves.agg(F.count_distinct("symbol").cast("double").alias("n_sleeves")),
         off.agg(F.avg("corr").alias("mean_correlation"), F.max("corr").alias("max_correlation"), F.min("corr").alias("min_correlation")),
         diversification(covariance(sleeves), weights),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.core import by_symbol, guarded_corr, safe_divide
@@ -18,38 +18,46 @@ def _between(a: int, b: int):
 
 
 def snapshot(bars: DataFrame) -> DataFrame:
-    """One row a symbol: trailing returns, range, gaps to means, volatility, and how unusual the last move and volume are."""
-    w = by_symbol()
-    n = F.count("*").over(w)
-    b = bars.withColumn("__n", n).withColumn("__r", F.col("close") / F.lag("close").over(w) - 1).withColumn("__l", F.log("close") - F.log(F.lag("close").over(w)))
-    last20 = F.stddev_samp("__l").over(_between(-19, 0))
-    b = b.withColumn("volatility", F.when(F.count("__l").over(_between(-19, 0)) == 20, last20 * YEAR**0.5))
-    year_close = F.max_by("close", "date").over(Window.partitionBy("symbol", F.year("date")))
-    b = b.withColumn("__yc", year_close)
-    out = b.select(
-        "symbol", "date", "close", "volume", "__n", "__r", "volatility",
-        *[(F.col("close") / F.lag("close", k).over(w) - 1).alias(f"ret_{k}") for k in RETURN_WINDOWS],
-        *[F.when(F.col("__n") >= k, F.col("close") / F.avg("close").over(_between(-(k - 1), 0)) - 1).alias(f"ma_gap_{k}") for k in MEAN_WINDOWS],
-        F.max("close").over(_between(-(YEAR - 1), 0)).alias("high_52w"), F.min("close").over(_between(-(YEAR - 1), 0)).alias("low_52w"),
-        F.when(F.count("__r").over(_between(-60, -1)) >= 20, F.stddev_samp("__r").over(_between(-60, -1))).alias("__spread"),
-        F.collect_list("__r").over(_between(-YEAR, -1)).alias("__past"),
-        F.collect_list("volatility").over(_between(-(VOL_HISTORY - 1), 0)).alias("__vols"),
-        F.when(F.col("__n") > 20, F.avg("volume").over(_between(-20, -1))).alias("__busy"),
-        F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("date"))).alias("__rank"),
+    """One row a symbol: trailing returns, range, gaps to means, volatility, and how unusual the last move and volume are.
+
+    Only each symbol's last bars, as many as the longest history needs, take part in windows; k counts them back from the latest.
+    """
+    w, back = by_symbol(), Window.partitionBy("symbol").orderBy(F.desc("date"))
+    tail = bars.select("symbol", "date", "close", "volume", F.row_number().over(back).alias("k")).where(F.col("k") <= VOL_HISTORY + YEAR)
+    tail = tail.withColumn("r", F.col("close") / F.lag("close").over(w) - 1).withColumn("l", F.log("close") - F.log(F.lag("close").over(w)))
+    last20 = F.stddev_samp("l").over(_between(-19, 0))
+    tail = tail.withColumn("vol", F.when(F.count("l").over(_between(-19, 0)) == 20, last20 * YEAR**0.5))
+    own = Window.partitionBy("symbol")
+    tail = tail.withColumn("r1", F.max(F.when(F.col("k") == 1, F.col("r"))).over(own)).withColumn("vol1", F.max(F.when(F.col("k") == 1, F.col("vol"))).over(own))
+    k = F.col("k")
+
+    def at(name: str, i: int) -> Column:
+        return F.max(F.when(k == i, F.col(name)))
+
+    def span(name: str, first: int, last: int) -> Column:
+        return F.when(k.between(first, last), F.col(name))
+
+    out = tail.groupBy("symbol").agg(
+        F.max("date").alias("date"), at("close", 1).alias("close"), at("volume", 1).alias("volume"), F.count("*").alias("n"), at("r", 1).alias("r"), at("vol", 1).alias("volatility"),
+        *[at("close", 1 + j).alias(f"close_{j}") for j in RETURN_WINDOWS],
+        *[F.avg(span("close", 1, j)).alias(f"mean_{j}") for j in MEAN_WINDOWS],
+        F.max(span("close", 1, YEAR)).alias("high_52w"), F.min(span("close", 1, YEAR)).alias("low_52w"),
+        F.when(F.count(span("r", 2, 61)) >= 20, F.stddev_samp(span("r", 2, 61))).alias("spread"),
+        F.count_if(k.between(2, YEAR + 1) & (F.abs("r") >= F.abs("r1"))).alias("similar_moves"),
+        F.count(span("vol", 1, VOL_HISTORY)).alias("vols"), F.count_if(k.between(1, VOL_HISTORY) & (F.col("vol") <= F.col("vol1"))).alias("calmer"),
+        F.avg(span("volume", 2, 21)).alias("busy"),
     )
-    ends = bars.groupBy("symbol", F.year("date").alias("__y")).agg(F.max_by("close", "date").alias("__c"))
-    out = out.where("__rank = 1")
-    prior = out.select("symbol", F.year("date").alias("__y0")).join(ends, "symbol").where("__y < __y0").groupBy("symbol").agg(F.max_by("__c", "__y").alias("__ytd"))
+    ends = bars.groupBy("symbol", F.year("date").alias("y")).agg(F.max_by("close", "date").alias("c"))
+    prior = out.select("symbol", F.year("date").alias("y0")).join(ends, "symbol").where("y < y0").groupBy("symbol").agg(F.max_by("c", "y").alias("last_year"))
     out = out.join(prior, "symbol", "left")
-    span = F.col("high_52w") - F.col("low_52w")
+    width, z = F.col("high_52w") - F.col("low_52w"), F.col("spread") > 0
     return out.select(
-        "symbol", "date", "close", *[f"ret_{k}" for k in RETURN_WINDOWS], (F.col("close") / F.col("__ytd") - 1).alias("ytd"), "high_52w", "low_52w",
-        F.when(span > 0, (F.col("close") - F.col("low_52w")) / F.when(span > 0, span)).alias("range_position"),
-        *[f"ma_gap_{k}" for k in MEAN_WINDOWS], "volatility",
-        F.when(F.col("volatility").isNotNull() & (F.size("__vols") > 0), F.size(F.filter("__vols", lambda v: v <= F.col("volatility"))) / F.when(F.size("__vols") > 0, F.size("__vols"))).alias("volatility_percentile"),
-        F.when(F.col("__spread") > 0, F.col("__r") / F.when(F.col("__spread") > 0, F.col("__spread"))).alias("move_z"),
-        F.size(F.filter("__past", lambda v: F.abs(v) >= F.abs(F.col("__r")))).cast("bigint").alias("similar_moves"),
-        safe_divide("volume", "__busy").alias("volume_ratio"),
+        "symbol", "date", "close", *[(F.col("close") / F.col(f"close_{j}") - 1).alias(f"ret_{j}") for j in RETURN_WINDOWS], (F.col("close") / F.col("last_year") - 1).alias("ytd"), "high_52w", "low_52w",
+        F.when(width > 0, (F.col("close") - F.col("low_52w")) / F.when(width > 0, width)).alias("range_position"),
+        *[F.when(F.col("n") >= j, F.col("close") / F.col(f"mean_{j}") - 1).alias(f"ma_gap_{j}") for j in MEAN_WINDOWS], "volatility",
+        F.when(F.col("volatility").isNotNull() & (F.col("vols") > 0), F.col("calmer") / F.when(F.col("vols") > 0, F.col("vols"))).alias("volatility_percentile"),
+        F.when(z, F.col("r") / F.when(z, F.col("spread"))).alias("move_z"), "similar_moves",
+        safe_divide("volume", F.when(F.col("n") > 20, F.col("busy"))).alias("volume_ratio"),
     )
 
 

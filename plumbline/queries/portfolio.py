@@ -245,3 +245,19 @@ OTHERS = [
 @_simple("port_17_portfolio_metrics", ", dm as (select *, avg(ret) over () as m, 0.0 as p_lag from dd) " + " union all ".join([f"select '{n}' as metric, round({s}, 5) as value from dm" for n, s in METRICS] + [f"select '{n}' as metric, round({s}, 5) as value" for n, s in OTHERS]), 5)
 def portfolio_metrics(spark, sf_dir):
     return pf.portfolio_metrics(sleeves_all(spark, sf_dir), assets_all(spark, sf_dir)).where("metric <> 'probabilistic_sharpe'")
+
+
+@add("aux_14_covariance_weight_validation", "select * from (values ('fine', 'ok'), ('negative weight', 'weights must not be negative'), ('no weight', 'a covariance without a weight'), ('no covariance', 'a weight without a covariance')) t(\"case\", outcome)")
+def weight_validation(spark, sf_dir):
+    from plumbline.operators import portfolio as pf
+
+    cov = spark.createDataFrame([("A", "A", 1.0), ("A", "B", 0.2), ("B", "A", 0.2), ("B", "B", 1.0)], "sym_a string, sym_b string, cov double")
+    cases = {"fine": [("A", 0.5), ("B", 0.5)], "negative weight": [("A", -0.5), ("B", 1.5)], "no weight": [("A", 1.0)], "no covariance": [("A", 0.4), ("B", 0.4), ("C", 0.2)]}
+    out = []
+    for name, rows in cases.items():
+        try:
+            pf.diversification(cov, spark.createDataFrame(rows, "symbol string, weight double")).collect()
+            out.append((name, "ok"))
+        except Exception as e:
+            out.append((name, next(x for x in ("weights must not be negative", "a covariance without a weight", "a weight without a covariance") if x in str(e))))
+    return spark.createDataFrame(out, "case string, outcome string")
