@@ -63,7 +63,7 @@ def compare_models(preds: DataFrame, config: ExperimentConfig, sort_by: str = "s
     return out.withColumn("rank", rank)
 
 
-def screen(signals: DataFrame, shifts: Sequence[int] | None = None, config: BacktestConfig | None = None, simulation: SimulationConfig | None = None, rank_by: str = "excess_sharpe", alpha: float = 0.05) -> DataFrame:
+def screen(signals: DataFrame, shifts: Sequence[int] | None = None, config: BacktestConfig | None = None, simulation: SimulationConfig | None = None, rank_by: str = "excess_sharpe", alpha: float = 0.05, method: str = "rotation") -> DataFrame:
     """One row a symbol: metrics, permutation p-value, q-value over all symbols, rank. symbol, date, close, signal in; symbols too short for a test have an error and come last."""
     c = config or BacktestConfig()
     sizes = signals.groupBy("symbol").agg(F.count("*").alias("n_bars"))
@@ -72,7 +72,7 @@ def screen(signals: DataFrame, shifts: Sequence[int] | None = None, config: Back
     a = m.financial_metrics(rows, "strategy_return", "equity", "position")
     b = m.financial_metrics(rows, "benchmark_return", "benchmark_equity").select("symbol", F.col("sharpe").alias("benchmark_sharpe"))
     tested = a.join(b, "symbol").withColumn("excess_sharpe", F.col("sharpe") - F.col("benchmark_sharpe"))
-    p = sim.significance(sim.null_distribution(fine, shifts, c, simulation)).select("symbol", "p_value")
+    p = sim.significance(sim.null_distribution(fine, shifts, c, simulation, method)).select("symbol", "p_value")
     out = sizes.join(tested, "symbol", "left").join(p, "symbol", "left")
     out = m.benjamini_hochberg(out).withColumn("error", F.when(F.col("n_bars") < 10, "too few bars"))
     rank = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.col("error").isNotNull(), F.desc_nulls_last(rank_by), "symbol"))
@@ -98,14 +98,14 @@ def screen_table(screened: DataFrame) -> DataFrame:
     return screened.select(*TABLE)
 
 
-def simulate(signals: DataFrame, simulation: SimulationConfig | None = None) -> dict[str, DataFrame]:
-    """Paths, permutation test and bootstrap of the same strategy returns."""
+def simulate(signals: DataFrame, simulation: SimulationConfig | None = None, config: BacktestConfig | None = None, method: str = "rotation") -> dict[str, DataFrame]:
+    """Paths, permutation test (draws and their summary) and bootstrap of the same strategy returns."""
     s = simulation or SimulationConfig()
-    returns = bt.run_backtest(signals).select("symbol", "date", F.col("strategy_return").alias("ret"))
+    returns = bt.run_backtest(signals, config).select("symbol", "date", F.col("strategy_return").alias("ret"))
+    draws = sim.null_distribution(signals, None, config, s, method)
     return {
         "paths": sim.path_summary(sim.price_paths(sim.sample_returns(returns, s)), horizon=s.horizon_days, quantiles=s.quantiles),
-        "null": sim.significance(sim.null_distribution(signals, None, simulation=s)),
+        "draws": draws,
+        "null": sim.significance(draws),
         "bootstrap": sim.bootstrap_summary(sim.bootstrap(returns, s), returns),
     }
-
-

@@ -112,7 +112,8 @@ def test_small_numbers(spark):
     assert one(spark, m.expected_max_sharpe(F.lit(100), F.lit(0.1))) == pytest.approx(0.2531, abs=1e-4)
     assert one(spark, core.fisher_z(F.lit(0.5), F.lit(0.0), F.lit(28))) == pytest.approx(2.7465, abs=1e-4)
     assert m.bonferroni_threshold(10) == pytest.approx(0.005) and m.expected_false_positives(20) == pytest.approx(1.0)
-    assert cfg.inner_schedule(750, 5, cfg.TuningConfig()) == (520, 75) and cfg.inner_schedule(5, 5, cfg.TuningConfig()) is None
+    first, window = wf.inner_schedule("n", 5, cfg.TuningConfig())
+    assert [tuple(r) for r in spark.createDataFrame([(750,), (40,), (5,)], "n int").select(first, window).collect()] == [(520, 75), (None, None), (None, None)]
     assert [one(spark, core.horizon_label(F.lit(d))) for d in (504, 42, 10, 7)] == ["2y", "2mo", "2w", "7d"]
     assert one(spark, core.format_value(F.lit(None).cast("double"))) == "n/a"
 
@@ -160,7 +161,7 @@ def test_models_fit_and_predict(name):
 
 
 def test_registry():
-    with pytest.raises(KeyError):
+    with pytest.raises(ValueError):
         mod.create_model("nothing")
     with pytest.raises(ValueError):
         mod.register_model("ridge", mod.Ridge)
@@ -277,9 +278,13 @@ def test_screen_isolates_short_symbols(spark):
 
 def test_rendering():
     t = rep.markdown_table(["a", "b"], [[1, "x"]])
-    assert t.splitlines()[0] == "| a   | b   |" and len(rep.sparkline(range(100), 10)) == 10
+    assert t.splitlines() == ["| a | b |", "|---|---|", "| 1 | x |"] and len(rep.sparkline(range(100), 10)) == 10 and rep.sparkline([1, 2, 3, 4], 4) == "▁▃▆█"
     assert rep.number(float("nan")) == "n/a" and rep.number(1234.5) == "1,234.5" and rep.number(0.5, percent=True) == "50.00%"
-    assert "+" in rep.bar_chart(["x"], [1.0]) and "#" in rep.histogram_chart([("x", 3)]) and "*" in rep.line_chart({"a": [1, 2, 3]})
+    assert "+" in rep.bar_chart(["x"], [1.0]) and "#" in rep.line_chart({"a": [1, 2, 3]}) and rep.line_chart({"a": []}) == "_no data_"
+    drawn = rep.histogram_chart([1, 1, 2, 3, None], 2, 10, marker=9).splitlines()
+    assert [x.count("#") for x in drawn] == [10, 10, 0] and "<== observed (9.0000)" in drawn[1] and drawn[2].endswith("above the null range")
+    with pytest.raises(ValueError):
+        rep.bar_chart(["a"], [])
     assert rep.Report("T").heading("H").bullets(["b"]).code("c").render().startswith("# T")
     assert "metric" in rep.metrics_table({"run": {"sharpe": 1.0}}) and rep.signed_percent(None) == "—"
 
@@ -290,7 +295,7 @@ def test_config_checks():
             make()
     assert cfg.expand_grid({}) == [{}] and cfg.ExperimentConfig().with_horizon(5).features.horizon == 5
     t = cfg.TuningConfig(grid={"a": (1, 2)})
-    assert t.enabled and t.better(1.0, float("nan")) and not t.better(float("nan"), None)
+    assert t.enabled and t.higher_is_better and cfg.TuningConfig().min_inner_train == 60
     assert cfg.describe_params({"a": "x", "b": 1}) == "a='x', b=1" and cfg.describe_params({}) == "defaults"
 
 
@@ -327,3 +332,98 @@ def test_stream_of_bars(spark, tmp_path):
     sink(j, 0)
     sink(j, 0)
     assert spark.read.parquet(str(tmp_path / "j")).count() == 1
+
+
+@pytest.mark.parametrize("higher, want", [(True, [(0, 1), (2, 0)]), (False, [(0, 0), (2, 0)])])
+def test_choices_ignore_what_is_not_finite(spark, higher, want):
+    """Fold 0: two finite scores; fold 1: none; fold 2: a tie, which the first wins."""
+    rows = [("A", 0, 0, 0.1), ("A", 0, 1, 0.2), ("A", 0, 2, float("inf")), ("A", 1, 0, None), ("A", 1, 1, float("nan")), ("A", 2, 0, 0.5), ("A", 2, 1, 0.5)]
+    got = wf.choose(spark.createDataFrame(rows, "symbol string, fold int, candidate int, score double"), higher).where("chosen").collect()
+    assert sorted((r["fold"], r["candidate"]) for r in got) == want
+
+
+def walk(spark, n=220):
+    rows = [("A", day(1) + dt.timedelta(days=i), i, math.sin(i * 1.7), 0.5 * math.sin(i * 1.7) + 0.1 * math.sin(i * 0.9), float(math.sin(i * 1.7) > 0), 100.0) for i in range(n)]
+    return spark.createDataFrame(rows, "symbol string, date date, pos int, x double, forward_return double, direction double, close double")
+
+
+def slope():
+    """A factory that only this test knows: it must travel to the workers. Forecasts k times the first feature; k = 0 is refused."""
+
+    class Slope(mod.Model):
+        def __init__(self, k=1.0):
+            if k == 0:
+                raise ValueError("k must not be zero")
+            self.k = k
+
+        def fit(self, x, y, names):
+            self.check(x, y)
+            return self
+
+        def predict(self, x):
+            return self.k * x[:, 0]
+
+    return Slope
+
+
+@pytest.mark.parametrize("metric, higher, k", [("rmse", False, 0.5), ("mae", False, 0.5), ("ic_pearson", True, 0.5), ("no_such_metric", True, 1.0)])
+def test_folds_are_fitted_with_their_own_choice(spark, metric, higher, k):
+    """Any metric may choose; a refused candidate never wins; without a choice the defaults stay."""
+    ds, names = walk(spark), ["x"]
+    folds = wf.folds_of(ds, cfg.WalkForwardConfig(train_size=120, test_size=40), 1)
+    tuning = cfg.TuningConfig(grid={"k": (0, -1.0, 0.5, 2.0)}, metric=metric, higher_is_better=higher, min_inner_train=30)
+    predictions, records = wf.tuned_predictions(ds, folds, slope(), names, tuning)
+    chosen = records.where("chosen").collect()
+    assert len(chosen) == (0 if metric == "no_such_metric" else folds.count()) and all(r["params"] == f"k={k}" for r in chosen)
+    got = predictions.join(ds.select("pos", "x"), "pos").selectExpr(f"max(abs(signal - x * {k}D)) as off", "count(*) as n").first()
+    assert got["off"] < 1e-12 and got["n"] == 99
+
+
+def test_a_universe_of_files_folders_and_tickers(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "A.csv").write_text("Date,Open,High,Low,Close,Volume\n2024-01-02,10,12,9,11,5\n")
+    (tmp_path / "in" / "B.csv").write_text("Date,Close,Open,Low,High,Volume,Note\n2024-01-02,11,10,9,12,5,split of 2:1\n")
+    (tmp_path / "C.csv").write_text("timestamp,o,h,l,c,v\n2024-01-02,10,12,9,11,5\n")
+    tries = []
+
+    def fetch(ticker):
+        tries.append(ticker)
+        if ticker == "GONE":
+            raise ConnectionError("no such ticker")
+        return bars(spark, [10.0, 11.0], ticker)
+
+    paths = [str(tmp_path / "in"), str(tmp_path / "C.csv")]
+    for _ in range(2):
+        got = ingest.load_universe(spark, paths, ["T", "GONE"], fetch, str(tmp_path / "cache"), skip_errors=True)
+        rows = {r["symbol"]: r for r in got.where("symbol <> 'T'").collect()}
+        assert {tuple(r[c] for c in ("open", "high", "low", "close")) for r in rows.values()} == {(10.0, 12.0, 9.0, 11.0)} and set(rows) == {"A", "B", "C"}
+        assert rows["B"]["note"] == "split of 2:1" and got.where("symbol = 'T'").count() == 2
+    assert tries == ["T", "GONE", "GONE"]
+    for bad in (lambda: ingest.load_universe(spark), lambda: ingest.load_universe(spark, paths + paths), lambda: ingest.load_universe(spark, paths, ["A"], fetch)):
+        with pytest.raises(ValueError):
+            bad()
+    with pytest.raises(ConnectionError):
+        ingest.load_universe(spark, None, ["GONE"], fetch)
+
+
+def test_windows_of_one_bar(spark):
+    got = bars(spark, [1.0, 3.0, 2.0]).select(ind.ema("close", 1).alias("e"), ind.wilder("close", 1).alias("w"), "close").collect()
+    assert all(r["e"] == r["w"] == r["close"] for r in got)
+    with pytest.raises(ValueError):
+        ind.ema("close", 0)
+
+
+def test_daily_loop(spark, tmp_path):
+    from plumbline.cli import main
+
+    market_ = synthetic.generate_ohlcv(spark, cfg.SyntheticConfig(n_days=620), ("AAA", "BBB")).cache()
+
+    def fetch(ticker):
+        if ticker == "GONE":
+            raise ConnectionError("no such ticker")
+        return market_.where(F.col("symbol") == ticker).drop("symbol")
+
+    argv = ["daily", "--tickers", "AAA,GONE", "--cache-dir", str(tmp_path / "c"), "--journal", str(tmp_path / "j"), "--train-size", "400", "--no-compare", "--quiet", "--fail-if-stale", "100000"]
+    assert main([*argv, "--asof", "2012-06-01"], spark, fetch) == 4
+    assert spark.read.parquet(str(tmp_path / "j")).count() <= 1
+    assert main(["daily", "--tickers", "AAA", "--journal", str(tmp_path / "j"), "--quiet"], spark) == 2
