@@ -224,14 +224,14 @@ def score_documents(docs: DataFrame, model: FlatTrees, carry: Sequence[str], nam
     """The columns `carry` and the score (double, under `name`) of every row."""
     small_batches(docs.sparkSession)
     fields = [f for f in docs.schema.fields if f.name in carry]
-    schema = StructType([*(StructField(f.name, f.dataType) for f in fields), StructField(name, DoubleType())])
+    schema = StructType([StructField("row", StructType(fields)), StructField("score", DoubleType())])
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            own = [b.column(i + 1) for i in range(len(fields))]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(model.score(statistics(b.column(0))))], names=schema.names)
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(model.score(statistics(b.column(0))))], names=["row", "score"])
 
-    return docs.select(F.col("text").cast("string").alias(fresh(docs, "text")), *[F.col(f"`{f.name}`") for f in fields]).mapInArrow(score, schema)
+    rows = docs.select(F.col("text").cast("string").alias("text"), F.struct(*[F.col(f"`{f.name}`") for f in fields]).alias("row"))
+    return rows.mapInArrow(score, schema).select("row.*", F.col("score").alias(name))
 
 
 def accepted(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
