@@ -26,9 +26,14 @@ def positioned(returns: DataFrame) -> DataFrame:
     return out.withColumn("n", F.when(F.col("n") < 2, F.raise_error(F.lit("at least two returns are needed")).cast("bigint")).otherwise(F.col("n")))
 
 
-def _uniform(*parts: Column) -> Column:
-    """Uniform draw in [0, 1) from a hash."""
-    return F.pmod(F.xxhash64(*parts), F.lit(1 << 52)).cast("double") / float(1 << 52)
+def _draw(*parts: Column | str) -> Column:
+    """The text of an MD5 hash of (seed, symbol, ...): the same in any engine."""
+    return F.md5(F.concat_ws("|", *[p.cast("string") if isinstance(p, Column) else F.col(p).cast("string") for p in parts]).cast("binary"))
+
+
+def _uniform(*parts: Column | str) -> Column:
+    """Uniform draw in [0, 1): 52 bits of the hash."""
+    return F.conv(F.substring(_draw(*parts), 1, 13), 16, 10).cast("bigint").cast("double") / float(1 << 52)
 
 
 def sample_returns(returns: DataFrame, config: SimulationConfig | None = None, horizon: int | None = None) -> DataFrame:
@@ -36,16 +41,20 @@ def sample_returns(returns: DataFrame, config: SimulationConfig | None = None, h
     c = config or SimulationConfig()
     rows = positioned(returns)
     size = rows.groupBy("symbol").agg(F.max("n").alias("n"), F.avg("ret").alias("mean"), F.stddev_samp("ret").alias("sd"))
-    h = F.col("n") if horizon == 0 else F.lit(horizon or c.horizon_days)
-    grid = size.withColumn("path", F.explode(F.sequence(F.lit(0), F.lit(c.n_paths - 1)))).withColumn("step", F.explode(F.sequence(F.lit(0).cast("bigint"), (h - 1).cast("bigint"))))
+    size = size.withColumn("h", (F.col("n") if horizon == 0 else F.lit(horizon or c.horizon_days)).cast("bigint"))
+    grid, zero = size.withColumn("path", F.explode(F.sequence(F.lit(0), F.lit(c.n_paths - 1)))), F.lit(0).cast("bigint")
     seed = F.lit(c.seed or 0)
     if c.method == "gaussian":
+        grid = grid.withColumn("step", F.explode(F.sequence(zero, F.col("h") - 1)))
         u, v = _uniform(seed, "symbol", "path", "step", F.lit(1)), _uniform(seed, "symbol", "path", "step", F.lit(2))
         normal = F.sqrt(-2 * F.log(F.greatest(u, F.lit(1e-300)))) * F.cos(2 * 3.141592653589793 * v)
         return grid.select("symbol", "path", "step", (F.col("mean") + F.col("sd") * normal).alias("ret"))
-    block = F.lit(1) if c.method == "iid_bootstrap" else F.least(F.lit(c.block_size), F.col("n"))
-    start = F.floor(_uniform(seed, "symbol", "path", F.floor(F.col("step") / block)) * F.col("n"))
-    drawn = grid.select("symbol", "path", "step", F.pmod(start + F.pmod(F.col("step"), block), F.col("n")).cast("int").alias("pos"))
+    # one draw for each block; its steps follow
+    grid = grid.withColumn("size", F.lit(1).cast("bigint") if c.method == "iid_bootstrap" else F.least(F.lit(c.block_size).cast("bigint"), "n"))
+    grid = grid.withColumn("block", F.explode(F.sequence(zero, F.floor((F.col("h") - 1) / F.col("size")))))
+    grid = grid.withColumn("start", F.floor(_uniform(seed, "symbol", "path", "block") * F.col("n"))).withColumn("i", F.explode(F.sequence(zero, F.col("size") - 1)))
+    grid = grid.withColumn("step", F.col("block") * F.col("size") + F.col("i")).where("step < h")
+    drawn = grid.select("symbol", "path", "step", F.pmod(F.col("start") + F.col("i"), F.col("n")).cast("int").alias("pos"))
     return drawn.join(rows.select("symbol", "pos", "ret"), ["symbol", "pos"]).select("symbol", "path", "step", "ret")
 
 
@@ -100,12 +109,12 @@ def null_distribution(signals: DataFrame, shifts: Sequence[int] | None = None, c
         each = base.select("symbol", "pos", "n", F.coalesce("signal", F.lit(0.0)).alias("signal"), perms.alias("__p")).select("symbol", "pos", "n", "signal", "__p.perm", "__p.shift")
     else:
         each = base.select("symbol", "pos", "n", F.coalesce("signal", F.lit(0.0)).alias("signal"), F.explode(F.sequence(F.lit(0), F.lit(s.n_permutations))).alias("perm"))
-        drawn = 1 + F.floor(_uniform(F.lit(s.seed or 0), F.col("symbol"), F.col("perm")) * (F.col("n") - 1))
+        drawn = 1 + F.floor(_uniform(F.lit(s.seed or 0), "symbol", "perm") * (F.col("n") - 1))
         each = each.withColumn("shift", F.when(F.col("perm") == 0, F.lit(0)).otherwise(drawn))
     if method == "rotation":
         moved = each.select("symbol", "perm", F.pmod(F.col("pos") + F.col("shift"), F.col("n")).cast("int").alias("pos"), "signal")
     else:
-        key = F.when(F.col("perm") == 0, F.col("pos")).otherwise(F.xxhash64(F.lit(s.seed or 0), "symbol", "perm", "pos"))
+        key = F.when(F.col("perm") > 0, _draw(F.lit(s.seed or 0), "symbol", "perm", "pos"))
         moved = each.select("symbol", "perm", (F.row_number().over(Window.partitionBy("symbol", "perm").orderBy(key, "pos")) - 1).alias("pos"), "signal")
     rows = moved.join(base.drop("signal", "n", "close", "date"), ["symbol", "pos"])
     by = Window.partitionBy("symbol", "perm").orderBy("pos")

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plumbline.config import ExperimentConfig, SimulationConfig
+from plumbline.config import ExperimentConfig
 from plumbline.functions import indicators as ind
 from plumbline.operators import metrics as m
 from plumbline.operators import portfolio as pf
 from plumbline.operators import backtest as bt
 from plumbline.plans import studies
+from plumbline.queries import simulation as qs
 from plumbline.queries.base import ANNUAL, SEGMENTS, W, add, rolled, rounded
 from plumbline.queries.backtest import DD, metric_sql
 from plumbline.queries.simulation import SHIFTS
@@ -138,8 +139,11 @@ def run_model(spark, sf_dir):
     return studies.run_metrics(studies.run_model(price_path(spark, sf_dir), "ridge"), ExperimentConfig())
 
 
-@add("pipe_08_simulation_bundle")
+@add("pipe_08_simulation_bundle", f"""with null_part as (select * from ({qs.SIGNALS}{qs.ROTATED}{qs.JUDGED}select symbol, round(observed, 6) as observed, round(p_value, 6) as p_value from su)),
+path_part as (select * from ({qs.PATHS}select symbol, {qs.PATH_COLUMNS} from {qs.PATH_ROWS} group by symbol)),
+boot_part as (select * from ({qs.BOOT}select symbol, max(point_estimate) as point_estimate, {qs.BOOT_COLUMNS} from bo join {qs.POINT} using (symbol) group by symbol))
+select symbol, observed, p_value, round(point_estimate, 6) as point_estimate, round(ci_low, 6) as ci_low, round(ci_high, 6) as ci_high, round(mean_terminal_return, 6) as mean_terminal_return, round(worst_max_drawdown, 6) as worst_max_drawdown from null_part join path_part using (symbol) join boot_part using (symbol)""")
 def bundle(spark, sf_dir):
-    small = SimulationConfig(n_paths=20, horizon_days=60, n_permutations=20)
-    parts = studies.simulate(signals(spark, sf_dir), small)
-    return parts["null"].join(parts["bootstrap"], "symbol").join(parts["paths"], "symbol")
+    parts = studies.simulate(qs.signals(spark, sf_dir))
+    out = parts["null"].join(parts["bootstrap"], "symbol").join(parts["paths"], "symbol")
+    return rounded(out.select("symbol", "observed", "p_value", "point_estimate", "ci_low", "ci_high", "mean_terminal_return", "worst_max_drawdown"))
