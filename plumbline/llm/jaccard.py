@@ -237,8 +237,8 @@ def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
 def shared_keys(info: DataFrame) -> DataFrame:
     """(key, sid): published keys that another set may hold. info: sid, keys, bands."""
     sets = info.where("sid is not null").select("sid", "keys", "bands")
-    ends = sets.select(F.explode("keys").alias("key"), "sid").groupBy("key").agg(F.min("sid").alias("low"), F.max("sid").alias("high"), F.count("*").alias("n")).where("low <> high")
-    ends, path = stored(ends.select("key", "n"), "shared-keys")
+    ends = sets.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("n")).where("n > 1")  # a set described by two tasks counts twice: that spares less, and loses nothing
+    ends, path = stored(ends, "shared-keys")
     shared = BitFilter.build(ends, "key", FILTER_BITS)
     limit, above = HOT_SETS, ends.groupBy(F.floor(F.log2("n")).cast("int").alias("size")).count().collect()  # a row for each power of two
     while sum(r["count"] for r in above if 2 ** r["size"] >= limit) > HOT_KEYS:
