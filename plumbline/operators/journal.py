@@ -13,7 +13,7 @@ from plumbline.functions.core import EPS, PERIODS_PER_YEAR, fisher_z, guarded_co
 from plumbline.operators.backtest import simple_return, target_position, trailing_volatility
 from plumbline.operators.joins import count_until
 from plumbline.operators.models import factory_of
-from plumbline.sources.scratch import new_folder
+from plumbline.sources.scratch import kept
 
 KEY = ("asof_date", "symbol", "model", "horizon")
 SCHEMA = "asof_date date, symbol string, model string, horizon int, signal double, position double, close double"
@@ -254,9 +254,7 @@ def rolling_compare(rows: DataFrame, calendar: DataFrame, claimed_accuracy: floa
     dates = done.select("asof_date").distinct().withColumn("rn", F.row_number().over(Window.orderBy("asof_date")))
     first, last = dates.select(F.col("asof_date").alias("window_start"), F.col("rn").alias("a")), dates.select(F.col("asof_date").alias("window_end"), F.col("rn").alias("b"))
     spans = spans.join(first, "window_start").join(last, "window_end").select("window_end", F.explode(F.sequence("a", "b")).alias("rn"))
-    inside, path = done.join(dates, "asof_date").join(spans, "rn").drop("rn"), new_folder(done.sparkSession, "windows")
-    inside.write.parquet(path)  # half a dozen figures read it
-    inside = done.sparkSession.read.schema(inside.schema).parquet(path)
+    inside = kept(done.join(dates, "asof_date").join(spans, "rn").drop("rn"), "windows")  # half a dozen figures read it
     return compare_with_backtest(inside, calendar, claimed_accuracy, claimed_ic, ["window_end"]).withColumnRenamed("window_end", "asof_date")
 
 

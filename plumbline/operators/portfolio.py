@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.core import EPS, PERIODS_PER_YEAR, guarded_corr, safe_divide
 from plumbline.operators import metrics as m
-from plumbline.sources.scratch import new_folder
+from plumbline.sources.scratch import kept
 
 ROLLING_WINDOW = 63
 
@@ -181,14 +181,6 @@ def sharpe_if_independent(sleeves: DataFrame, weights: DataFrame, ppy: float = P
 
 def portfolio_metrics(returns: DataFrame, assets: DataFrame | None = None, scheme: str = "equal", window: int = ROLLING_WINDOW) -> DataFrame:
     """metric, value: the financial metrics of the portfolio and what its diversification amounts to."""
-    spark = returns.sparkSession
-
-    def kept(df: DataFrame, name: str) -> DataFrame:
-        """Written once, read by the dozen figures that follow."""
-        path = new_folder(spark, name)
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-
     p = build_portfolio(kept(returns, "returns"), scheme, None if assets is None else kept(assets, "assets"))
     sleeves, weights = kept(p["sleeves"], "sleeves"), kept(p["weights"], "weights")
     off = correlation(sleeves).where("sym_a < sym_b")

@@ -14,6 +14,7 @@ from plumbline.operators import features as fea
 from plumbline.operators import metrics as m
 from plumbline.operators import simulation as sim
 from plumbline.operators import walkforward as wf
+from plumbline.sources.scratch import kept
 
 BASELINES = ("zero", "train_mean", "momentum", "reversion")
 
@@ -42,7 +43,7 @@ def trade(preds: DataFrame, config: BacktestConfig) -> DataFrame:
 
 def run_metrics(preds: DataFrame, config: ExperimentConfig) -> DataFrame:
     """Predictive and financial metrics of each (symbol, model) with benchmark and excess Sharpe ratio."""
-    preds = preds.cache()  # fits run once, three groups of metrics read them
+    preds = kept(preds, "predictions")  # fits run once, three groups of metrics read them
     rows = trade(preds, config.backtest)
     strategy = m.financial_metrics(rows, "strategy_return", "equity", "position", wf.KEYS)
     benchmark = m.financial_metrics(rows, "benchmark_return", "benchmark_equity", None, wf.KEYS).select(*wf.KEYS, F.col("sharpe").alias("benchmark_sharpe"), F.col("total_return").alias("benchmark_return"))
@@ -52,7 +53,7 @@ def run_metrics(preds: DataFrame, config: ExperimentConfig) -> DataFrame:
 
 def run_model(bars: DataFrame, model: str, config: ExperimentConfig | None = None) -> DataFrame:
     c = config or ExperimentConfig()
-    dataset = fea.build_dataset(bars, c.features, c.features.horizon).cache()
+    dataset = kept(fea.build_dataset(bars, c.features, c.features.horizon), "dataset")
     return predictions(dataset, [model], c, fea.feature_names(c.features))
 
 

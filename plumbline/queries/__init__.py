@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("functions", "indicators", "ingest", "backtest", "walkforward", "portfolio", "journal", "watch", "simulation", "reports", "pipelines")
+MODULES = ("functions", "indicators", "ingest", "backtest", "walkforward", "portfolio", "journal", "watch", "simulation", "reports", "pipelines", "commands")
 
 
 def collect() -> tuple[dict, dict]:

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from plumbline.config import BacktestConfig
 
+from plumbline.functions import indicators as ind
 from plumbline.functions.core import age_label, by_symbol as order_of
 from plumbline.operators import features as fea
 from plumbline.operators import journal as jr
 from plumbline.queries.base import SEGMENTS, W, add, rounded
-from plumbline.queries.walkforward import corr_sql
+from plumbline.queries.walkforward import DS, corr_sql, light
 from plumbline.sources.adapters import price_path, segment_bars
 from plumbline.sources.scratch import new_folder
 
@@ -249,6 +250,14 @@ def size_position(spark, sf_dir):
     return jr.size_last(segment_bars(spark, sf_dir), rows, BacktestConfig(vol_target=0.1)).select("asof_date", "symbol", "position")
 
 
+@add("jrn_01b_record_one_feature", DS + ", st as (select symbol, avg(ret_1d) as mx, stddev_pop(ret_1d) as sx, avg(forward_return) as my, stddev_pop(forward_return) as sy, covar_pop(ret_1d, forward_return) as c, count(*) as n from ds group by 1), la as (select symbol, max(date) as date from bars group by 1), sg as (select t.symbol, t.date, t.close, my + sy * ((t.ret_1d - mx) / sx) * (n * c / (sx * sy)) / (n + 50.0) as signal from tt t join la on la.symbol = t.symbol and la.date = t.date join st on st.symbol = t.symbol) select date as asof_date, symbol, 'ridge' as model, 5 as horizon, round(signal, 8) as signal, sign(signal)::double as position, close from sg")
+def record_one(spark, sf_dir):
+    """Ridge on one feature, fitted on all labelled rows, forecasting each symbol's last bar."""
+    bars = price_path(spark, sf_dir)
+    last = bars.withColumn("ret_1d", F.round(ind.log_return("close", 1), 9)).withColumn("rn", F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("date")))).where("rn = 1")
+    return rounded(jr.record(light(spark, sf_dir), last, "ridge", ["ret_1d"], H, bars), 8)
+
+
 @add("jrn_01_record_forecasts")
 def record(spark, sf_dir):
     bars = price_path(spark, sf_dir)

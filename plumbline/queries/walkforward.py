@@ -13,6 +13,7 @@ from plumbline.operators import models as mod
 from plumbline.operators import walkforward as wf
 from plumbline.queries.base import ANNUAL, PATH, W, add, rolled, rounded
 from plumbline.sources.adapters import price_path
+from plumbline.sources.scratch import kept
 
 H = 5
 
@@ -206,13 +207,13 @@ FULL = fea.feature_names()
 
 
 def full_dataset(spark, sf_dir):
-    return fea.build_dataset(price_path(spark, sf_dir)).cache()
+    return kept(fea.build_dataset(price_path(spark, sf_dir)), "dataset")
 
 
 @add("wf_04_walk_forward_run")
 def walk_forward(spark, sf_dir):
     ds = full_dataset(spark, sf_dir)
-    return wf.walk_forward_metrics(wf.fit_predict(ds, wf.folds_of(ds), "ridge", FULL).cache(), 1)
+    return wf.walk_forward_metrics(kept(wf.fit_predict(ds, wf.folds_of(ds), "ridge", FULL), "predictions"), 1)
 
 
 @add("mod_09_feature_importance")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -24,7 +24,17 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def forget(spark: SparkSession, path: str) -> None:
-    """Delete a stored table that nothing reads any more."""
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder: computed once for all that read it, and safe from lost executors, which a cache is not."""
+    spark = df.sparkSession
+    path = new_folder(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def forget(spark: SparkSession, path: str, shuffles: bool = False) -> None:
+    """Delete a stored table that nothing reads any more; shuffles: let the driver's collector find the shuffles that made it, so that executors drop them too."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    if shuffles:
+        spark.sparkContext._jvm.System.gc()
