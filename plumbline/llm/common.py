@@ -20,7 +20,7 @@ from plumbline.sources.scratch import forget, new_folder
 
 #: The ASCII white space that separates words, [\x20\x09-\x0D].
 WHITESPACE = b" \t\n\x0b\x0c\r"
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 20
 ROWS_PER_BATCH, BYTES_PER_BATCH = 1000, 32 << 20
 
 SPACE = np.zeros(256, dtype=bool)

@@ -234,9 +234,8 @@ def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], names=["a", "b"])
 
 
-def shared_keys(info: DataFrame) -> DataFrame:
-    """(key, sid): published keys that another set may hold. info: sid, keys, bands."""
-    sets = info.where("sid is not null").select("sid", "keys", "bands")
+def shared_keys(sets: DataFrame) -> DataFrame:
+    """(key, sid): published keys that another set may hold. sets: sid, keys, bands."""
     ends = sets.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("n")).where("n > 1")  # a set described by two tasks counts twice: that spares less, and loses nothing
     ends, path = stored(ends, "shared-keys")
     shared = BitFilter.build(ends, "key", FILTER_BITS)
@@ -244,7 +243,7 @@ def shared_keys(info: DataFrame) -> DataFrame:
     while sum(r["count"] for r in above if 2 ** r["size"] >= limit) > HOT_KEYS:
         limit *= 2
     hot = BitFilter.build(ends.where(F.floor(F.log2("n")) >= int(np.log2(limit))), "key", FILTER_BITS)
-    forget(info.sparkSession, path)
+    forget(sets.sparkSession, path)
     return sets.mapInArrow(partial(_publish, shared=shared, hot=hot), "key bigint, sid bigint")
 
 
@@ -254,11 +253,13 @@ def similar_groups(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -
     small_batches(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    info = written(rows.mapInArrow(partial(_describe, size=size, percent=percent), "doc_id bigint, n bigint, sid bigint, keys array<bigint>, bands array<int>"), "sets")
+    described, described_at = stored(rows.mapInArrow(partial(_describe, size=size, percent=percent), "doc_id bigint, n bigint, sid bigint, keys array<bigint>, bands array<int>"), "described")
+    info = written(described.select("doc_id", "n", "sid"), "sets")
     lowest = -(1 << 63)
     reps = info.where("sid is not null").groupBy("sid").agg(F.min(F.coalesce("doc_id", F.lit(lowest))).alias("rep"), F.min("doc_id").alias("low_id"), F.max("n").alias("n"))
 
-    keyed, keyed_at = stored(shared_keys(info), "keys")
+    keyed, keyed_at = stored(shared_keys(described.where("sid is not null and size(bands) > 0").select("sid", "keys", "bands")), "keys")
+    forget(spark, described_at, shuffles=True)
     ends = keyed.groupBy("key").agg(F.min("sid").alias("hub"), F.max("sid").alias("high")).where("hub <> high").select(F.col("key").alias("of"), "hub")
     stars, stars_at = stored(keyed.join(ends, F.col("key") == F.col("of")).select("key", "sid", "hub"), "stars")
     spokes = stars.where("sid <> hub").select("sid", "hub").distinct()
