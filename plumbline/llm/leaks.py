@@ -56,11 +56,16 @@ def tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         data = data.copy()
         data[accent] += 0x20  # capital letters of Latin-1 in UTF-8
     s, e = starts.copy(), ends.copy()
-    if len(s):  # the nearest byte on either side that is no punctuation
-        solid = np.where(_EDGE[data], -1, np.arange(len(data)))
-        e = np.maximum.accumulate(solid)[ends - 1] + 1
-        solid[solid < 0] = len(data)
-        s = np.minimum.accumulate(solid[::-1])[::-1][starts]
+    for side in (s, e):  # few words have much punctuation: a byte at a time, then what is left word by word
+        at, step = (0, 1) if side is s else (-1, -1)
+        live = np.flatnonzero(_EDGE[data[side + at]])
+        for _ in range(8):
+            side[live] += step
+            live = live[e[live] > s[live]]
+            live = live[_EDGE[data[side[live] + at]]]
+        for i in live:
+            solid = np.flatnonzero(~_EDGE[data[s[i] : e[i]]])
+            s[i], e[i] = (s[i] + solid[0], s[i] + solid[-1] + 1) if len(solid) else (e[i], e[i])
     bare = e <= s
     s[bare], e[bare] = starts[bare], ends[bare]
     return span_hash(prefix_hash(data, lower=True), s, e), before
