@@ -93,8 +93,8 @@ def positions(docs: DataFrame, weights: Sequence[int] = WEIGHTS, schedules: Sequ
         F.xxhash64("text").alias("text_key"),
         word_count(F.col("text")).alias("size"),
     ).withColumn("bucket", F.substring("key", 1, 3))
-    buckets = sized.groupBy("group", "bucket").agg(F.first("source").alias("source"), F.sum("size").alias("bucket_size"))
-    sizes = buckets.groupBy("group").agg(F.first("source").alias("source"), F.sum("bucket_size").alias("source_size"))
+    buckets = sized.groupBy("group", "bucket").agg(F.max("source").alias("source"), F.sum("size").alias("bucket_size"))
+    sizes = buckets.groupBy("group").agg(F.max("source").alias("source"), F.sum("bucket_size").alias("source_size"))
     targets = _targets(sizes, weights, share, max_repeat)
     earlier = Window.partitionBy("group").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = buckets.select("group", "bucket", F.coalesce(F.sum("bucket_size").over(earlier), F.lit(0)).alias("start")).join(targets, "group")
