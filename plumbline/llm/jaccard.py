@@ -316,9 +316,11 @@ def similar_groups(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -
     for at in (keyed_at, stars_at, open_at):
         forget(spark, at)
 
-    roots = reps.join(joined, F.col("sid") == F.col("node"), "left").select("sid", "low_id", F.coalesce("component", "sid").alias("root"))
-    lows = roots.groupBy("root").agg(F.min("low_id").alias("component_id"))
-    names = roots.join(lows, "root").select(F.col("sid").alias("of"), "component_id")
+    # a large family is a hot key: its least doc_id is a table of its own, so that the join with it can be split
+    family = reps.join(joined, F.col("sid") == F.col("node")).select(F.col("sid").alias("of"), "low_id", "component")
+    lows = written(family.groupBy("component").agg(F.min("low_id").alias("component_id")), "lows")
+    alone = reps.join(joined, F.col("sid") == F.col("node"), "left_anti").select(F.col("sid").alias("of"), F.col("low_id").alias("component_id"))
+    names = family.join(lows, "component").select("of", "component_id").unionByName(alone)
     linked = info.where("sid is not null").join(names, F.col("sid") == F.col("of")).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return linked.unionByName(info.where("sid is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
