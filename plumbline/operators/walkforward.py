@@ -17,6 +17,7 @@ from plumbline.config import TuningConfig, WalkForwardConfig, describe_params
 from plumbline.functions.core import by_symbol, full, trailing
 from plumbline.operators import metrics as m
 from plumbline.operators.models import Model, factory_of
+from plumbline.sources.scratch import kept
 
 
 def fold_table(sizes: DataFrame, config: WalkForwardConfig | None = None, horizon: int = 1) -> DataFrame:
@@ -240,7 +241,7 @@ def candidate_scores(dataset: DataFrame, folds: DataFrame, model: Chooser, featu
         return pd.concat(out)[columns]
 
     tried = parts[0].unionByName(parts[1]).groupBy("symbol", "fold").applyInPandas(run, "symbol string, key string, candidate int, signal double, forward_return double, direction double")
-    tried = tried.withColumn("signal", F.when(~F.isnan("signal"), F.col("signal")))
+    tried = kept(tried.withColumn("signal", F.when(~F.isnan("signal"), F.col("signal"))), "candidates")  # fitted once, read by three groups of figures
     keys = ["symbol", "key", "candidate"]
     measured = m.regression_metrics(tried, "forward_return", "signal", keys).join(m.classification_metrics(tried, "direction", "signal", keys).drop("n"), keys, "left")
     value = F.col(tuning.metric) if tuning.metric in measured.columns else F.lit(None).cast("double")
