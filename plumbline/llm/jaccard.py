@@ -262,6 +262,7 @@ def similar_groups(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -
     forget(spark, described_at, shuffles=True)
     ends = keyed.groupBy("key").agg(F.min("sid").alias("hub"), F.max("sid").alias("high")).where("hub <> high").select(F.col("key").alias("of"), "hub")
     stars, stars_at = stored(keyed.join(ends, F.col("key") == F.col("of")).select("key", "sid", "hub"), "stars")
+    forget(spark, keyed_at)
     spokes = stars.where("sid <> hub").select("sid", "hub").distinct()
 
     members = stars.select(F.col("sid").alias("member")).distinct().join(reps, F.col("member") == F.col("sid")).select("sid", "rep", "n")
@@ -282,7 +283,7 @@ def similar_groups(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -
 
     sets = rows.mapInArrow(fetch, "id bigint, own bigint, hashes binary")
     sets = sets.join(members, (F.col("id") == F.col("rep")) & (F.col("own") == F.col("sid"))).select(F.col("sid").alias("set"), "hashes", "n")
-    sets = written(sets, "hashes")
+    sets, sets_at = stored(sets, "hashes")
 
     # every set against the hub of each of its keys
     fans = spokes.groupBy("hub").agg(F.ceil(F.count("*") / STAR_ROWS).cast("int").alias("fans"))
@@ -313,7 +314,7 @@ def similar_groups(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -
         moved = over.select(F.col("node").alias("x"), F.col("component").alias("y"))
         kept = joined.join(moved, F.col("component") == F.col("x"), "left").select("node", F.coalesce("y", "component").alias("component"))
         joined = kept.unionByName(moved.join(joined, F.col("x") == F.col("node"), "left_anti").select(F.col("x").alias("node"), F.col("y").alias("component")))
-    for at in (keyed_at, stars_at, open_at):
+    for at in (stars_at, open_at, sets_at):
         forget(spark, at)
 
     # a large family is a hot key: its least doc_id is a table of its own, so that the join with it can be split

@@ -3,6 +3,7 @@
 import hashlib
 import os
 import re
+import time
 import tracemalloc
 import zlib
 from collections import Counter
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from plain import brute_components, is_leak, plain_features, plain_score
 from plumbline.llm import jaccard, leaks, lines, mixing, passages, perplexity, quality, rules, sharding, suffixes, tokens
-from plumbline.llm.common import components
+from plumbline.llm.common import BitFilter, components, stored
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -592,3 +593,21 @@ def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101)], "a bigint, b bigint")
     got = {r["node"]: r["component"] for r in components(edges).collect()}
     assert set(got.values()) == {0, 100} and len(got) == 63
+
+
+# ---------------------------------------------------------------- tables
+
+
+def test_shuffles_go_when_their_table_is_written(spark):
+    dirs = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    shuffles = lambda: {f for d in dirs for _, _, names in os.walk(d) for f in names if f.startswith("shuffle_")}
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, option = shuffles(), spark.conf.get(key, None)
+    rows = spark.range(20_000).select(F.xxhash64(F.col("id") % 5_000).alias("k"))
+    table, _ = stored(rows.groupBy("k").count(), "counts")
+    assert BitFilter.build(rows, "k", 20).contains(np.array([r["k"] for r in table.collect()])).all()
+    end = time.time() + 10
+    while shuffles() - before and time.time() < end:
+        time.sleep(0.1)
+    assert not shuffles() - before
+    assert spark.conf.get(key, None) == option and table.count() == 5_000
