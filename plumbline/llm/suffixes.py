@@ -50,10 +50,10 @@ def tuples(n: int, limit: int) -> np.dtype:
 
 
 class Run:
-    """Entries appended to a file and read again in pieces."""
+    """Entries appended to a file and read again in pieces; behind the first `first` entries of a file, which belong to other runs that are complete."""
 
-    def __init__(self, path: str, dtype: np.dtype):
-        self.path, self.dtype, self.n = path, np.dtype(dtype), 0
+    def __init__(self, path: str, dtype: np.dtype, first: int = 0):
+        self.path, self.dtype, self.n, self.first = path, np.dtype(dtype), 0, first
         self.parts: list[np.ndarray] = []
         self.held = 0
 
@@ -77,7 +77,7 @@ class Run:
         if stop <= start:
             return np.zeros(0, self.dtype if self.dtype.names else np.int64)
         self.flush()
-        got = np.fromfile(self.path, dtype=self.dtype, count=stop - start, offset=start * self.dtype.itemsize)
+        got = np.fromfile(self.path, dtype=self.dtype, count=stop - start, offset=(self.first + start) * self.dtype.itemsize)
         return got if self.dtype.names else got.astype(np.int64)
 
     def chunks(self) -> Iterator[np.ndarray]:
@@ -157,7 +157,7 @@ class Queue:
                 continue
             rest = ~own
             index = (keys[own] - level.base) // level.width
-            order = np.argsort(index, kind="stable")
+            order = np.argsort(index.astype(np.uint16), kind="stable")  # few bits: a radix sort
             k, a, index = keys[own][order], at[own][order], index[order]
             edges = [0, *(np.flatnonzero(index[1:] != index[:-1]) + 1).tolist(), len(index)]
             for i, j, b in zip(edges, edges[1:], index[edges[:-1]].tolist()):
@@ -234,7 +234,7 @@ class Queue:
             while level.count[b]:
                 found.append(self._pop(level, b, CHUNK))
             k, a = (np.concatenate(x) for x in zip(*found))
-            order = np.argsort(k, kind="stable")
+            order = np.argsort((k - start) * len(k) + np.arange(len(k)))  # no two are equal, so that any sort will do
             self.keys, self.at, self.stop, self.fresh_bucket = k[order], a[order], stop, True
             level.turn += 1
             return None if not len(k) else (self.keys[:0], self.at[:0])
@@ -243,7 +243,8 @@ class Queue:
         """The open bucket and all that is induced within it, in order; None if a chain of entries that induce one another is longer than WAVES.
 
         Of equal keys, what came from outside is first, the rest follows the order of its
-        sources, which is found by sorting again until nothing moves.
+        sources, and so of their sources: entries that still tie are told apart by the
+        places of sources twice as far back each time.
         """
         outer, first = self.keys, len(self.keys)
         inner, later, front, base, n = [], [], self.at, 0, len(self.keys)
@@ -259,27 +260,27 @@ class Queue:
         else:
             return None
         keys, at, sources = (np.concatenate(x) for x in zip(*inner)) if inner else (outer[:0],) * 3
-        before, sorted_keys = np.searchsorted(outer, keys, side="right"), np.sort(keys)
-        rank = order = np.arange(len(keys))
-
-        def place(s: np.ndarray) -> np.ndarray:
-            own = s < first
-            out = np.empty(len(s), dtype=np.int64)
-            out[own] = s[own] + np.searchsorted(sorted_keys, outer[s[own]])
-            out[~own] = rank[s[~own] - first]
-            return out
-
-        while len(keys):
-            order = np.argsort((keys - outer[0]) * n + place(sources), kind="stable")
-            now = np.empty(len(keys), dtype=np.int64)
-            now[order] = before[order] + np.arange(len(keys))
-            if (now == rank).all():
-                break
-            rank = now
-        got = np.insert(outer, before[order], keys[order]), np.insert(self.at, before[order], at[order])
+        sorted_keys = np.sort(keys)
+        place = np.empty(n, dtype=np.int64)  # in the whole order; the first one's of those that tie
+        place[:first] = np.arange(first) + np.searchsorted(sorted_keys, outer)
+        place[first:] = np.searchsorted(outer, keys, side="right") + np.searchsorted(sorted_keys, keys)
+        back, tied = np.concatenate((np.arange(first), sources)), np.arange(first, n)
+        while len(tied):
+            by = place[tied] * n + place[back[tied]]
+            order = np.argsort(by)
+            tied, by = tied[order], by[order]
+            old, index = place[tied], np.arange(len(tied))
+            group = np.maximum.accumulate(np.where(np.concatenate(([True], old[1:] != old[:-1])), index, 0))
+            new = np.concatenate(([True], by[1:] != by[:-1]))
+            place[tied] = old + np.maximum.accumulate(np.where(new, index, 0)) - group
+            tied = tied[~(new & np.append(new[1:], True))]
+            back = back[back]
+        got = np.empty(n, dtype=np.int64), np.empty(n, dtype=np.int64)
+        for out, x, y in zip(got, (outer, self.at), (keys, at)):
+            out[place[:first]], out[place[first:]] = x, y
         self.keys = self.at = outer[:0]
         k, a, s = (np.concatenate(x) for x in zip(*later))
-        by = np.argsort(place(s))
+        by = np.argsort(place[s])
         self.push(k[by], a[by])
         return got
 
@@ -539,27 +540,35 @@ class InducedSorter:
         self.limit, self.memory, self.n, self.spills = limit, memory, os.path.getsize(path), 0
         self.dtype = tuples(self.n, limit)
         self.text = np.asarray(np.memmap(path, dtype=np.uint8, mode="r")) if self.n else np.zeros(0, dtype=np.uint8)
+        data = self.text if self.n >= 8 else np.append(self.text, np.zeros(8 - self.n, dtype=np.uint8))
+        self.words = np.ndarray(len(data) - 7, dtype="<u8", buffer=data, strides=(1,))
         self.string = Text(self.text, 256, self.folder, memory)
         self.small = self.string.small
 
     def close(self) -> None:
         shutil.rmtree(self.folder, ignore_errors=True)
 
+    def _words(self, at: np.ndarray) -> np.ndarray:
+        """Eight bytes from each position as a number, the first byte lowest; zeros stand behind the last byte."""
+        over = at - (len(self.words) - 1)
+        if over.max() <= 0:
+            return self.words[at]
+        over = np.maximum(over, 0)
+        return self.words[at - over] >> (8 * over).astype(np.uint64)
+
     def _common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Common prefixes of pairs of suffixes up to the limit, some bytes at a time."""
+        """Common prefixes of pairs of suffixes up to the limit, eight bytes at a time."""
         out = np.minimum(self.limit, self.n - np.maximum(a, b))
-        open_, done, width = np.arange(len(a)), 0, 8
-        while len(open_) and done < self.limit:
-            step = np.arange(done, min(done + width, self.limit))
-            going = []
-            for at in range(0, len(open_), max(1, CHUNK // 16)):
-                own = open_[at : at + max(1, CHUNK // 16)]
-                x, y = (self.text[np.minimum(p[own, None] + step, self.n - 1)] for p in (a, b))
-                same = x == y
-                whole = same.all(axis=1)
-                out[own[~whole]] = np.minimum(out[own[~whole]], done + same[~whole].argmin(axis=1))
-                going.append(own[whole])
-            open_, done, width = np.concatenate(going), done + width, 3 * width
+        open_, done = np.flatnonzero(out > 0), 0
+        while len(open_):
+            differ = self._words(a[open_] + done) ^ self._words(b[open_] + done)
+            ended = differ != 0
+            low = differ[ended]
+            own = open_[ended]
+            out[own] = np.minimum(out[own], done + (np.bitwise_count((low & (~low + np.uint64(1))) - np.uint64(1)) >> 3))
+            done += 8
+            open_ = open_[~ended]
+            open_ = open_[out[open_] > done]
         return out
 
     def _one_common(self, a: int, b: int) -> int:
@@ -569,7 +578,7 @@ class InducedSorter:
         """Induce L suffixes from ordered LMS seeds (up), or S suffixes from the runs of L suffixes (down)."""
         text, queues, out = self.text, TupleQueues(self.folder, self.dtype, self.memory), {}
         passed = np.full(256, self.limit, dtype=np.int64)
-        before = -1
+        before, n = -1, 0
 
         def emit(part: np.ndarray) -> None:
             at, lcp = part["at"].astype(np.int64), part["lcp"].astype(np.int64)
@@ -600,7 +609,7 @@ class InducedSorter:
             queues.push(int(text[self.n - 1]), np.array([self.n - 1]), np.array([0]))  # induced by the empty suffix
             passed[:] = 0
         for byte in range(256) if up else range(255, -1, -1):
-            run = out[byte] = Run(f"{self.folder}/{name}-{byte}", self.dtype)
+            run = out[byte] = Run(f"{self.folder}/{name}", self.dtype, n)
             new = True
             while (part := queues.pop(byte)) is not None:
                 if new:
@@ -616,7 +625,7 @@ class InducedSorter:
                 new = False
                 before = int(part["at"][-1])
                 emit(part)
-            run.flush()
+            n += run.flush().n
         queues.close()
         self.spills += queues.spills
         return out
@@ -636,7 +645,7 @@ class InducedSorter:
     def _seeds(self, order: Run) -> dict[int, Run]:
         """The LMS suffixes by first byte, with the common prefix with the one before; -1 for the first of a byte, which is told apart from the last L suffix later."""
         out: dict[int, Run] = {}
-        before = None
+        before, last, n = None, None, 0
         for at in order.chunks():
             a = np.concatenate((at[:1] if before is None else before, at[:-1]))
             part = np.empty(len(at), dtype=self.dtype)
@@ -646,7 +655,8 @@ class InducedSorter:
             for i, j in zip(edges, [*edges[1:], len(first)]):
                 byte = int(first[i])
                 if byte not in out:
-                    out[byte] = Run(f"{self.folder}/seeds-{byte}", self.dtype)
+                    n += last.flush().n if last else 0
+                    last = out[byte] = Run(f"{self.folder}/seeds", self.dtype, n)
                     part["lcp"][i] = -1
                 out[byte].append(part[i:j])
             before = at[-1:]

@@ -292,6 +292,22 @@ def test_induced_sorting(case, tmp_path, monkeypatch):
         assert common[i] == next((j for j in range(min(len(x), len(y))) if x[j] != y[j]), min(len(x), len(y)))
 
 
+def test_chains_are_ordered_by_few_sorts(tmp_path, monkeypatch):
+    """Two chains of 500 entries of one key that tie at every link."""
+    queue, sorts, plain = suffixes.Queue(str(tmp_path), 4, 1200, fan=2), [], np.argsort
+    queue.push(np.array([0, 0]), np.array([500, 1000]))
+    monkeypatch.setattr(np, "argsort", lambda *a, **b: sorts.append(1) or plain(*a, **b))
+
+    def induced(at):
+        source = np.flatnonzero(at % 501 > 0)
+        return np.ones(len(source), dtype=np.int64), at[source] - 1, source
+
+    keys, at = queue.take(induced)
+    assert at.tolist() == [x for i in range(500) for x in (500 - i, 1000 - i)] + [0]
+    assert keys.tolist() == [0, 0] + [1] * 999 and len(sorts) < 30
+    queue.close()
+
+
 def test_a_shard_far_larger_than_its_memory(tmp_path, monkeypatch):
     """Half a megabyte with repeats through queues of 16 kB and pieces of 1,024 entries: disk is used, and memory stays below the length of the shard."""
     for name, value in {"BASE": 256, "CHUNK": 1024, "LOAD": 1024, "FAN": 64}.items():
