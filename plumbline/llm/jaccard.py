@@ -24,8 +24,11 @@ sketches discard pairs, what is left is verified exactly unless it is
 connected already. Only links that join something are emitted, so thousands of
 copies give thousands of rows, not millions.
 
-Equal sets are one node from the start. Memory: one pair of blocks, one hub, or
-one document. The only broadcasts are two bit filters of fixed size.
+Equal sets are one node from the start; where an eighth or more of the sets are
+described by several tasks, a table with each of them once replaces the
+descriptions. Keys and hubs are counted and joined a slice at a time, so that
+shuffles hold a slice of them. Memory: one pair of blocks, one hub, or
+one document. The only broadcasts are bit filters of fixed size, two at once at most.
 
 Defined cases: null or empty text has n_shingles 0 and links with nothing; fewer
 words than a shingle has are one shingle; very long texts are one set like any other;
@@ -42,10 +45,11 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import BitFilter, components, forget, fresh, groups, mix64, pieces, prefix_hash, small_batches, span_hash, stored, words, written
+from plumbline.llm.common import BitFilter, components, forget, fresh, groups, in_slices, mix64, pieces, prefix_hash, slices_of, small_batches, span_hash, stored, words, written
 
 WORDS, PERCENT = 4, 85
 #: Hashes in a block, and rows of a hub that go to one task.
@@ -123,8 +127,9 @@ def published(u: np.ndarray, percent: int = PERCENT, hot: np.ndarray | None = No
 
 
 def _describe(batches: Iterable[pa.RecordBatch], size: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """doc_id, n, sid, and of a set that the task has not seen: its keys band by band, and for each band its numbers of keys and of published ones."""
+    """doc_id, n, sid, and of a set that the task has not seen: its keys band by band, and for each band its numbers of keys and of published ones; the task."""
     seen: set[int] = set()
+    task = TaskContext.get().partitionId()
     for b in batches:
         n, sids, keys, bands, held, first = [], [], [], [], 0, 0
         for i, u in enumerate(shingle_sets(b.column(1), size)):
@@ -141,10 +146,29 @@ def _describe(batches: Iterable[pa.RecordBatch], size: int, percent: int) -> Ite
             if held > 1 << 18 or i + 1 == b.num_rows:
                 flat = pa.array(np.concatenate(keys).view(np.int64))
                 at = pa.array(np.cumsum([0] + [len(k) for k in keys]), pa.int32())
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(n)), pa.array(n, pa.int64()), pa.array(sids, pa.int64()), pa.ListArray.from_arrays(at, flat), pa.array(bands, pa.list_(pa.int32()))], names=["doc_id", "n", "sid", "keys", "bands"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(n)), pa.array(n, pa.int64()), pa.array(sids, pa.int64()), pa.ListArray.from_arrays(at, flat), pa.array(bands, pa.list_(pa.int32())), pa.array([task] * len(n), pa.int32())], names=["doc_id", "n", "sid", "keys", "bands", "task"])
                 n, sids, keys, bands, held, first = [], [], [], [], 0, i + 1
 
 
+def described_once(described: DataFrame, path: str) -> tuple[DataFrame, str]:
+    """(sid, keys, bands) of each set, and the path that holds it: where an eighth or more are described again by other tasks, a table of its own, which leaves out all but the first task's but for a few that the bit filter lets pass."""
+    spark = described.sparkSession
+    rows = described.where("sid is not null and size(bands) > 0")
+    first = rows.groupBy("sid").agg(F.min("task").alias("task"), F.count("*").alias("rows"))
+    count = first.agg(F.count("*").alias("sets"), F.sum("rows").alias("rows")).first()
+    if not count["sets"] or 8 * (count["rows"] - count["sets"]) < count["sets"]:
+        return rows.select("sid", "keys", "bands"), path
+    keep = BitFilter.build(first.select(F.xxhash64("sid", "task").alias("own")), "own", FILTER_BITS)
+
+    def once(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(keep.contains(b.column("own").to_numpy().view(np.uint64)))).select(["sid", "keys", "bands"])
+
+    out = stored(rows.select("sid", "keys", "bands", F.xxhash64("sid", "task").alias("own")).mapInArrow(once, "sid bigint, keys array<bigint>, bands array<int>"), "once")
+    forget(spark, path)
+    return out
+
+
 def _publish(batches: Iterable[pa.RecordBatch], shared: BitFilter, hot: BitFilter) -> Iterator[pa.RecordBatch]:
     """(key, sid): of the first keys of each band, with hot ones last, those that another set may hold."""
     for b in batches:
@@ -234,16 +258,17 @@ def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], names=["a", "b"])
 
 
-def shared_keys(sets: DataFrame) -> DataFrame:
+def shared_keys(sets: DataFrame, slices: int = 1) -> DataFrame:
     """(key, sid): published keys that another set may hold. sets: sid, keys, bands."""
-    ends = sets.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("n")).where("n > 1")  # a set described by two tasks counts twice: that spares less, and loses nothing
-    ends, path = stored(ends, "shared-keys")
+    count = lambda keys: keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")  # noqa: E731  a set described by two tasks counts twice: that spares less, and loses nothing
+    ends, paths = in_slices(sets.select(F.explode("keys").alias("key")), "key", slices, count, "shared-keys")
     shared = BitFilter.build(ends, "key", FILTER_BITS)
     limit, above = HOT_SETS, ends.groupBy(F.floor(F.log2("n")).cast("int").alias("size")).count().collect()  # a row for each power of two
     while sum(r["count"] for r in above if 2 ** r["size"] >= limit) > HOT_KEYS:
         limit *= 2
     hot = BitFilter.build(ends.where(F.floor(F.log2("n")) >= int(np.log2(limit))), "key", FILTER_BITS)
-    forget(sets.sparkSession, path)
+    for path in paths:
+        forget(sets.sparkSession, path)
     return sets.mapInArrow(partial(_publish, shared=shared, hot=hot), "key bigint, sid bigint")
 
 
@@ -253,17 +278,21 @@ def similar_groups(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -
     small_batches(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    described, described_at = stored(rows.mapInArrow(partial(_describe, size=size, percent=percent), "doc_id bigint, n bigint, sid bigint, keys array<bigint>, bands array<int>"), "described")
+    described, described_at = stored(rows.mapInArrow(partial(_describe, size=size, percent=percent), "doc_id bigint, n bigint, sid bigint, keys array<bigint>, bands array<int>, task int"), "described")
     info = written(described.select("doc_id", "n", "sid"), "sets")
     lowest = -(1 << 63)
     reps = info.where("sid is not null").groupBy("sid").agg(F.min(F.coalesce("doc_id", F.lit(lowest))).alias("rep"), F.min("doc_id").alias("low_id"), F.max("n").alias("n"))
 
-    keyed, keyed_at = stored(shared_keys(described.where("sid is not null and size(bands) > 0").select("sid", "keys", "bands")), "keys")
-    forget(spark, described_at, shuffles=True)
-    ends = keyed.groupBy("key").agg(F.min("sid").alias("hub"), F.max("sid").alias("high")).where("hub <> high").select(F.col("key").alias("of"), "hub")
-    stars, stars_at = stored(keyed.join(ends, F.col("key") == F.col("of")).select("key", "sid", "hub"), "stars")
+    once, once_at = described_once(described, described_at)
+    keyed, keyed_at = stored(shared_keys(once, slices_of(spark, once_at)), "keys")
+    forget(spark, once_at, shuffles=True)
+
+    def hubs(keyed: DataFrame) -> DataFrame:
+        ends = keyed.groupBy("key").agg(F.min("sid").alias("hub"), F.max("sid").alias("high")).where("hub <> high").select(F.col("key").alias("of"), "hub")
+        return keyed.join(ends, F.col("key") == F.col("of")).select("key", "sid", "hub")
+
+    stars, stars_at = in_slices(keyed, "key", slices_of(spark, keyed_at), hubs, "stars")
     forget(spark, keyed_at)
-    spokes = stars.where("sid <> hub").select("sid", "hub").distinct()
 
     members = stars.select(F.col("sid").alias("member")).distinct().join(reps, F.col("member") == F.col("sid")).select("sid", "rep", "n")
     wanted = BitFilter.build(members, "rep", FILTER_BITS)
@@ -286,11 +315,16 @@ def similar_groups(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -
     sets, sets_at = stored(sets, "hashes")
 
     # every set against the hub of each of its keys
-    fans = spokes.groupBy("hub").agg(F.ceil(F.count("*") / STAR_ROWS).cast("int").alias("fans"))
-    first = fans.join(sets, F.col("hub") == F.col("set")).select("hub", F.explode(F.sequence(F.lit(0), F.col("fans") - 1)).alias("salt"), F.lit(0).alias("kind"), F.col("hub").alias("sid"), "hashes")
-    rest = spokes.join(fans.withColumnRenamed("hub", "of"), F.col("hub") == F.col("of")).join(sets, F.col("sid") == F.col("set")).select("hub", F.pmod(F.xxhash64("sid"), "fans").cast("int").alias("salt"), F.lit(1).alias("kind"), "sid", "hashes")
-    met = first.unionByName(rest).repartition(n, "hub", "salt").sortWithinPartitions("hub", "salt", "kind")
-    joined = written(components(met.mapInArrow(partial(_stars, percent=percent), "a bigint, b bigint")), "joined")
+    def against_hubs(stars: DataFrame) -> DataFrame:
+        spokes = stars.select("sid", "hub").distinct()
+        fans = spokes.groupBy("hub").agg(F.ceil(F.count("*") / STAR_ROWS).cast("int").alias("fans"))
+        first = fans.join(sets, F.col("hub") == F.col("set")).select("hub", F.explode(F.sequence(F.lit(0), F.col("fans") - 1)).alias("salt"), F.lit(0).alias("kind"), F.col("hub").alias("sid"), "hashes")
+        rest = spokes.join(fans.withColumnRenamed("hub", "of"), F.col("hub") == F.col("of")).join(sets, F.col("sid") == F.col("set")).select("hub", F.pmod(F.xxhash64("sid"), "fans").cast("int").alias("salt"), F.lit(1).alias("kind"), "sid", "hashes")
+        met = first.unionByName(rest).repartition(n, "hub", "salt").sortWithinPartitions("hub", "salt", "kind")
+        return met.mapInArrow(partial(_stars, percent=percent), "a bigint, b bigint")
+
+    found, found_at = in_slices(stars.where("sid <> hub"), "hub", slices_of(spark, sets_at), against_hubs, "found")
+    joined = written(components(found), "joined")
 
     # keys whose sets, without the hub, still stand apart: their sets in clusters, and blocks of a cluster against each other
     rooted = stars.where("sid <> hub").join(joined, F.col("sid") == F.col("node"), "left").select("key", "sid", F.coalesce("component", "sid").alias("root"))
@@ -314,7 +348,7 @@ def similar_groups(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -
         moved = over.select(F.col("node").alias("x"), F.col("component").alias("y"))
         kept = joined.join(moved, F.col("component") == F.col("x"), "left").select("node", F.coalesce("y", "component").alias("component"))
         joined = kept.unionByName(moved.join(joined, F.col("x") == F.col("node"), "left_anti").select(F.col("x").alias("node"), F.col("y").alias("component")))
-    for at in (stars_at, open_at, sets_at):
+    for at in (*stars_at, *found_at, open_at, sets_at):
         forget(spark, at)
 
     # a large family is a hot key: its least doc_id is a table of its own, so that the join with it can be split

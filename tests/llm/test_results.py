@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from plain import brute_components, is_leak, plain_features, plain_score
-from plumbline.llm import jaccard, leaks, lines, mixing, passages, perplexity, quality, rules, sharding, suffixes, tokens
+from plumbline.llm import common, jaccard, leaks, lines, mixing, passages, perplexity, quality, rules, sharding, suffixes, tokens
 from plumbline.llm.common import BitFilter, components, stored
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -611,6 +611,38 @@ def test_components_of_a_chain(spark):
     assert set(got.values()) == {0, 100} and len(got) == 63
 
 
+def some_copies():
+    """(doc_id, text): thirty texts and a near copy of each, all four times."""
+    rng = np.random.default_rng(11)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 10_000, 120)) for _ in range(30)]
+    texts += [t + " and an end" for t in texts]
+    return [(1000 * k + i, t) for k in range(4) for i, t in enumerate(texts)]
+
+
+def test_copies_in_several_tasks_publish_their_keys_once(spark, docs, monkeypatch):
+    rows, real = [], jaccard.stored
+
+    def spy(df, name):
+        out = real(df, name)
+        if name == "keys":
+            rows.append((out[0].count(), out[0].distinct().count()))
+        return out
+
+    monkeypatch.setattr(jaccard, "stored", spy)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.similar_groups(docs(some_copies()).repartition(4)).collect()}
+    assert got == {i: i % 1000 % 30 for i, _ in some_copies()}
+    assert rows[0][0] == rows[0][1] > 0
+
+
+def test_groups_are_the_same_in_slices(spark, docs, monkeypatch):
+    made, real = [], common.stored
+    monkeypatch.setattr(common, "stored", lambda df, name: made.append(name) or real(df, name))
+    monkeypatch.setattr(common, "SLICE_BYTES", 1)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.similar_groups(docs(some_copies())).collect()}
+    assert got == {i: i % 1000 % 30 for i, _ in some_copies()}
+    assert [made.count(x) for x in ("shared-keys", "stars", "found")] == [common.MOST_SLICES] * 3
+
+
 # ---------------------------------------------------------------- tables
 
 
